@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, simhash
+from . import bpe, chat, secrets, simhash
 from .common import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,13 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every whole document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and entropy spans of every whole document."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = [kind for kind, *_ in secrets.BASE]
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    return found.select("doc_id", *map(count, kinds), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"))
