@@ -6,12 +6,14 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Texts that a Python worker turns into str objects at once; a worker's memory follows this, not the partition.
-SLICE = 256
+#: Texts, and bytes of text, that a Python worker turns into objects at once (one text at least); a worker's memory
+#: follows these, not the partition.
+SLICE, SLICE_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,21 @@ def extended(df: DataFrame, names: dict[str, T.DataType]) -> T.StructType:
     return T.StructType(kept + [T.StructField(n, t) for n, t in names.items()])
 
 
+def slices(column: pa.Array) -> list[tuple[int, int]]:
+    """(start, length) of runs of rows within SLICE and SLICE_BYTES."""
+    n = len(column)
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type)):
+        return [(at, min(SLICE, n - at)) for at in range(0, n, SLICE)]
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    cut, held, at = [], 0, 0
+    for i, size in enumerate(sizes):
+        if i > at and (held + size > SLICE_BYTES or i - at >= SLICE):
+            cut.append((at, i - at))
+            at, held = i, 0
+        held += size
+    return cut + ([(at, n - at)] if n else [])
+
+
 def map_texts(df: DataFrame, text: str, outputs: dict[str, T.DataType], start: Callable[[], Callable[[list], list]], keep: list[str] | None = None) -> DataFrame:
     """``df`` with columns computed from one text column, a bounded slice of rows at a time.
 
@@ -51,8 +68,8 @@ def map_texts(df: DataFrame, text: str, outputs: dict[str, T.DataType], start: C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for at, n in slices(batch.column(batch.num_columns - 1)):
+                part = batch.slice(at, n)
                 made = f(part.column(part.num_columns - 1).to_pylist())
                 columns = [part.column(i) for i in range(len(stay))]
                 columns += [pa.array(x, arrow.field(len(stay) + i).type) for i, x in enumerate(made)]
