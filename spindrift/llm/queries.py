@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, secrets, simhash
+from . import bpe, chat, decontam, langid, secrets, simhash, toxicity
 from .common import checkpointed, table
-from .sample import fold
+from .sample import fold, labelled_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,3 +131,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = langid.identify(documents, langid.train(documents, folds=5, held=0), keep=["doc_id"])
     return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document; labels learned outside fold 1 of 3."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = labelled_texts(documents, labels, "toxic", fold("doc_id", 3) != 1, toxicity.PER_LABEL, toxicity.LONGEST)
+    found = toxicity.score(documents, toxicity.fit(rows), keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

@@ -15,28 +15,30 @@ def fold(id: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(id).cast("string")), F.lit(folds))
 
 
-def sampled(labelled: DataFrame, id: str, label: str, per_label: int) -> DataFrame:
-    """Rows of ``labelled`` (id, label): about ``per_label`` of each label, chosen by a hash of the id, so the same
+def sampled(labelled: DataFrame, id: str, label: str, per_label: int | dict) -> DataFrame:
+    """Rows of ``labelled`` (id, label): about ``per_label`` of each label (or by label), chosen by a hash of the id, so the same
     at any partitioning; all of a rarer label. Null ids and labels are left out, as are labels beyond the 256 most
     frequent, which no bounded sample could hold."""
     known = labelled.where(F.col(id).isNotNull() & F.col(label).isNotNull())
     counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(256).collect()
     kept = F.lit(False)
     for r in counts:
-        share = min(1.0, per_label / r["count"])
+        most = per_label.get(r[label], 0) if isinstance(per_label, dict) else per_label
+        share = min(1.0, most / r["count"])
         kept = kept | ((F.col(label) == r[label]) & (F.pmod(F.xxhash64(id, F.lit(7)), F.lit(_BUCKETS)) < round(share * _BUCKETS)))
     return known.where(kept)
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, learns: Column, per_label: int, longest: int, id: str = "doc_id", text: str = "text") -> pd.DataFrame:
+def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, learns: Column, per_label: int | dict, longest: int, id: str = "doc_id", text: str = "text") -> pd.DataFrame:
     """(text, label) of a bounded sample, on the driver, in a fixed order.
 
     ``labels`` (id, label) may repeat an id, which then has its greatest label. About ``per_label`` rows of each
     label, of at most ``longest`` characters each, are taken: the bounds of the sample's size. Only those rows of
-    the documents come to the driver; the sampled ids are broadcast, at most twice 256 * ``per_label`` of them.
+    the documents come to the driver; the sampled ids are broadcast, at most twice as many as are asked for.
     """
     own = labels.where(learns).groupBy(id).agg(F.max(label).alias("label"))
     chosen = sampled(own, id, "label", per_label).select(F.col(id).alias("chosen"), "label")
+    most = 2 * (sum(per_label.values()) if isinstance(per_label, dict) else 256 * per_label)
     rows = documents.select(F.col(id).alias("id"), F.col(text).alias("text")).where(F.length("text") <= longest)
-    found = rows.join(F.broadcast(chosen.limit(512 * per_label)), F.col("id") == F.col("chosen")).select("id", "text", "label").toPandas()
+    found = rows.join(F.broadcast(chosen.limit(most)), F.col("id") == F.col("chosen")).select("id", "text", "label").toPandas()
     return found.sort_values(["id", "text"], kind="stable").reset_index(drop=True)[["text", "label"]]
