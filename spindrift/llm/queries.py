@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, secrets, simhash, toxicity
+from . import bpe, chat, decontam, langid, quality, secrets, simhash, toxicity
 from .common import checkpointed, table
 from .sample import fold, labelled_texts
 
@@ -140,3 +140,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled_texts(documents, labels, "toxic", fold("doc_id", 3) != 1, toxicity.PER_LABEL, toxicity.LONGEST)
     found = toxicity.score(documents, toxicity.fit(rows), keep=["doc_id"])
     return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def quality_ranker(spark: SparkSession, sf_dir: str) -> quality.Ranker:
+    rows = labelled_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0, quality.PER_LABEL, quality.LONGEST)
+    return quality.fit(rows)
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document; labels learned outside fold 0 of 5."""
+    found = quality.score(table(spark, sf_dir, "documents"), quality_ranker(spark, sf_dir), keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted"))

@@ -7,7 +7,6 @@ labelled rows, and scoring in the executors, in batches of windows.
 """
 
 from __future__ import annotations
-
 from itertools import islice
 
 
