@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, quality, secrets, simhash, toxicity
+from . import bpe, chat, decontam, langid, licenses, quality, secrets, simhash, toxicity
 from .common import checkpointed, table
 from .sample import fold, labelled_texts
 
@@ -152,3 +152,59 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole document; labels learned outside fold 0 of 5."""
     found = quality.score(table(spark, sf_dir, "documents"), quality_ranker(spark, sf_dir), keep=["doc_id"])
     return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= quality.CUT, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and notices in every whole document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["template"] < len(licenses.PHRASES))
+    names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def _license_sql() -> str:
+    templates = licenses.PHRASES + licenses.NOTICES
+    quoted = lambda w: "'" + w.decode() + "'"
+    facts = ", ".join(f"({i}, '{t.label}', CAST({t.share} AS DOUBLE), {t.drift}, {t.k}, {len(t.words)})" for i, t in enumerate(templates))
+    grams = ", ".join(f"({i}, {t.k}, {p}, [{', '.join(map(quoted, t.words[p : p + t.k]))}])" for i, t in enumerate(templates) for p in range(len(t.words) - t.k + 1))
+    return rf"""
+WITH facts(template, label, least, drift, k, size) AS (VALUES {facts}), grams(template, k, place, gram) AS (VALUES {grams}),
+d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), ks AS (SELECT DISTINCT k FROM facts),
+runs AS (SELECT r, k, p - 1 AS pos, list_slice(w, p, p + k - 1) AS gram FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, ks WHERE len(w) >= k)),
+votes AS (SELECT r, template, pos, place, pos - place AS diagonal FROM runs JOIN grams USING (k, gram)),
+gaps AS (SELECT votes.*, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > drift, false) AS apart FROM votes JOIN facts USING (template)),
+merged AS (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY r, template ORDER BY diagonal RANGE UNBOUNDED PRECEDING) AS grp FROM gaps),
+covered AS (SELECT r, template, grp, count(DISTINCT c) AS n FROM (SELECT r, template, grp, unnest(range(place, place + k)) AS c FROM merged JOIN facts USING (template)) GROUP BY ALL),
+ends AS (SELECT r, template, grp, min(pos) AS first_at, max(pos) + any_value(k) AS last_at FROM merged JOIN facts USING (template) GROUP BY ALL),
+spans AS (
+  SELECT r, template, label, first_at, n / size AS share FROM covered JOIN ends USING (r, template, grp) JOIN facts USING (template)
+  WHERE n / size >= least AND last_at - first_at <= ceil(size / least)
+), by_doc AS (
+  SELECT r, count(*) FILTER (WHERE template < {len(licenses.PHRASES)}) AS n_base,
+    min(first_at) FILTER (WHERE template < {len(licenses.PHRASES)}) AS first_word, max(first_at) FILTER (WHERE template < {len(licenses.PHRASES)}) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE template < {len(licenses.PHRASES)}) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM spans GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN by_doc USING (r)
+"""
+
+
+ORACLE_SQL["op9_license_scan"] = _license_sql()
