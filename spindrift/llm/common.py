@@ -61,16 +61,18 @@ def map_texts(df: DataFrame, text: str, outputs: dict[str, T.DataType], start: C
     columns of the same name. No shuffle; the number of rows is unchanged.
     """
     stay = [c for c in (df.columns if keep is None else keep) if c not in outputs]
-    taken = df.select(*[df[f"`{c}`"] for c in stay], df[f"`{text}`"].alias("__text"))
+    # a text that stays goes to Python once, and back
+    taken = df.select(*[df[f"`{c}`"] for c in stay], *([] if text in stay else [df[f"`{text}`"].alias("__text")]))
+    read = stay.index(text) if text in stay else len(stay)
     schema = T.StructType([df.schema[c] for c in stay] + [T.StructField(n, t) for n, t in outputs.items()])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start()
         for batch in batches:
-            for at, n in slices(batch.column(batch.num_columns - 1)):
+            for at, n in slices(batch.column(read)):
                 part = batch.slice(at, n)
-                made = f(part.column(part.num_columns - 1).to_pylist())
+                made = f(part.column(read).to_pylist())
                 columns = [part.column(i) for i in range(len(stay))]
                 columns += [pa.array(x, arrow.field(len(stay) + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(n, c.type) for n, c in zip(arrow.names, columns, strict=True)]))

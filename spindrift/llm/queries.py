@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, licenses, quality, secrets, simhash, toxicity
+from . import bpe, chat, decontam, langid, licenses, quality, secrets, simhash, topk, toxicity
 from .common import checkpointed, table
 from .sample import fold, labelled_texts
 
@@ -208,3 +208,23 @@ FROM d LEFT JOIN by_doc USING (r)
 
 
 ORACLE_SQL["op9_license_scan"] = _license_sql()
+
+
+@query
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all vectors for every vector whose id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+ORACLE_SQL["op10_topk_search"] = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), long AS (SELECT vec_id, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM v),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM long q JOIN long c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""

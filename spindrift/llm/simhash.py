@@ -209,11 +209,33 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", radiu
     return grouped(marked, radius, shard).select(F.col("id").alias(id), "fp", "component_id")
 
 
+def deduplicated(df: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 3, width: int = 3, shard: int = 2048) -> DataFrame:
+    """``df`` with one row of each component: that of the smallest id (then fingerprint, then all columns).
+
+    Null ids come last; a component of null ids only keeps one of its rows. Repeated rows are copies like others.
+    Where ids are unique, the texts are fingerprinted once and meet the kept ids in one join; only where ids repeat
+    or are null are the fingerprints, which then help to tell rows apart, computed again.
+    """
+    columns = df.columns
+    marked = checkpointed(fingerprints(df, text, "fp", width, [id]).select(F.col(id).alias("id"), "fp"))
+    repeated = not marked.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).isEmpty()
+    found = grouped(marked, radius, shard)
+    if not repeated:
+        kept = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_kept"))
+        return df.join(kept, F.col(id) == F.col("_kept"), "left_semi")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp"))
+    kept = checkpointed(found.groupBy("label").agg(first.alias("kept")).select(F.col("kept.id").alias("_kept"), F.col("kept.fp").alias("_kept_fp")))
+    rows = fingerprints(df, text, "_fp", width).join(kept, F.col(id).eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_kept_fp")))
+    first = rows.groupBy("_kept", "_fp").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row"))
+    return first.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
 def grouped(marked: DataFrame, radius: int = 3, shard: int = 2048) -> DataFrame:
-    """(id, fp, component_id) of fingerprinted rows (id, fp) that were written out."""
+    """(id, fp, label, component_id) of fingerprinted rows (id, fp) that were written out; label is the least
+    fingerprint of the component."""
     least = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
     label = components(links(least.select("fp"), radius, shard))
     classes = least.join(label, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("value"), F.coalesce("label", "fp").alias("label"), "least")
     names = classes.groupBy("label").agg(F.min("least").alias("component_id")).withColumnRenamed("label", "class")
-    of = classes.join(names, F.col("label") == F.col("class")).select("value", "component_id")
-    return marked.join(of, F.col("fp") == F.col("value")).select("id", "fp", "component_id")
+    of = classes.join(names, F.col("label") == F.col("class")).select("value", "label", "component_id")
+    return marked.join(of, F.col("fp") == F.col("value")).select("id", "fp", "label", "component_id")
