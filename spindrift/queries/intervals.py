@@ -10,7 +10,7 @@ from ..operators import intervals as o
 from ..operators.tables import ranked_lines
 from .tables import rounded
 
-FIXTURES["bed_a"] = "SELECT 'chr' || CAST(l_linenumber AS STRING) AS chrom, l_orderkey * 10 AS start, l_orderkey * 10 + CAST(l_quantity AS BIGINT) AS stop, 'a' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) || '_' || CAST(l_partkey AS STRING) || '_' || CAST(l_suppkey AS STRING) || '_' || CAST(CAST(l_extendedprice * 100 AS BIGINT) AS STRING) AS name, l_extendedprice AS score, CASE l_returnflag WHEN 'A' THEN '+' WHEN 'R' THEN '-' ELSE '.' END AS strand FROM lineitem"
+FIXTURES["bed_a"] = "SELECT 'chr' || CAST(l_linenumber AS STRING) AS chrom, l_orderkey * 10 AS start, l_orderkey * 10 + CAST(l_quantity AS BIGINT) AS stop, 'a' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) || '_' || CAST(l_partkey AS STRING) || '_' || CAST(l_suppkey AS STRING) || '_' || CAST(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS STRING) AS name, l_extendedprice AS score, CASE l_returnflag WHEN 'A' THEN '+' WHEN 'R' THEN '-' ELSE '.' END AS strand FROM lineitem"
 FIXTURES["bed_b"] = "SELECT 'chr' || CAST(1 + o_custkey % 7 AS STRING) AS chrom, o_orderkey * 10 + 5 AS start, o_orderkey * 10 + 6 + o_custkey % 30 AS stop, 'b' || CAST(o_orderkey AS STRING) AS name, o_totalprice AS score, CASE o_orderstatus WHEN 'F' THEN '+' WHEN 'O' THEN '-' ELSE '.' END AS strand FROM orders"
 FIXTURES["genome"] = "SELECT chrom, max(stop) + 1000 AS size FROM bed_a GROUP BY chrom"
 FIXTURES["track"] = "SELECT chrom, start, stop, name, score AS value, score, strand FROM bed_b"
