@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import map_texts
 
-#: Pre-tokens of the memo, and the length in characters from which a pre-token isn't kept there.
-MEMO, MEMO_LENGTH = 300_000, 48
+#: Pre-tokens of each of the memo's two generations, and the length in characters from which a pre-token isn't kept there.
+MEMO, MEMO_LENGTH = 250_000, 48
 NONE = -1
 
 
@@ -145,14 +145,20 @@ class Codec:
 
 
 class _Memo(dict):
+    """Results by pre-token, in two generations: when the young one is full it becomes the old one, and what is met
+    again moves up, so frequent pre-tokens stay."""
+
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, word: str) -> bytes:
-        out = self.codec.piece(word)
+        out = self.old.get(word)
+        if out is None:
+            out = self.codec.piece(word)
         if len(word) < MEMO_LENGTH:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[word] = out
         return out
