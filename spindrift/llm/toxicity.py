@@ -24,7 +24,7 @@ WINDOW, STRIDE = 16, 8
 WORDS, GRAMS, WIDTH, HIDDEN, ATTENTION = 1 << 14, 1 << 12, 8, 8, 8
 #: Rows learned of each label, and characters of the longest: the bounds of the sample.
 PER_LABEL, LONGEST = {0: 3000, 1: 1500}, 100_000
-EPOCHS, BATCH, PER_TEXT, RATE = 6, 256, 8, 0.01
+EPOCHS, LEAST_STEPS, BATCH, PER_TEXT, RATE = 6, 300, 256, 8, 0.01
 #: Words whose inputs a worker keeps, and windows scored at once.
 MEMO, STEP = 200_000, 2048
 
@@ -160,12 +160,12 @@ class Network:
         return grad, loss
 
 
-def fit(rows: pd.DataFrame, seed: int = 7, epochs: int = EPOCHS) -> Network:
+def fit(rows: pd.DataFrame, seed: int = 7) -> Network:
     """A network trained on rows (text, label).
 
     A label says that some window of the text is toxic, not which. The first epochs take random windows of each
     text; from then on a toxic text is represented by its windows of highest score, and others by random windows
-    and their highest. Each text weighs the same.
+    and their highest. Each text weighs the same. A small sample takes more epochs, to make up LEAST_STEPS steps.
     """
     rng, net = np.random.default_rng(seed), Network(seed)
     texts = [(w, int(y)) for w, y in zip(map(split_words, rows.text), rows.label, strict=True) if w]
@@ -177,7 +177,7 @@ def fit(rows: pd.DataFrame, seed: int = 7, epochs: int = EPOCHS) -> Network:
     every = [np.where(win >= 0, c[np.maximum(win, 0)], -1) for c in coded for win in [windows_of(len(c))]]
     label = np.array([y for _, y in texts], np.float32)
     first, second = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}
-    step = 0
+    step, epochs = 0, max(EPOCHS, -(-LEAST_STEPS * BATCH // (PER_TEXT * len(texts))))
     for epoch in range(epochs):
         picked = [rng.permutation(len(w))[:PER_TEXT] for w in every]
         if epoch >= epochs // 3:
