@@ -106,7 +106,7 @@ def adjusted(df: DataFrame, p: str, method: str = "bh", out: str = "q") -> DataF
 
     facts = df.where(F.col(p).isNotNull()).agg(F.count("*").alias("_m"))
     if method == "bonferroni":
-        return df.crossJoin(F.broadcast(facts)).withColumn(out, F.least(F.lit(1.0), F.col(p) * F.col("_m"))).drop("_m")
+        return df.crossJoin(F.broadcast(facts)).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * F.col("_m")))).drop("_m")
     each = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_k"))
     upto = running(each, ["_p"], "_k", "_rank").crossJoin(F.broadcast(facts))
     harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("_m")), F.lit(0.0), lambda s, i: s + 1.0 / i)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ordinals import materialized, ordinal
+
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(id, description, seq): records between '>' marks; an empty record has an empty sequence."""
@@ -21,13 +23,14 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """(id, description, seq, qual): four lines a record. Quality lines may begin with '@', so records are told by
-    position: whole files are split by fours, a file a task at least."""
-    files = spark.read.option("wholetext", True).text(path).select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("l"))
-    n = F.floor(F.size("l") / 4).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    part = lambda i, k: F.get(F.col("l"), i * 4 + k)
-    rows = files.select(F.explode(F.transform(at, lambda i: F.struct(part(i, 0).alias("h"), part(i, 1).alias("seq"), part(i, 3).alias("qual")))).alias("r"))
-    return rows.select(F.regexp_extract("r.h", r"^@(\S+)", 1).alias("id"), F.trim(F.regexp_extract("r.h", r"^@\S+\s*(.*)$", 1)).alias("description"), "r.seq", "r.qual")
+    their position in the file: lines are numbered over splits of any number, and meet by file and record."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    numbered = materialized(ordinal(lines, ["file", "block", "row"], "n", 0))
+    first = numbered.groupBy(F.col("file").alias("_file")).agg(F.min("n").alias("_first"))
+    at = numbered.join(first, F.col("file") == F.col("_file")).withColumn("n", F.col("n") - F.col("_first"))
+    part = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("line")))
+    rows = at.groupBy("file", F.floor(F.col("n") / 4).alias("record")).agg(part(0).alias("h"), part(1).alias("seq"), part(3).alias("qual")).where("qual is not null")
+    return rows.select(F.regexp_extract("h", r"^@(\S+)", 1).alias("id"), F.trim(F.regexp_extract("h", r"^@\S+\s*(.*)$", 1)).alias("description"), "seq", "qual")
 
 
 def _fields(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
@@ -52,7 +55,7 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
 
 def gff(spark: SparkSession, path: str) -> DataFrame:
     """Features of GFF3 or GTF, 1-based and closed, with their attributes as a map."""
-    pairs = F.filter(F.transform(F.split(F.get(F.col("f"), F.lit(8)), ";"), F.trim), lambda x: x != "")
+    pairs = F.filter(F.transform(F.split(F.get(F.col("f"), F.lit(8)), ";"), lambda x: F.trim(x)), lambda x: x != "")
     entries = F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, r"^([^=\s]+)", 1), F.regexp_replace(F.regexp_extract(x, r"^[^=\s]+[=\s]\s*(.*)$", 1), '"', "")))
     attributes = F.map_from_entries(F.array_distinct(entries))
     return _fields(spark, path).where(F.size("f") >= 9).select(
