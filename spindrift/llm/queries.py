@@ -93,6 +93,39 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"))
 
 
+def _secret_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    runs = []
+    patterns = [(kind, p, group, least) for kind, p, group, least in secrets.BASE]
+    patterns += [(c.kind, "[" + "".join("\\" + x if x in "+/=_-" else x for x in c.alphabet) + "]{" + str(c.window) + ",}", 0, c.window) for c in secrets.CLASSES]
+    for i, (kind, p, group, least) in enumerate(patterns):
+        runs.append(f"SELECT r, {i} AS ord, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, {quoted(p)}) AS whole, regexp_extract_all(t, {quoted(p)}, {group}) AS part, regexp_split_to_array(t, {quoted(p)}) AS gaps FROM d")
+    wanted = " OR ".join(
+        f"(kind = '{c.kind}' AND bits >= {c.bits} AND regexp_matches(run, '[0-9]') AND NOT regexp_full_match(run, {quoted(secrets.ALLOW)})" + (" AND regexp_matches(run, '[a-z]') AND regexp_matches(run, '[A-Z]'))" if c.mixed else ")") for c in secrets.CLASSES
+    )
+    base = ", ".join(quoted(kind) for kind, *_ in secrets.BASE)
+    window = secrets.CLASSES[0].window
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind, *_ in secrets.BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(runs)}),
+flat AS (SELECT r, ord, kind, least, unnest(range(1, len(whole) + 1)) AS k, unnest(whole) AS run, unnest(part) AS part, unnest(list_slice(gaps, 1, len(whole))) AS gap FROM m WHERE len(whole) > 0),
+placed AS (SELECT *, CAST(sum(length(gap) + length(run)) OVER (PARTITION BY r, ord ORDER BY k) AS BIGINT) AS stop FROM flat),
+chars AS (SELECT r, ord, k, i, substr(run, i + j, 1) AS c FROM (SELECT *, unnest(range(1, {window} + 1)) AS j FROM (SELECT *, unnest(range(0, length(run) - {window} + 1)) AS i FROM placed WHERE kind NOT IN ({base})))),
+entropy AS (SELECT r, ord, k, max(bits) AS bits FROM (SELECT r, ord, k, i, -sum(n / {window} * log2(n / {window})) AS bits FROM (SELECT r, ord, k, i, c, count(*) AS n FROM chars GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
+spans AS (
+  SELECT r, ord, kind, stop - length(run) AS start, stop FROM placed WHERE kind IN ({base}) AND length(part) >= least
+  UNION ALL SELECT r, ord, kind, stop - length(run), stop FROM placed JOIN entropy USING (r, ord, k) WHERE {wanted}
+), listed AS (SELECT *, kind || ':' || CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR) AS span FROM spans),
+by_doc AS (SELECT r, {counts}, coalesce(string_agg(span, ',' ORDER BY start, ord) FILTER (WHERE kind IN ({base})), '') AS base, string_agg(span, ',' ORDER BY start, ord) AS spans FROM listed GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN by_doc USING (r)
+"""
+
+
+ORACLE_SQL["op4_secret_scan"] = _secret_sql()
+
+
 @query
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against all benchmark items, by windows of 10 words."""
