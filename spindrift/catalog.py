@@ -66,7 +66,7 @@ def register(name: str, build: Callable[[Inputs], DataFrame], sql: str | None =
         ORACLE_SQL[name] = oracle(sql)
 
 
-for _family in ("tables", "intervals", "sequences", "reads", "variants", "alignments", "statistics", "omics", "annotation"):
+for _family in ("tables", "intervals", "sequences", "reads", "variants", "alignments", "statistics", "omics", "annotation", "kernels"):
     try:
         importlib.import_module(f"spindrift.queries.{_family}")
     except ModuleNotFoundError as e:

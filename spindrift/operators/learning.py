@@ -61,3 +61,53 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def split(df: DataFrame, id: str, test: float = 0.25, seed: int = 1) -> DataFrame:
     """A seeded split by a hash of the id, the same at any partitioning."""
     return df.withColumn("part", F.when(F.pmod(F.xxhash64(F.lit(seed), id), F.lit(1 << 20)) < int(test * (1 << 20)), "test").otherwise("train"))
+
+
+def classified(df: DataFrame, vector: str, label: str, test: float = 0.25, seed: int = 1) -> DataFrame:
+    """(label, prediction, n) of the held-out rows of a seeded split, by a logistic model."""
+    from pyspark.ml.classification import LogisticRegression
+
+    x = standardized(split(df.withColumn("_key", F.xxhash64(*df.columns)), "_key", test, seed), vector)
+    model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=1e-3).fit(x.where("part = 'train'"))
+    return model.transform(x.where("part = 'test'")).groupBy(label, "prediction").agg(F.count("*").alias("n"))
+
+
+def regressed(df: DataFrame, vector: str, target: str, ridge: float = 0.1, test: float = 0.25, seed: int = 1) -> DataFrame:
+    """(n, rmse, r2) on the held-out rows of a seeded split, by ridge regression."""
+    from pyspark.ml.regression import LinearRegression
+
+    x = standardized(split(df.withColumn("_key", F.xxhash64(*df.columns)), "_key", test, seed), vector)
+    model = LinearRegression(featuresCol="_x", labelCol=target, regParam=ridge).fit(x.where("part = 'train'"))
+    p = model.transform(x.where("part = 'test'"))
+    e = F.col("prediction") - F.col(target)
+    return p.agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.sum(e * e) / (F.var_pop(target) * F.count("*"))).alias("r2"))
+
+
+def validated(df: DataFrame, vector: str, ks: list[int], seed: int = 1) -> DataFrame:
+    """(k, cost, silhouette) of k-means for each k."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    x = materialized(standardized(df, vector).select("_x"))
+    rows = []
+    for k in ks:
+        model = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(x)
+        rows.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator(featuresCol="_x", predictionCol="cluster").evaluate(model.transform(x)))))
+    return df.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double")
+
+
+def density_clusters(points: DataFrame, eps: float, least: int) -> DataFrame:
+    """(id, cluster, core) of points (id, x, y): DBSCAN over a grid of cells as wide as ``eps``. Points meet those of
+    the nine cells around theirs; clusters are the components of core points, a border point joins its nearest core
+    (then the smaller id), and noise has no cluster."""
+    cell = points.withColumns({"_i": F.floor(F.col("x") / eps), "_j": F.floor(F.col("y") / eps)})
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    other = cell.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), around.alias("d"), "_i", "_j").select("b", "bx", "by", (F.col("_i") + F.col("d.i")).alias("_i"), (F.col("_j") + F.col("d.j")).alias("_j"))
+    gap = F.sqrt((F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by")))
+    near = materialized(cell.join(other, ["_i", "_j"]).select(F.col("id").alias("a"), "b", gap.alias("d")).where(F.col("d") <= eps))
+    core = materialized(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("core")))
+    linked = near.join(core, F.col("a") == F.col("core"), "left_semi").join(core, F.col("b") == F.col("core"), "left_semi")
+    label = components(linked, "a", "b")
+    named = core.join(label, F.col("core") == F.col("node"), "left").select("core", F.coalesce("component", "core").alias("cluster"))
+    joined = near.join(named, F.col("b") == F.col("core")).groupBy("a").agg(F.min(F.struct("d", "b", "cluster")).alias("best"))
+    own = core.withColumnRenamed("core", "_core")
+    return points.select("id").join(joined, F.col("id") == F.col("a"), "left").join(own, F.col("id") == F.col("_core"), "left").select("id", F.col("best.cluster").alias("cluster"), F.col("_core").isNotNull().alias("core"))

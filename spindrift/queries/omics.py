@@ -18,7 +18,7 @@ from .statistics import _CPM, _L, L, S
 from .tables import rounded
 
 _AA = "'0123456789abcdef', 'ACDEFGHIKLMNPQRS'"
-FIXTURES["proteins"] = f"SELECT p_partkey AS ln, 'p' || CAST(p_partkey AS STRING) AS id, translate(md5(CAST(p_partkey AS STRING)), {_AA}) || substr(translate(md5(p_name), {_AA}), 1, CAST(p_size AS INT)) AS seq FROM part"
+FIXTURES["proteins"] = f"SELECT p_partkey AS ln, 'p' || CAST(p_partkey AS STRING) AS id, translate(md5(CAST(p_partkey AS STRING)), {_AA}) || substr(translate(md5(CAST(p_partkey AS STRING) || 'x'), {_AA}), 1, CAST(p_size AS INT)) AS seq FROM part"
 FIXTURES["lineages"] = "SELECT c_custkey AS id, c_custkey % 40 AS query, 'k__' || r_name || ';p__' || n_name || ';s__' || c_mktsegment AS lineage, c_acctbal AS weight FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 FIXTURES["peptides"] = "SELECT l_partkey AS peptide, l_suppkey AS protein, l_extendedprice AS intensity, l_discount * 100 AS score, l_linenumber % 3 = 0 AS decoy FROM lineitem"
 FIXTURES["doses"] = "SELECT user_id AS subject, CAST(event_id AS DOUBLE) AS t, value AS v, event_type AS kind FROM events"
