@@ -168,16 +168,19 @@ def fit(rows: pd.DataFrame, seed: int = 7) -> Network:
     and their highest. Each text weighs the same. A small sample takes more epochs, to make up LEAST_STEPS steps.
     """
     rng, net = np.random.default_rng(seed), Network(seed)
-    texts = [(w, int(y)) for w, y in zip(map(split_words, rows.text), rows.label, strict=True) if w]
-    if len({y for _, y in texts}) < 2:
-        return net
     ids: dict[bytes, int] = {}
-    coded = [np.array([ids.setdefault(w, len(ids)) for w in words]) for words, _ in texts]
+    coded, known = [], []
+    for text, y in zip(rows.text, rows.label, strict=True):  # words are numbered at once: their lists would take most of the memory
+        if words := split_words(text):
+            coded.append(np.array([ids.setdefault(w, len(ids)) for w in words], np.int32))
+            known.append(int(y))
+    if len(set(known)) < 2:
+        return net
     codes = Codes.of(list(ids))
     every = [np.where(win >= 0, c[np.maximum(win, 0)], -1) for c in coded for win in [windows_of(len(c))]]
-    label = np.array([y for _, y in texts], np.float32)
+    label = np.array(known, np.float32)
     first, second = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}
-    step, epochs = 0, max(EPOCHS, -(-LEAST_STEPS * BATCH // (PER_TEXT * len(texts))))
+    step, epochs = 0, max(EPOCHS, -(-LEAST_STEPS * BATCH // (PER_TEXT * len(coded))))
     for epoch in range(epochs):
         picked = [rng.permutation(len(w))[:PER_TEXT] for w in every]
         if epoch >= epochs // 3:
