@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BIN = 1 << 14
+#: The narrowest bin, and the most bins that one interval may be filed under.
+NARROWEST, MOST_BINS = 64, 1024
 
 
 def _bins(low: Column, high: Column, size: int) -> Column:
     return F.sequence(F.floor(low / size), F.greatest(F.floor(low / size), F.floor((high - 1) / size)))
 
 
+def bin_size(a: DataFrame, b: DataFrame, slack: int = 0) -> int:
+    """A power of two: about four mean lengths, so that bins hold little but what overlaps, and wide enough for the
+    longest interval to fit in MOST_BINS. One pass over the coordinates of both sides."""
+    n = F.col("stop") - F.col("start")
+    facts = a.select((n + 2 * slack).alias("n")).unionAll(b.select(n.alias("n"))).agg(F.avg("n").alias("mean"), F.max("n").alias("most")).first()
+    wanted = max(NARROWEST, 4 * (facts.mean or 0), (facts.most or 0) / MOST_BINS)
+    return 1 << math.ceil(math.log2(wanted))
+
+
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
-def overlapping(a: DataFrame, b: DataFrame, slack: int = 0, strand: bool = False, size: int = BIN, how: str = "inner") -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame, slack: int = 0, strand: bool = False, size: int | None = None, how: str = "inner") -> DataFrame:
     """Pairs of half-open intervals (chrom, start, stop) that overlap once ``a`` is widened by ``slack``; columns are
     a_* and b_*.
 
     Both sides are filed under each bin that they touch, and a pair is kept in the first bin that it shares, so it
     comes once. ``strand``: strands are equal, or one is '.'. ``how``: inner, left_semi or left_anti.
     """
+    size = size or bin_size(a, b, slack)
     if how != "inner":
         rows = a.withColumn("_id", F.struct(*a.columns))
         hit = overlapping(rows, b, slack, strand, size).select(F.col("a__id").alias("_hit")).distinct()
