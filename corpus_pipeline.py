@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, decontam, quality, secrets, simhash
+from spindrift.llm import bpe, decontam, neardup, quality, secrets
 from spindrift.llm.common import checkpointed, table
 from spindrift.llm.queries import quality_ranker
 
@@ -22,8 +22,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies: similarity 0.8 or more of their sets of five-word shingles."""
+    return neardup.deduplicated(docs, width=5, share=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
-    ("SimHash near-dedup", near_deduplicated),
+    ("near-dedup", near_deduplicated),
     ("benchmark decontamination", decontaminated),
     ("secret scans", without_secrets),
     ("byte-level BPE", tokenized),
