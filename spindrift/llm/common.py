@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -24,20 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder, with its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, local mode) is one made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a folder is made in local mode only: a
+    machine-local folder on a cluster would not be seen by the other executors.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def extended(df: DataFrame, names: dict[str, T.DataType]) -> T.StructType:
-    """The schema of ``df`` with further columns; a column of ``df`` whose name clashes is replaced."""
-    kept = [f for f in df.schema.fields if f.name not in names]
-    return T.StructType(kept + [T.StructField(n, t) for n, t in names.items()])
-
-
 def slices(column: pa.Array) -> list[tuple[int, int]]:
     """(start, length) of runs of rows within SLICE and SLICE_BYTES."""
     n = len(column)
@@ -56,8 +54,8 @@ def slices(column: pa.Array) -> list[tuple[int, int]]:
 def map_texts(df: DataFrame, text: str, outputs: dict[str, T.DataType], start: Callable[[], Callable[[list], list]], keep: list[str] | None = None) -> DataFrame:
     """``df`` with columns computed from one text column, a bounded slice of rows at a time.
 
-    ``start()`` runs once in each task and gives a function from a list of texts (str or None) to one list for each
-    column of ``outputs``. ``keep`` lists the columns of ``df`` that stay (all, if None); ``outputs`` replaces
+    ``start()`` runs once in each task and gives a function from a list of texts (str or None) to one list, or Arrow
+    array of the type, for each column of ``outputs``. ``keep`` lists the columns of ``df`` that stay (all, if None); ``outputs`` replaces
     columns of the same name. No shuffle; the number of rows is unchanged.
     """
     stay = [c for c in (df.columns if keep is None else keep) if c not in outputs]
@@ -74,7 +72,7 @@ def map_texts(df: DataFrame, text: str, outputs: dict[str, T.DataType], start: C
                 part = batch.slice(at, n)
                 made = f(part.column(read).to_pylist())
                 columns = [part.column(i) for i in range(len(stay))]
-                columns += [pa.array(x, arrow.field(len(stay) + i).type) for i, x in enumerate(made)]
+                columns += [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(len(stay) + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(n, c.type) for n, c in zip(arrow.names, columns, strict=True)]))
 
     return taken.mapInArrow(run, schema)

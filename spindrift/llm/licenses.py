@@ -3,7 +3,7 @@
 All rolling word k-gram hashes of a document are joined to the positions of the same k-grams in license templates.
 Each joined pair votes for a diagonal, document position less template position; votes are summed by diagonal,
 neighbouring diagonals merge (words put in or left out), and a span is verified by the share of template words that
-its matched k-grams cover. The join compares the words of the k-grams too, so covered words are equal words, not
+its matched k-grams cover; a diagonal's state is a mask of those words and its ends. The join compares the words of the k-grams too, so covered words are equal words, not
 equal hashes. A bitmap of the template hashes drops, before the join, k-grams that no template has.
 """
 
@@ -12,13 +12,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import map_texts
+from .common import checkpointed, map_texts
 from .words import split_words
 
 
@@ -63,8 +64,10 @@ NOTICES = (
 )
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Word hashes that a worker keeps.
-MEMO = 300_000
+MEMO = 100_000
 HIT = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("gram", T.StringType())])
+#: Template words in one mask of covered words.
+BITS = 62
 
 
 class _Hashes(dict):
@@ -87,15 +90,22 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def template_positions(templates: tuple[Template, ...]) -> list[tuple]:
-    """(k, hash, gram, template, place) of every k-gram of every template."""
-    rows = []
+    """(k, hash, gram, template, place, masks) of every k-gram of every template; the masks have the bits of the
+    template words that the k-gram covers, BITS words each."""
+    rows, n = [], masks(templates)
     for i, t in enumerate(templates):
         words, k = t.words, t.k
         h = rolling(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), k).view(np.int64).tolist()
-        rows += [(k, h[p], b" ".join(words[p : p + k]).decode(), i, p) for p in range(len(h))]
+        for p in range(len(h)):
+            covered = ((1 << k) - 1) << p
+            rows.append((k, h[p], b" ".join(words[p : p + k]).decode(), i, p, [covered >> m * BITS & (1 << BITS) - 1 for m in range(n)]))
     return rows
 
 
+def masks(templates: tuple[Template, ...]) -> int:
+    return max([1, *(-(-len(t.words) // BITS) for t in templates)])
+
+
 def _hits(df: DataFrame, templates: tuple[Template, ...], text: str, keep: list[str] | None) -> DataFrame:
     """``df`` with n_words and the k-grams of each text that may be in a template."""
     positions = template_positions(templates)
@@ -107,18 +117,20 @@ def _hits(df: DataFrame, templates: tuple[Template, ...], text: str, keep: list[
         word_hash = _Hashes()
 
         def run(texts):
-            sizes, found = [], []
+            sizes, ends, parts, grams = [], [0], [], []
             for text in texts:
                 words = split_words(text)
                 sizes.append(len(words))
-                own = []
                 hashes = np.fromiter(map(word_hash.__getitem__, words), np.uint64, len(words))
                 for k, bits in maps.items():
                     h = rolling(hashes, k)
-                    for p in np.flatnonzero(bits[(h & np.uint64(0xFFFF)).astype(np.intp)]).tolist():
-                        own.append({"k": k, "at": p, "hash": int(h[p].astype(np.int64)), "gram": b" ".join(words[p : p + k]).decode()})
-                found.append(own)
-            return sizes, found
+                    at = np.flatnonzero(bits[(h & np.uint64(0xFFFF)).astype(np.intp)])
+                    parts.append((np.full(len(at), k, np.int32), at, h[at].view(np.int64)))
+                    grams += [b" ".join(words[p : p + k]).decode() for p in at.tolist()]
+                ends.append(len(grams))
+            flat = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3)]
+            arrays = [pa.array(flat[0], pa.int32()), pa.array(flat[1], pa.int64()), pa.array(flat[2], pa.int64()), pa.array(grams, pa.string())]
+            return sizes, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, HIT.names))
 
         return run
 
@@ -130,39 +142,49 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, tex
     words [start, end), by start.
 
     Null and empty texts have no words. Repeated rows are scanned each; columns named like an output are replaced.
-    The template positions, of fixed size, are broadcast to the join; one shuffle by row follows, of the joined
-    pairs and one row for each document, never of texts.
+    The rows that are kept are written out once with their k-grams and a number each, so that the numbers hold when
+    executors are lost. The template positions, of fixed size, are broadcast to the join. Votes are shuffled by row;
+    the state of a diagonal is its masks, its first and its last place, whatever the number of votes.
     """
     spark = df.sparkSession
     stay = [c for c in (df.columns if keep is None else keep) if c not in ("n_words", "spans", "_hits", "_row")]
-    hits = _hits(df, templates, text, stay).withColumn("_row", F.monotonically_increasing_id())
-    grams = spark.createDataFrame(template_positions(templates), "t_k int, t_hash long, t_gram string, template int, place long")
-    one = hits.select("_row", F.struct(*[F.col(f"`{c}`") for c in stay], "n_words").alias("_doc"), F.explode_outer("_hits").alias("_hit"))
-    voted = one.join(F.broadcast(grams), (F.col("_hit.k") == F.col("t_k")) & (F.col("_hit.hash") == F.col("t_hash")) & (F.col("_hit.gram") == F.col("t_gram")), "left")
-    votes = voted.select("_row", "_doc", "template", "place", F.col("_hit.at").alias("at"))
-    return _spans(votes, templates, stay)
+    hits = checkpointed(_hits(df, templates, text, stay).withColumn("_row", F.monotonically_increasing_id()))
+    grams = spark.createDataFrame(template_positions(templates), "t_k int, t_hash long, t_gram string, template int, place long, covers array<long>")
+    grams = grams.select("t_k", "t_hash", "t_gram", "template", "place", *[F.col("covers")[m].alias(f"m{m}") for m in range(masks(templates))])
+    one = hits.where(F.size("_hits") > 0).select("_row", F.inline("_hits"))
+    votes = one.join(F.broadcast(grams), (F.col("k") == F.col("t_k")) & (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")))
+    found = _spans(votes, templates).groupBy("_row").agg(F.sort_array(F.collect_list("span")).alias("spans"))
+    whole = hits.drop("_hits").join(found.withColumnRenamed("_row", "_of"), F.col("_row") == F.col("_of"), "left")
+    none = F.array().cast("array<struct<start: bigint, end: bigint, template: int, label: string, share: double>>")
+    return whole.select(*[F.col(f"`{c}`") for c in stay], "n_words", F.coalesce("spans", none).alias("spans"))
 
 
 def _facts(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
     rows = [(i, t.label, t.share, t.drift, t.k, len(t.words)) for i, t in enumerate(templates)]
-    return spark.createDataFrame(rows, "of int, label string, least double, drift int, k int, size int")
+    return spark.createDataFrame(rows, "of int, label string, least double, drift int, t_words int, size int")
+
 
+def _spans(votes: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
+    """(_row, span) of the verified spans of votes (_row, template, place, at, masks).
 
-def _spans(votes: DataFrame, templates: tuple[Template, ...], stay: list[str]) -> DataFrame:
-    votes = votes.repartition("_row")
-    # a document without a vote keeps one row, of a null template
-    diagonals = votes.groupBy("_row", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_list(F.when(F.col("template").isNotNull(), F.struct("place", "at"))).alias("pairs"), F.first("_doc").alias("_doc"))
-    known = diagonals.join(F.broadcast(_facts(votes.sparkSession, templates)), F.col("template") == F.col("of"), "left")
+    Diagonals at most ``drift`` apart merge. A merged group that is too long for one template (several occurrences
+    on near diagonals) falls back to its diagonals, each verified on its own.
+    """
+    names = [f"m{m}" for m in range(masks(templates))]
+    diagonals = votes.groupBy("_row", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
+        *[F.bit_or(m).alias(m) for m in names], F.min("at").alias("first"), F.max("at").alias("last")
+    )
+    known = diagonals.join(F.broadcast(_facts(votes.sparkSession, templates)), F.col("template") == F.col("of"))
     by = Window.partitionBy("_row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > F.col("drift"), F.lit(False)).cast("int")
-    merged = known.withColumn("group", F.sum(apart).over(by)).groupBy("_row", "template", "group").agg(
-        F.flatten(F.collect_list("pairs")).alias("pairs"), *[F.first(c).alias(c) for c in ("label", "least", "k", "size", "_doc")]
-    )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.sequence(p["place"], p["place"] + F.col("k") - 1)))))
-    start, end = F.array_min(F.transform("pairs", lambda p: p["at"])), F.array_max(F.transform("pairs", lambda p: p["at"])) + F.col("k")
-    spans = merged.withColumns({"start": start, "end": end, "share": covered / F.col("size")})
-    # several occurrences on near diagonals would make a span too long for one template
-    good = (F.col("share") >= F.col("least")) & (F.col("end") - F.col("start") <= F.ceil(F.col("size") / F.col("least")))
-    span = F.when(good, F.struct("start", "end", "template", "label", "share"))
-    whole = spans.groupBy("_row").agg(F.first("_doc").alias("_doc"), F.sort_array(F.collect_list(span)).alias("spans"))
-    return whole.select(*[F.col("_doc").getField(c).alias(c) for c in stay], F.col("_doc.n_words").alias("n_words"), "spans")
+    grouped = known.withColumn("apart", apart).withColumn("group", F.sum("apart").over(by))
+    group = Window.partitionBy("_row", "template", "group")
+    merged = {f"all_{m}": F.bit_or(m).over(group) for m in names} | {"all_first": F.min("first").over(group), "all_last": F.max("last").over(group), "least_diagonal": F.min("diagonal").over(group)}
+    longest = F.ceil(F.col("size") / F.col("least"))
+    judged = grouped.withColumns(merged).withColumn("whole", F.col("all_last") + F.col("t_words") - F.col("all_first") <= longest)
+    own = lambda m: F.when(F.col("whole"), F.col(f"all_{m}")).otherwise(F.col(m))
+    covered = sum((F.bit_count(own(m)) for m in names), F.lit(0))
+    start, end = own("first"), own("last") + F.col("t_words")
+    kept = judged.where(~F.col("whole") | (F.col("diagonal") == F.col("least_diagonal"))).withColumn("share", covered / F.col("size"))
+    span = F.struct(start.alias("start"), end.alias("end"), "template", "label", "share")
+    return kept.where(F.col("share") >= F.col("least")).select("_row", span.alias("span"))

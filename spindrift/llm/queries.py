@@ -222,11 +222,14 @@ runs AS (SELECT r, k, p - 1 AS pos, list_slice(w, p, p + k - 1) AS gram FROM (SE
 votes AS (SELECT r, template, pos, place, pos - place AS diagonal FROM runs JOIN grams USING (k, gram)),
 gaps AS (SELECT votes.*, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > drift, false) AS apart FROM votes JOIN facts USING (template)),
 merged AS (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY r, template ORDER BY diagonal RANGE UNBOUNDED PRECEDING) AS grp FROM gaps),
-covered AS (SELECT r, template, grp, count(DISTINCT c) AS n FROM (SELECT r, template, grp, unnest(range(place, place + k)) AS c FROM merged JOIN facts USING (template)) GROUP BY ALL),
-ends AS (SELECT r, template, grp, min(pos) AS first_at, max(pos) + any_value(k) AS last_at FROM merged JOIN facts USING (template) GROUP BY ALL),
+sized AS (SELECT r, template, grp, max(pos) + any_value(k) - min(pos) <= any_value(ceil(size / least)) AS fits FROM merged JOIN facts USING (template) GROUP BY ALL),
+units AS (SELECT merged.*, CASE WHEN fits THEN NULL ELSE diagonal END AS own FROM merged JOIN sized USING (r, template, grp)),
+covered AS (SELECT r, template, grp, own, count(DISTINCT c) AS n FROM (SELECT r, template, grp, own, unnest(range(place, place + k)) AS c FROM units JOIN facts USING (template)) GROUP BY ALL),
+ends AS (SELECT r, template, grp, own, min(pos) AS first_at FROM units GROUP BY ALL),
 spans AS (
-  SELECT r, template, label, first_at, n / size AS share FROM covered JOIN ends USING (r, template, grp) JOIN facts USING (template)
-  WHERE n / size >= least AND last_at - first_at <= ceil(size / least)
+  SELECT r, template, label, first_at, n / size AS share FROM covered
+  JOIN (SELECT r AS r2, template AS template2, grp AS grp2, own AS own2, first_at FROM ends) ON r = r2 AND template = template2 AND grp = grp2 AND own IS NOT DISTINCT FROM own2
+  JOIN facts USING (template) WHERE n / size >= least
 ), by_doc AS (
   SELECT r, count(*) FILTER (WHERE template < {len(licenses.PHRASES)}) AS n_base,
     min(first_at) FILTER (WHERE template < {len(licenses.PHRASES)}) AS first_word, max(first_at) FILTER (WHERE template < {len(licenses.PHRASES)}) AS last_word,
