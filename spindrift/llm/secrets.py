@@ -6,12 +6,14 @@ goes down, and the sum of c * log2(c) changes by a looked-up difference. Each ch
 own alphabet and threshold; an allow-list suppresses known harmless strings. Positions are code points.
 
 ``split`` and ``regexp_extract_all`` walk the same leftmost non-overlapping matches, so the running lengths of gaps
-and matches give the positions. Everything is a projection: no shuffle, no Python.
+and matches give the positions. Everything is a projection: no shuffle, no Python. Arrays that are looked up in a
+walk are bound to a lambda variable first: an expression would be computed again at each step.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +27,6 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-SPAN = "array<struct<start: bigint, end: bigint, kind: string, order: int>>"
 
 
 @dataclass(frozen=True)
@@ -46,54 +47,88 @@ CLASSES = (
     CharacterClass("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 20, 3.5, True),
 )
 #: Candidates that match one of these as a whole are no secrets: UUIDs, example keys, runs of digits, file and URL paths of words.
-ALLOW = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|.*(example|placeholder|xxxx|your[_-]).*|[0-9]+|([a-z]+[/_=-]+)*[a-z]+"
+ALLOW = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|.*(example|placeholder|xxxx|your[_-]).*|[0-9]+|[a-z]([a-z/_=-]*[a-z])?"
 
 
-def _spans(text: Column, pattern: str, group: int, least: int, kind: str, order: int) -> Column:
-    """Spans of all matches whose group has the least length, in order."""
+#: Items whose running values are made in one walk; the walk over the blocks' totals is as much shorter.
+BLOCK = 256
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of the value, which is computed once however often ``f`` names it, at every step of a walk too."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _running(items: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """For each item, the values of those before it joined (0 at first), as array<bigint>.
+
+    A walk that appends to an array copies it at each step; so it goes over blocks, from the total of those before.
+    """
+    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    go = lambda s, v: F.struct(join(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    zero = F.lit(0).cast("bigint")
+
+    def of(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda own: F.aggregate(own, zero, lambda s, x: join(s, value(x))))
+        offsets = F.aggregate(totals, start(zero), go, lambda s: s["out"])
+        return F.flatten(F.zip_with(blocks, offsets, lambda own, at: F.aggregate(own, start(at), lambda s, x: go(s, value(x)), lambda s: s["out"])))
+
+    return _bound(_blocks(items), of)
+
+
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """All matches as array<struct<start, end, run>>, where run is the group's text."""
     p = F.lit(pattern)
     whole, measured = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    parts = F.transform(whole, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("size"), F.length(F.get(measured, i)).alias("n")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("found"))
+    sizes = F.zip_with(F.split(text, pattern, -1), whole, lambda g, m: F.struct(F.length(g).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("size")))
+    parts = F.zip_with(sizes, measured, lambda x, r: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), r.alias("run")))
+
+    def placed(own: Column) -> Column:
+        before = _running(own, lambda x: x["gap"] + x["size"], lambda a, b: a + b)
+        return F.zip_with(own, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["run"].alias("run")))
+
+    # most texts have no match: the walk is then skipped; what follows the last match is no match
+    found = _bound(F.filter(parts, lambda x: x["size"].isNotNull()), placed)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start: bigint, end: bigint, run: string>>"))
+
 
-    def step(state: Column, x: Column) -> Column:
-        a = state["at"] + x["gap"]
-        b = a + x["size"]
-        hit = F.array(F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("kind"), F.lit(order).alias("order")))
-        return F.struct(b.alias("at"), F.when(x["n"] >= least, F.concat(state["found"], hit)).otherwise(state["found"]).alias("found"))
+def _named(matches: Column, kind: str, order: int) -> Column:
+    return F.transform(matches, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(order).alias("order")))
 
-    # most texts have no match: the walk is then skipped
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda s: s["found"])).otherwise(F.array().cast(SPAN))
+
+def _spans(text: Column, pattern: str, group: int, least: int, kind: str, order: int) -> Column:
+    """Spans of all matches whose group has the least length, in order."""
+    return _named(F.filter(_matches(text, pattern, group), lambda x: F.length(x["run"]) >= least), kind, order)
 
 
 def window_entropy(candidate: Column, alphabet: str, window: int) -> Column:
-    """The largest Shannon entropy (bits) of any window of the candidate, by incremental counts.
+    """The largest Shannon entropy (bits) of any window of the candidate, by incremental counts, in time that follows
+    the candidate's length.
 
     The state holds the counts by place in the alphabet and the sum of c * log2(c); the entropy is
     log2(window) - sum / window. Shorter candidates are one window of their own length.
     """
     cost = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     table = F.array(*[F.lit(c) for c in cost])
-    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    places = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
     zero = F.array_repeat(F.lit(0), len(alphabet))
-    state = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"), F.lit(0).alias("i"))
+    start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"), F.lit(0).alias("i"))
 
-    def of(counts: Column, code: Column) -> Column:
-        return F.get(counts, code)
-
-    def step(s: Column, code: Column, all_codes: Column) -> Column:
-        c = of(s["counts"], code)
-        grown = F.transform(s["counts"], lambda x, j: F.when(j == code, x + 1).otherwise(x))
+    def step(s: Column, code: Column, codes: Column) -> Column:
+        counts, full = s["counts"], s["i"] >= window
+        gone = F.when(full, F.get(codes, s["i"] - window)).otherwise(-1)
+        same = code == gone  # one comes, one of its kind goes
+        c, g = F.get(counts, code), F.get(counts, gone)
         rise = F.get(table, c + 1) - F.get(table, c)
-        gone = F.get(all_codes, s["i"] - window)
-        full = s["i"] >= window
-        g = of(grown, gone)
-        counts = F.when(full, F.transform(grown, lambda x, j: F.when(j == gone, x - 1).otherwise(x))).otherwise(grown)
-        fall = F.when(full, F.get(table, g - 1) - F.get(table, g)).otherwise(F.lit(0.0))
-        total = s["sum"] + rise + fall
+        fall = F.when(full, F.get(table, g - 1) - F.get(table, g)).otherwise(0.0)
+        after = F.transform(counts, lambda x, j: F.when(j == code, x + 1).when(j == gone, x - 1).otherwise(x))
+        total = F.when(same, s["sum"]).otherwise(s["sum"] + rise + fall)
         least = F.when(s["i"] >= window - 1, F.least(s["least"], total)).otherwise(s["least"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), least.alias("least"), (s["i"] + 1).alias("i"))
+        return F.struct(F.when(same, counts).otherwise(after).alias("counts"), total.alias("sum"), least.alias("least"), (s["i"] + 1).alias("i"))
 
     n = F.length(candidate)
 
@@ -101,25 +136,13 @@ def window_entropy(candidate: Column, alphabet: str, window: int) -> Column:
         short = F.log2(n.cast("double")) - s["sum"] / n
         return F.when(n < window, short).otherwise(math.log2(window) - s["least"] / window)
 
-    return F.aggregate(codes, state, lambda s, code: step(s, code, codes), done)
+    return _bound(places, lambda codes: F.aggregate(codes, start, lambda s, code: step(s, code, codes), done))
 
 
 def _candidates(text: Column, kind: CharacterClass) -> Column:
     """Spans and strings of the maximal runs of a class that are long enough."""
     inside = "".join("\\" + c if c in "+/=_-" else c for c in kind.alphabet)
-    run = rf"(?<![{inside}])[{inside}]{{{kind.window},}}"
-    p = F.lit(run)
-    whole, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, run, -1)
-    kept = "array<struct<start: bigint, end: bigint, run: string>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kept).alias("found"))
-
-    def step(state: Column, x: Column) -> Column:
-        a = state["at"] + x["gap"]
-        b = a + F.length(x["run"])
-        return F.struct(b.alias("at"), F.concat(state["found"], F.array(F.struct(a.alias("start"), b.alias("end"), x["run"].alias("run")))).alias("found"))
-
-    parts = F.transform(whole, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("run")))
-    return F.when(text.rlike(run), F.aggregate(parts, start, step, lambda s: s["found"])).otherwise(F.array().cast(kept))
+    return _matches(text, rf"(?<![{inside}])[{inside}]{{{kind.window},}}")
 
 
 def _entropy_spans(text: Column, kind: CharacterClass, order: int, allow: str) -> Column:
@@ -130,8 +153,7 @@ def _entropy_spans(text: Column, kind: CharacterClass, order: int, allow: str) -
             wanted = wanted & run.rlike("[a-z]") & run.rlike("[A-Z]")
         return F.when(wanted, window_entropy(run, kind.alphabet, kind.window) >= kind.bits).otherwise(False)
 
-    hits = F.filter(_candidates(text, kind), holds)
-    return F.transform(hits, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(kind.kind).alias("kind"), F.lit(order).alias("order")))
+    return _named(F.filter(_candidates(text, kind), holds), kind.kind, order)
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "secrets", classes: tuple[CharacterClass, ...] = CLASSES, allow: str = ALLOW) -> DataFrame:
@@ -156,16 +178,18 @@ def listed(spans: Column) -> Column:
 
 def masked(df: DataFrame, text: str = "text", spans: str = "secrets", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with the text under each group of overlapping spans replaced by a mark (null texts stay null)."""
-    state = F.struct(F.lit(1).cast("bigint").alias("next"), F.array().cast("array<string>").alias("parts"))
     whole = F.col(f"`{text}`")
 
-    def step(s: Column, x: Column) -> Column:
-        # overlapping or repeated spans: what is left of them is hidden under the mark before
-        fresh = x["start"] + 1 >= s["next"]
-        parts = F.concat(s["parts"], F.array(whole.substr(s["next"].cast("int"), (x["start"] + 1 - s["next"]).cast("int")), F.lit(mark)))
-        return F.struct(F.greatest(s["next"], x["end"] + 1).alias("next"), F.when(fresh, parts).otherwise(s["parts"]).alias("parts"))
+    def piece(t: Column, start: Column, end: Column) -> Column:
+        return t.substr((start + 1).cast("int"), (end - start).cast("int"))
 
-    def done(s: Column) -> Column:
-        return F.concat(F.array_join(s["parts"], ""), whole.substr(s["next"].cast("int"), F.length(whole)))
+    def hidden(own: Column) -> Column:
+        before = _running(own, lambda x: x["end"], F.greatest)
+        # overlapping or repeated spans: what is left of them is hidden under the mark before
+        cuts = F.filter(F.zip_with(own, before, lambda x, at: F.struct(at.alias("start"), x["start"].alias("end"))), lambda c: c["end"] >= c["start"])
+        # a piece is found by walking the text to it; so the text is cut into blocks first
+        block = lambda c: _bound(c[0]["start"], lambda base: _bound(piece(whole, base, F.element_at(c, -1)["end"]), lambda t: F.array_join(F.transform(c, lambda x: F.concat(piece(t, x["start"] - base, x["end"] - base), F.lit(mark))), "")))
+        shown = _bound(cuts, lambda found: F.array_join(F.transform(F.filter(_blocks(found), lambda c: F.size(c) > 0), block), ""))
+        return F.concat(shown, _bound(F.array_max(F.transform(own, lambda x: x["end"])), lambda last: piece(whole, last, F.greatest(last, F.length(whole).cast("bigint")))))
 
-    return df.withColumn(text, F.when(F.size(spans) > 0, F.aggregate(spans, state, step, done)).otherwise(whole))
+    return df.withColumn(text, F.when(F.size(spans) > 0, _bound(F.col(spans), hidden)).otherwise(whole))

@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -48,3 +50,19 @@ def test_masked_texts_hold_no_secret(spark):
 def test_main_path_has_no_python(spark):
     plan = secrets.scan(spark.createDataFrame([("x",)], "text string").repartition(2))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan.replace("ArrowEval", "Arrow")
+
+
+def test_very_long_candidates_and_very_many_matches(spark):
+    rng = random.Random(4)
+    blob = "".join(rng.choice(secrets.CLASSES[1].alphabet[:62]) for _ in range(200_000))
+    dull = "aB1" * 70_000
+    many = "".join(f"token={rng.randrange(10**5, 10**6)} é " for _ in range(50_000))
+    texts = [f"é {blob} end", dull, many]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = secrets.scan(df).select("doc_id", "text", "secrets", secrets.listed(F.col("secrets")).alias("z"))
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.masked(found).collect()}
+    assert got[0].z == "entropy_base64:2:200002" and got[0].text == "é [SECRET] end"
+    assert got[1].z == "" and got[1].text == dull
+    assert got[2].z == brute(many) and got[2].text == "[SECRET] é " * 50_000
+    assert time.time() - began < 60
