@@ -111,8 +111,9 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
 m AS ({" UNION ALL ".join(runs)}),
 flat AS (SELECT r, ord, kind, least, unnest(range(1, len(whole) + 1)) AS k, unnest(whole) AS run, unnest(part) AS part, unnest(list_slice(gaps, 1, len(whole))) AS gap FROM m WHERE len(whole) > 0),
 placed AS (SELECT *, CAST(sum(length(gap) + length(run)) OVER (PARTITION BY r, ord ORDER BY k) AS BIGINT) AS stop FROM flat),
-chars AS (SELECT r, ord, k, i, substr(run, i + j, 1) AS c FROM (SELECT *, unnest(range(1, {window} + 1)) AS j FROM (SELECT *, unnest(range(0, length(run) - {window} + 1)) AS i FROM placed WHERE kind NOT IN ({base})))),
-entropy AS (SELECT r, ord, k, max(bits) AS bits FROM (SELECT r, ord, k, i, -sum(n / {window} * log2(n / {window})) AS bits FROM (SELECT r, ord, k, i, c, count(*) AS n FROM chars GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
+pieces AS (SELECT r, ord, k, piece, part AS run FROM (SELECT r, ord, k, unnest(range(1, len(parts) + 1)) AS piece, unnest(parts) AS part FROM (SELECT *, regexp_split_to_array(run, {quoted(secrets.HARMLESS)}) AS parts FROM placed WHERE kind NOT IN ({base}))) WHERE length(part) >= {window}),
+chars AS (SELECT r, ord, k, piece, i, substr(run, i + j, 1) AS c FROM (SELECT *, unnest(range(1, {window} + 1)) AS j FROM (SELECT *, unnest(range(0, length(run) - {window} + 1)) AS i FROM pieces))),
+entropy AS (SELECT r, ord, k, max(bits) AS bits FROM (SELECT r, ord, k, piece, i, -sum(n / {window} * log2(n / {window})) AS bits FROM (SELECT r, ord, k, piece, i, c, count(*) AS n FROM chars GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
 spans AS (
   SELECT r, ord, kind, stop - length(run) AS start, stop FROM placed WHERE kind IN ({base}) AND length(part) >= least
   UNION ALL SELECT r, ord, kind, stop - length(run), stop FROM placed JOIN entropy USING (r, ord, k) WHERE {wanted}

@@ -3,7 +3,7 @@
 Base kinds are found by pattern. The entropy kind slides a window over candidate strings (long runs of token
 characters) and keeps the Shannon entropy of the window by incremental counts: at each step one count goes up, one
 goes down, and the sum of c * log2(c) changes by a looked-up difference. Each character class (hex, base64) has its
-own alphabet and threshold; an allow-list suppresses known harmless strings. Positions are code points.
+own alphabet and threshold; an allow-list suppresses known harmless strings, and windows over known harmless words. Positions are code points.
 
 ``split`` and ``regexp_extract_all`` walk the same leftmost non-overlapping matches, so the running lengths of gaps
 and matches give the positions. Everything is a projection: no shuffle, no Python. Arrays that are looked up in a
@@ -46,8 +46,10 @@ CLASSES = (
     CharacterClass("entropy_hex", "0123456789abcdefABCDEF", 20, 3.0, False),
     CharacterClass("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 20, 3.5, True),
 )
-#: Candidates that match one of these as a whole are no secrets: UUIDs, example keys, runs of digits, file and URL paths of words.
-ALLOW = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|.*(example|placeholder|xxxx|your[_-]).*|[0-9]+|[a-z]([a-z/_=-]*[a-z])?"
+#: Candidates that match one of these as a whole are no secrets: UUIDs, runs of digits, file and URL paths of words.
+ALLOW = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9]+|[a-z]([a-z/_=-]*[a-z])?"
+#: Words of example keys: windows over one of them don't count, the rest of the candidate does.
+HARMLESS = r"(?i)example|placeholder|xxxx|your[_-]"
 
 
 #: Items whose running values are made in one walk; the walk over the blocks' totals is as much shorter.
@@ -145,28 +147,30 @@ def _candidates(text: Column, kind: CharacterClass) -> Column:
     return _matches(text, rf"(?<![{inside}])[{inside}]{{{kind.window},}}")
 
 
-def _entropy_spans(text: Column, kind: CharacterClass, order: int, allow: str) -> Column:
+def _entropy_spans(text: Column, kind: CharacterClass, order: int, allow: str, harmless: str) -> Column:
     def holds(c: Column) -> Column:
         run = c["run"]
         wanted = run.rlike("[0-9]") & ~run.rlike(rf"^(?:{allow})$")
         if kind.mixed:
             wanted = wanted & run.rlike("[a-z]") & run.rlike("[A-Z]")
-        return F.when(wanted, window_entropy(run, kind.alphabet, kind.window) >= kind.bits).otherwise(False)
+        parts = F.filter(F.split(run, harmless, -1), lambda part: F.length(part) >= kind.window)
+        return F.when(wanted, F.exists(parts, lambda part: window_entropy(part, kind.alphabet, kind.window) >= kind.bits)).otherwise(False)
 
     return _named(F.filter(_candidates(text, kind), holds), kind.kind, order)
 
 
-def scan(df: DataFrame, text: str = "text", out: str = "secrets", classes: tuple[CharacterClass, ...] = CLASSES, allow: str = ALLOW) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", out: str = "secrets", classes: tuple[CharacterClass, ...] = CLASSES, allow: str = ALLOW, harmless: str = HARMLESS) -> DataFrame:
     """``df`` with the spans of all secrets of each whole text: array<struct<start, end, kind, order>> by start, then
     kind in the order of BASE and ``classes``.
 
     Code points, end exclusive. Null and empty texts have none; repeated rows are scanned each; a column named
-    like the output is replaced. Base spans stay whatever the entropy says; an entropy span that covers the same
+    like the output is replaced. Candidates that match ``allow`` as a whole have no entropy span; of others only the
+    parts between matches of ``harmless`` count. Base spans stay whatever the entropy says; an entropy span that covers the same
     text as a base span is its own span.
     """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     found = [_spans(whole, p, group, least, kind, i) for i, (kind, p, group, least) in enumerate(BASE)]
-    found += [_entropy_spans(whole, c, len(BASE) + i, allow) for i, c in enumerate(classes)]
+    found += [_entropy_spans(whole, c, len(BASE) + i, allow, harmless) for i, c in enumerate(classes)]
     by = lambda a, b: F.when(a["start"] != b["start"], F.signum((a["start"] - b["start"]).cast("double")).cast("int")).otherwise(a["order"] - b["order"])
     return df.withColumn(out, F.array_sort(F.concat(*found), by))
 
