@@ -22,7 +22,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: similarity 0.8 or more of their sets of five-word shingles."""
+    """One document of each group of near copies: similarity 0.8 or more of their sets of five-word shingles, found by
+    SimHash (operator 3) and, where fingerprints are too far apart, by an exact join."""
     return neardup.deduplicated(docs, width=5, share=0.8)
 
 
@@ -42,13 +43,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents (packed), and a digest of what they decode to."""
     vocab = bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    back = bpe.decode(bpe.encode(docs, vocab, keep=["doc_id", "lang", "source"]), vocab)
+    back = bpe.round_trip(docs, vocab, keep=["doc_id", "lang", "source"])
     return back.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
     ("quality classifier", good_quality),
-    ("near-dedup", near_deduplicated),
+    ("SimHash near-dedup", near_deduplicated),
     ("benchmark decontamination", decontaminated),
     ("secret scans", without_secrets),
     ("byte-level BPE", tokenized),

@@ -9,6 +9,7 @@ fixed size) is broadcast.
 from __future__ import annotations
 
 import base64
+from array import array
 from heapq import heapify, heappop, heappush
 from struct import pack
 
@@ -22,7 +23,9 @@ from pyspark.sql import types as T
 from .common import map_texts
 
 #: Pre-tokens of each of the memo's two generations, and the length in characters from which a pre-token isn't kept there.
-MEMO, MEMO_LENGTH = 250_000, 48
+MEMO, MEMO_LENGTH = 120_000, 48
+#: Bytes from which a pre-token is merged in arrays of machine integers, a quarter of the lists' memory.
+LONG = 4096
 NONE = -1
 
 
@@ -102,9 +105,11 @@ class Codec:
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the adjacent pair of lowest rank joins first, the leftmost of equals."""
         n, join = len(piece), self.pairs.get
-        ids = [self.of_byte[b] for b in piece]
-        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = [join(ids[i] << 20 | ids[i + 1], NONE) for i in range(n - 1)] + [NONE]
+        held = list if n < LONG else lambda x: array("q", x)
+        ids = held(self.of_byte[b] for b in piece)
+        following, before = held(range(1, n + 1)), held(range(-1, n - 1))
+        rank = held(join(ids[i] << 20 | ids[i + 1], NONE) for i in range(n - 1))
+        rank.append(NONE)
         heap = [r << 40 | i for i, r in enumerate(rank) if r != NONE]
         heapify(heap)
         while heap:
@@ -201,6 +206,21 @@ def encode(df: DataFrame, vocab: Broadcast, text: str = "text", ids: str = "ids"
     return map_texts(df, text, {ids: T.BinaryType(), n_tokens: T.LongType()}, start, keep)
 
 
+def round_trip(df: DataFrame, vocab: Broadcast, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """``encode``, and the bytes that the ids decode to, in one worker: with one vocabulary there, not two."""
+
+    def start():
+        codec = _same(*vocab.value)
+
+        def run(texts):
+            packed = [codec.encode(t) for t in texts]
+            return packed, [len(p) // 4 for p in packed], list(map(codec.decode, packed))
+
+        return run
+
+    return map_texts(df, text, {ids: T.BinaryType(), n_tokens: T.LongType(), decoded: T.BinaryType()}, start, keep)
+
+
 def decode(df: DataFrame, vocab: Broadcast, ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """``df`` with the bytes that packed ids stand for (null ids: no bytes)."""
 

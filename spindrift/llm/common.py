@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +36,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """Names like ``names`` that no column has, for helper columns."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(column: pa.Array) -> list[tuple[int, int]]:
     """(start, length) of runs of rows within SLICE and SLICE_BYTES."""
     n = len(column)

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from .words import split_words
 BLOCK = 200_000
 SPANS = T.ArrayType(T.LongType())
 NAMES = T.ArrayType(T.StringType())
+OUTPUTS = {"n_hit": T.LongType(), "hit_spans": SPANS, "items": NAMES, "contaminated": T.BooleanType()}
 
 
 def item_windows(benchmark: DataFrame, size: int, id: str = "item_id", text: str = "text") -> DataFrame:
@@ -121,12 +124,38 @@ class Windows:
         return both[0], both[1]
 
 
-def _occurrences(documents: DataFrame, block, text: str, share: float, keep: list[str], names: dict) -> DataFrame:
-    """``documents`` with n_words, and the hit word ranges and items of one block, added to those before."""
+_built: dict[tuple, Windows] = {}
+
+
+def _windows(block, share: float) -> Windows:
+    """One index for each block in a process, so that reused workers build it once."""
+    name, rows, counts = block.value
+    if (name, share) not in _built:
+        _built.clear()
+        _built[name, share] = Windows(rows, counts, share)
+    return _built[name, share]
+
+
+def _judged(spans: list[list[int]], items: list) -> tuple[list, list, list, list]:
+    """n_hit, the merged spans, the items, and whether there is a hit, of each document."""
+    n_hit, merged = [], []
+    for own in spans:
+        flat: list[int] = []
+        for a, b in sorted(zip(own[::2], own[1::2], strict=True)):
+            if flat and a <= flat[-1]:
+                flat[-1] = max(flat[-1], b)
+            else:
+                flat += [a, b]
+        n_hit.append(sum(flat[1::2]) - sum(flat[::2]))
+        merged.append(flat)
+    return n_hit, merged, [sorted(set(x)) for x in items], [n > 0 for n in n_hit]
+
+
+def _occurrences(documents: DataFrame, block, text: str, share: float, keep: list[str], names: dict, made: Callable = lambda spans, items: (spans, [sorted(x) for x in items])) -> DataFrame:
+    """``documents`` with n_words, and what ``made`` gives for the hit word ranges and items of one block."""
 
     def start():
-        rows, counts = block.value
-        windows = Windows(rows, counts, share)
+        windows = _windows(block, share)
         code = windows.code.get
 
         def run(texts):
@@ -143,7 +172,7 @@ def _occurrences(documents: DataFrame, block, text: str, share: float, keep: lis
                 a -= int(ends[d] - sizes[d])
                 spans[d] += [a, a + int(windows.length[k])]
                 items[d].add(windows.item[k])
-            return sizes.tolist(), spans, [sorted(x) for x in items]
+            return sizes.tolist(), *made(spans, items)
 
         return run
 
@@ -161,8 +190,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 10, sh
     """
     spark = documents.sparkSession
     names = {"n_words": T.LongType(), "_spans": SPANS, "_items": NAMES}
-    outputs = ("n_hit", "hit_spans", "items", "contaminated")
-    stay = [c for c in (documents.columns if keep is None else keep) if c not in names and c not in outputs]
+    stay = [c for c in (documents.columns if keep is None else keep) if c not in names and c not in OUTPUTS]
     windows = checkpointed(item_windows(benchmark, size, item_id, item_text))
     counts = checkpointed(corpus_counts(documents, windows.select(F.explode("words").alias("word")), text))
     parts = windows.withColumn("part", F.xxhash64("words"))
@@ -172,32 +200,19 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 10, sh
         own = parts.where(F.pmod("part", F.lit(blocks)) == b)
         rows = [(r.item, [bytes(w) for w in r.words]) for r in own.select("item", "words").collect()]
         uses = counts.join(own.select(F.explode("words").alias("word")).distinct(), "word", "left_semi").collect()
-        sent = spark.sparkContext.broadcast((rows, {bytes(r.word): r.n for r in uses}))
+        sent = spark.sparkContext.broadcast((uuid4().hex, rows, {bytes(r.word): r.n for r in uses}))
         last = b == blocks - 1
+        if last and not held:  # one block, as a rule: all in one pass
+            return _occurrences(now, sent, text, share, stay, {"n_words": T.LongType()} | OUTPUTS, _judged)
         found = _occurrences(now, sent, text, share, [*stay, *([text] if not last and text not in stay else []), *(["_held_spans", "_held_items"] if held else [])], names)
         if held:
             found = found.withColumns({"_spans": F.concat("_held_spans", "_spans"), "_items": F.concat("_held_items", "_items")}).drop("_held_spans", "_held_items")
         if not last:
             now, held = checkpointed(found).withColumnsRenamed({"_spans": "_held_spans", "_items": "_held_items"}).drop("n_words"), True
 
-    def merge():
-        def run(rows):
-            n_hit, merged, own = [], [], []
-            for r in rows:
-                flat: list[int] = []
-                pairs = sorted(zip(r["spans"][::2], r["spans"][1::2], strict=True))
-                for a, b in pairs:
-                    if flat and a <= flat[-1]:
-                        flat[-1] = max(flat[-1], b)
-                    else:
-                        flat += [a, b]
-                n_hit.append(sum(flat[1::2]) - sum(flat[::2]))
-                merged.append(flat)
-                own.append(sorted(set(r["items"])))
-            return n_hit, merged, own, [n > 0 for n in n_hit]
-
-        return run
-
     both = found.select(*[F.col(f"`{c}`") for c in stay], "n_words", F.struct(F.col("_spans").alias("spans"), F.col("_items").alias("items")).alias("_found"))
-    return map_texts(both, "_found", {"n_hit": T.LongType(), "hit_spans": SPANS, "items": NAMES, "contaminated": T.BooleanType()}, merge, [*stay, "n_words"])
 
+    def merge():
+        return lambda rows: _judged([r["spans"] for r in rows], [r["items"] for r in rows])
+
+    return map_texts(both, "_found", OUTPUTS, merge, [*stay, "n_words"])

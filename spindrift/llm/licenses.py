@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import checkpointed, map_texts
+from .common import checkpointed, map_texts, unused
 from .words import split_words
 
 
@@ -106,8 +106,8 @@ def masks(templates: tuple[Template, ...]) -> int:
     return max([1, *(-(-len(t.words) // BITS) for t in templates)])
 
 
-def _hits(df: DataFrame, templates: tuple[Template, ...], text: str, keep: list[str] | None) -> DataFrame:
-    """``df`` with n_words and the k-grams of each text that may be in a template."""
+def _hits(df: DataFrame, templates: tuple[Template, ...], text: str, keep: list[str] | None, out: str) -> DataFrame:
+    """``df`` with n_words and, in ``out``, the k-grams of each text that may be in a template."""
     positions = template_positions(templates)
     maps = {k: np.zeros(1 << 16, bool) for k in sorted({p[0] for p in positions})}
     for k, h, *_ in positions:
@@ -134,7 +134,7 @@ def _hits(df: DataFrame, templates: tuple[Template, ...], text: str, keep: list[
 
         return run
 
-    return map_texts(df, text, {"n_words": T.LongType(), "_hits": T.ArrayType(HIT)}, start, keep)
+    return map_texts(df, text, {"n_words": T.LongType(), out: T.ArrayType(HIT)}, start, keep)
 
 
 def scan(df: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -147,16 +147,18 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTICES, tex
     the state of a diagonal is its masks, its first and its last place, whatever the number of votes.
     """
     spark = df.sparkSession
-    stay = [c for c in (df.columns if keep is None else keep) if c not in ("n_words", "spans", "_hits", "_row")]
-    hits = checkpointed(_hits(df, templates, text, stay).withColumn("_row", F.monotonically_increasing_id()))
+    stay = [c for c in (df.columns if keep is None else keep) if c not in ("n_words", "spans")]
+    row, own = unused(df.columns, "_row", "_hits")
+    hits = checkpointed(_hits(df, templates, text, stay, own).withColumn(row, F.monotonically_increasing_id()))
     grams = spark.createDataFrame(template_positions(templates), "t_k int, t_hash long, t_gram string, template int, place long, covers array<long>")
     grams = grams.select("t_k", "t_hash", "t_gram", "template", "place", *[F.col("covers")[m].alias(f"m{m}") for m in range(masks(templates))])
-    one = hits.where(F.size("_hits") > 0).select("_row", F.inline("_hits"))
+    one = hits.where(F.size(own) > 0).select(F.col(row).alias("_row"), F.inline(own))
     votes = one.join(F.broadcast(grams), (F.col("k") == F.col("t_k")) & (F.col("hash") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")))
     found = _spans(votes, templates).groupBy("_row").agg(F.sort_array(F.collect_list("span")).alias("spans"))
-    whole = hits.drop("_hits").join(found.withColumnRenamed("_row", "_of"), F.col("_row") == F.col("_of"), "left")
+    at, made = unused([*hits.columns, row], "_of", "_spans")
+    whole = hits.drop(own).join(found.select(F.col("_row").alias(at), F.col("spans").alias(made)), F.col(row) == F.col(at), "left")
     none = F.array().cast("array<struct<start: bigint, end: bigint, template: int, label: string, share: double>>")
-    return whole.select(*[F.col(f"`{c}`") for c in stay], "n_words", F.coalesce("spans", none).alias("spans"))
+    return whole.select(*[F.col(f"`{c}`") for c in stay], "n_words", F.coalesce(made, none).alias("spans"))
 
 
 def _facts(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:

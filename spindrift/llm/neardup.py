@@ -1,33 +1,43 @@
-"""Near-dedup by exact Jaccard similarity of word shingles: a prefix-filtered set join, without a radius to miss pairs.
+"""Near-dedup at a stated similarity: SimHash and BK-trees (operator 3), an exact check, and an exact join for the rest.
 
 A text is the set of the 64-bit hashes of its shingles; equal sets collapse to one key before anything is compared.
-All hashes have one global order: from rare to common by the cells of a counting sketch, then by value. The sketch
-has a fixed size and only the order depends on it, never the result. Of two sets of similarity ``share`` or more, the
-first n - ceil(share * n) + 1 hashes of each, its prefix, have one in common; so keys meet in the buckets of their
-prefix hashes, and each pair that meets within the length bound is verified on the whole sets.
-
-A group of near copies would meet in pairs as many as its square. So the keys of a bucket first meet only its most
-ordinary one; components follow, and then only pairs of different components meet, all of them.
+The keys' fingerprints meet in BK-trees, and each link found is checked by the exact Jaccard similarity of the sets.
+A fingerprint of 64 bits can't decide the rest: sets of similarity 0.8 differ in ten bits on average, a radius at
+which a tree prunes next to nothing. So a prefix-filtered set join finds all further pairs, without a radius to miss
+any: all hashes have one global order, from rare to common by the cells of a counting sketch, then by value. The
+sketch has a fixed size and only the order depends on it, never the result. Of two sets of similarity ``share`` or
+more, the first n - ceil(share * n) + 1 hashes of each, its prefix, have one in common; so keys meet in the buckets of
+their prefix hashes, and each pair that meets within the length bound is checked on the whole sets, which only the
+texts of such pairs give again.
+
+A group of near copies would meet in pairs as many as its square. So the keys of a bucket first meet only a few pivots;
+components follow, and then only pairs of different components meet, all of them that the bounds let through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import checkpointed, slices
-from .simhash import CHUNK, SEED, components
+from .common import checkpointed, slices, unused
+from .simhash import CHUNK, SEED, components, links as fingerprint_links, majority
 
 #: Cells of the counting sketch, and those in one row of it.
 CELLS, PART = 1 << 20, 1 << 16
-#: Keys of candidates (16 bytes) and ids of copies up to which they are broadcast.
+#: Keys of candidates and components (16 bytes each) and ids of copies up to which they are broadcast.
 SENT = 500_000
+#: 64-bit words of a set's parities.
+WORDS = 16
+#: Pivots of a bucket besides its most ordinary key.
+PIVOTS = 2
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -49,6 +59,13 @@ def _key(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.astype("<u8").tobytes())
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """For each of 64 * WORDS cells, as bits, whether an odd number of the hashes fall in it. Two sets' bits differ in
+    no more places than the sets do."""
+    ones = np.bincount((own >> np.uint64(32)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list]]:
     for at, n in slices(batch.column(column)):
         yield at, n, batch.column(column).slice(at, n).to_pylist()
@@ -99,10 +116,10 @@ def _levels(parts: DataFrame) -> np.ndarray:
     return level
 
 
-def _sets(df: DataFrame, text: str, width: int, level: np.ndarray) -> DataFrame:
-    """(key, k, n, rank, own): each set once in a task, its hashes from rare to common, so that its prefix comes first;
-    rank is the mean level of its hashes, and k a short form of the key."""
-    sent = df.sparkSession.sparkContext.broadcast(level)
+def _sets(df: DataFrame, text: str, width: int, share: float, level: np.ndarray) -> DataFrame:
+    """(key, k, n, rank, fp, parity, prefix): each set once in a task. The prefix has its rarest hashes in order, rank is the
+    mean level of all its hashes, fp its fingerprint, and k a short form of the key."""
+    sent, least = df.sparkSession.sparkContext.broadcast(level), Fraction(str(share))
 
     def run(batches):
         seen: dict[bytes, None] = {}
@@ -118,28 +135,63 @@ def _sets(df: DataFrame, text: str, width: int, level: np.ndarray) -> DataFrame:
                         seen.clear()
                     seen[key] = None
                     levels = sent.value[(own % np.uint64(CELLS)).astype(np.int64)]
-                    rows.append((key, int.from_bytes(key[:8], "little", signed=True), len(own), float(levels.mean()), own[np.lexsort((own, levels))].view(np.int64)))
+                    size = len(own) - math.ceil(least * len(own)) + 1
+                    prefix = own[np.lexsort((own, levels))[:size]].view(np.int64)
+                    rows.append((key, int.from_bytes(key[:8], "little", signed=True), len(own), float(levels.mean()), int(majority(own).view(np.int64)), parity(own), prefix))
                 if rows:
                     arrays = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "k", "n", "rank", "own"])
+                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "k", "n", "rank", "fp", "parity", "prefix"])
+
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return df.select(F.col(text)).mapInArrow(run, "key binary, k long, n long, rank double, fp long, parity array<long>, prefix array<long>")
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) that the sets' parities allow: similar sets of n and m hashes differ in
+    (n + m) * (1 - share) / (1 + share) hashes at most. Loses no similar pair, and moves no set."""
+    keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
+    of = checkpointed(sets.select("key", "n", "parity").join(keys, "key", "left_semi").dropDuplicates(["key"]))
+    both = pairs.join(of.select(F.col("key").alias("a"), "n", F.col("parity").alias("x")), "a").join(of.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    least = Fraction(str(share))
+    return checkpointed(both.where(apart * (least.denominator + least.numerator) <= (F.col("n") + F.col("m")) * (least.denominator - least.numerator)).select("a", "b"))
 
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
-    return df.select(F.col(text)).mapInArrow(run, "key binary, k long, n long, rank double, own array<long>")
 
+def _verified(pairs: DataFrame, marked: DataFrame, df: DataFrame, id: str, text: str, width: int, share: float, unique: bool) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar; only texts of keys in pairs are read for it, one for each key."""
+    keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
+    of = checkpointed(marked.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("of")).select(F.col("key").alias("_key"), F.col("of.id").alias("_id")))
+    few = F.broadcast(of) if of.count() <= SENT else of
+    texts = df.select(F.col(id).alias("id"), F.col(text).alias("text")).join(few, F.col("id").eqNullSafe(F.col("_id"))).select("_key", "text")
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar; only the sets of keys in pairs are moved."""
-    keys = checkpointed(pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct())
-    few = F.broadcast(keys) if keys.count() <= SENT else keys
-    own = sets.select("key", "own").join(few, "key").dropDuplicates(["key"])
+    def run(batches):
+        for batch in batches:
+            for at, n, own in _texts(batch, 1):
+                found = [shingles(t, width) for t in own]
+                same = [_key(x) == k for x, k in zip(found, batch.column(0).slice(at, n).to_pylist(), strict=True)]  # ids may repeat
+                kept = [i for i, x in enumerate(same) if x]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).take(pa.array(kept, pa.int64())), pa.array([found[i].view(np.int64) for i in kept], pa.list_(pa.int64()))], names=["key", "own"])
+
+    own = texts.mapInArrow(run, "key binary, own array<long>")
+    own = checkpointed(own if unique else own.dropDuplicates(["key"]))
     both = pairs.join(own.select(F.col("key").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("key").alias("b"), F.col("own").alias("y")), "b")
     least, common = Fraction(str(share)), F.size(F.array_intersect("x", "y"))
     either = F.size("x") + F.size("y") - common
     return checkpointed(both.where(common * least.denominator >= either * least.numerator).select("a", "b"))
 
 
-def _candidates(x: DataFrame, share: float) -> DataFrame:
-    """The distinct pairs of rows (a, n, at, b, m, to) within the bounds, the lesser key first.
+def _fingerprint_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """Pairs of keys (a, b) that span the components of fingerprints within ``radius`` bits: each key of a
+    fingerprint goes with its least one, and these go along the links that BK-trees find."""
+    least = checkpointed(sets.groupBy("fp").agg(F.min("key").alias("least")))
+    same = sets.join(least, "fp").select(F.col("key").alias("x"), F.col("least").alias("y"))
+    found = fingerprint_links(least.select("fp"), radius)
+    ends = found.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
+    return same.unionAll(ends).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _may_link(share: float) -> Column:
+    """Whether rows (a, n, at) and (b, m, to) of one bucket may be similar.
 
     Sets of n and m hashes need share / (1 + share) * (n + m) in common. After the first that they share, at places
     ``at`` and ``to``, only those behind it can be; so the pair passes in the bucket of its first common hash.
@@ -147,59 +199,78 @@ def _candidates(x: DataFrame, share: float) -> DataFrame:
     least = Fraction(str(share))
     near = F.least("n", "m") * least.denominator >= F.greatest("n", "m") * least.numerator
     near = near & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) * (least.denominator + least.numerator) >= (F.col("n") + F.col("m")) * least.numerator)
-    return x.where(near & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return near & (F.col("a") != F.col("b"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs, the lesser key first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
+def _filed(sets: DataFrame, share: float) -> DataFrame:
+    """(h, at, key, n, rank): the sets in the buckets of their prefix hashes, where another one is that may be similar.
 
-def labels(sets: DataFrame, share: float) -> DataFrame:
-    """(node, label) of all keys that are similar to another: label is the least key of the component."""
-    # a bucket of one set is most of all, so what is dealt is small: one exchange, for the counts and the rows
+    With the first common hash at place ``at``, a set's partner has reach = (n - at) * (1 + share) / share - n hashes
+    at most; rows whose reach is below the least set of the bucket go."""
+    # most buckets are of one set, so what stays of the one exchange of all is small
+    filed, bucket = sets.select(F.posexplode("prefix").alias("at", "h"), "k"), Window.partitionBy("h")
+    shared = filed.withColumns({"_least": F.min("k").over(bucket), "_most": F.max("k").over(bucket)}).where("_least <> _most")
+    near = shared.select("h", "k", "at").distinct().join(sets.select("k", "key", "n", "rank").distinct(), "k")
     least = Fraction(str(share))
-    size = F.expr(f"cast(n - (n * {least.numerator} + {least.denominator - 1}) div {least.denominator} + 1 as int)")
-    filed = sets.select(F.posexplode(F.slice("own", F.lit(1), size)).alias("at", "h"), "k").repartition("h")
-    shared = filed.groupBy("h").agg(F.min("k").alias("_least"), F.max("k").alias("_most")).where("_least <> _most").select("h")
-    near = checkpointed(filed.join(shared, "h").distinct())
-    met = checkpointed(near.join(sets.select("k", "key", "n", "rank").distinct(), "k").select("h", "at", "key", "n", "rank"))
-    ordinary = met.groupBy("h").agg(F.max(F.struct("rank", "key", "n", "at")).alias("top"))
-    to_top = met.join(ordinary, "h").select(F.col("key").alias("a"), "n", "at", F.col("top.key").alias("b"), F.col("top.n").alias("m"), F.col("top.at").alias("to"))
-    first = checkpointed(_candidates(to_top, share))
-    links = _verified(first, sets, share)
-    found = components(links)
-    # pairs of different components, through the pairs of their labels in a bucket
-    of = checkpointed(met.join(found, F.col("key") == F.col("node"), "left").select("h", "at", "key", "n", F.coalesce("label", "key").alias("label")))
-    mixed = of.groupBy("h").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least <> _most").select("h")
-    open_ = checkpointed(of.join(mixed, "h"))
-    here = open_.select("h", "label").distinct()
-    two = here.select("h", F.col("label").alias("l")).join(here.select("h", F.col("label").alias("r")), "h").where("l < r")
-    left = two.join(open_.select("h", F.col("label").alias("l"), F.col("key").alias("a"), "n", "at"), ["h", "l"])
-    pairs = left.join(open_.select("h", F.col("label").alias("r"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("at").alias("to")), ["h", "r"])
-    rest = checkpointed(_candidates(pairs, share).join(first, ["a", "b"], "left_anti"))
+    reach = (F.col("n") - F.col("at")) * (least.denominator + least.numerator) >= (F.col("n") + F.col("_least")) * least.numerator
+    return checkpointed(near.withColumn("_least", F.min("n").over(bucket)).where(reach).select("h", "at", "key", "n", "rank"))
+
+
+def labels(sets: DataFrame, share: float, radius: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, label) of all keys that are similar to another: label is the least key of the component. ``verified``
+    keeps the pairs whose sets are similar."""
+    met, bucket = _filed(sets, share), Window.partitionBy("h")
+    # a bucket's pivots are its most ordinary key and PIVOTS others, the same ones in all buckets of a group
+    row = F.struct(F.col("key").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"))
+    orders = [F.struct("rank", "key"), *[F.struct(F.xxhash64("key", F.lit(i)), "key") for i in range(PIVOTS)]]
+    to_pivots = met.withColumn("pivots", F.array(*[F.max_by(row, o).over(bucket) for o in orders])).select(F.col("key").alias("a"), "n", "at", F.inline("pivots"))
+    first = checkpointed(_ordered(to_pivots.where(_may_link(share))).union(_fingerprint_pairs(sets, radius)).distinct())
+    links = verified(_plausible(first, sets, share))
+    found = checkpointed(components(links))
+    sent = F.broadcast(found) if found.count() <= SENT else found
+    # then all pairs of different components: rows that aren't of their bucket's largest component with all others
+    of = checkpointed(met.join(sent, F.col("key") == F.col("node"), "left").select("h", "at", "key", "n", F.coalesce("label", "key").alias("label")))
+    parts = of.groupBy("h", "label").count().groupBy("h").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = checkpointed(of.join(parts.select("h", F.col("most.label").alias("most")), "h"))
+    left = open_.where("label <> most").select("h", "most", F.col("key").alias("a"), "n", "at", F.col("label").alias("l"))
+    right = open_.select(F.col("h").alias("h2"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("label").alias("r"))
+    pairs = left.join(right, F.expr("h = h2 AND l <> r AND (r = most OR l < r)") & _may_link(share))
+    rest = checkpointed(_ordered(pairs).join(first, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return found
-    more = _verified(rest, sets, share)
+    more = verified(_plausible(rest, sets, share))
     return found if more.isEmpty() else components(links.unionAll(more))
 
 
-def deduplicated(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, share: float = 0.8) -> DataFrame:
+def deduplicated(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, share: float = 0.8, radius: int = 3) -> DataFrame:
     """``df`` with one row of each component: that of the smallest id (then key of its set, then all columns).
 
     Rows link if the Jaccard similarity of their sets of ``width``-word shingles (only A-Z folded, ASCII white space
-    splits) is ``share`` or more. Texts without words link with each other. Null ids come last; a component of null
+    splits) is ``share`` or more. ``radius`` is that of the fingerprints' links; the result doesn't depend on it.
+    Texts without words link with each other. Null ids come last; a component of null
     ids only keeps one of its rows. Repeated rows are copies like others.
     """
     columns = df.columns
+    kept_id, kept_key, copy = unused(columns, "_kept", "_kept_key", "_copy")
     made = checkpointed(_marked(df, id, text, width))
     marked = made.where("key IS NOT NULL").select("id", "key")
-    sets = checkpointed(_sets(df, text, width, _levels(made.where("part IS NOT NULL").select("part", "cells"))))
-    found = labels(sets, share)
+    unique = marked.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).isEmpty()
+    sets = checkpointed(_sets(df, text, width, share, _levels(made.where("part IS NOT NULL").select("part", "cells"))))
+    found = labels(sets, share, radius, lambda pairs: _verified(pairs, marked, df, id, text, width, share, unique))
     classes = marked.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).join(found, F.col("key") == F.col("node"), "left")
-    kept = checkpointed(classes.groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("first").alias("kept")).select(F.col("kept.id").alias("_kept"), F.col("kept.key").alias("_kept_key")))
-    if marked.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).isEmpty():
-        copies = checkpointed(marked.join(kept, F.col("id") == F.col("_kept"), "left_anti").select(F.col("id").alias("_copy")))
+    kept = checkpointed(classes.groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("first").alias("kept")).select(F.col("kept.id").alias(kept_id), F.col("kept.key").alias(kept_key)))
+    if unique:
+        copies = checkpointed(marked.join(kept, F.col("id") == F.col(kept_id), "left_anti").select(F.col("id").alias(copy)))
         if copies.count() <= SENT:  # then the texts stay where they are
-            return df.join(F.broadcast(copies), F.col(id) == F.col("_copy"), "left_anti")
-        return df.join(kept, F.col(id) == F.col("_kept"), "left_semi")
+            return df.join(F.broadcast(copies), F.col(id) == F.col(copy), "left_anti")
+        return df.join(kept, F.col(id) == F.col(kept_id), "left_semi")
     # ids that repeat or are null don't tell rows apart: their keys and columns do
     own = F.udf(lambda t: _key(shingles(t, width)), "binary")
-    rows = df.join(kept, F.col(id).eqNullSafe(F.col("_kept"))).where(own(F.col(text)) == F.col("_kept_key"))
-    first = rows.groupBy("_kept", "_kept_key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row"))
+    rows = df.join(kept, F.col(id).eqNullSafe(F.col(kept_id))).where(own(F.col(text)) == F.col(kept_key))
+    first = rows.groupBy(kept_id, kept_key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row"))
     return first.select(*[F.col("row").getField(c).alias(c) for c in columns])

@@ -29,9 +29,7 @@ def vocabulary(spark: SparkSession):
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every whole document, then decodes the ids; digests of both."""
-    vocab = vocabulary(spark)
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocab, keep=["doc_id"])
-    return bpe.decode(encoded, vocab).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary(spark), keep=["doc_id"]).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -1,12 +1,15 @@
 """SimHash near-dedup with BK-trees (operator 3).
 
 Fingerprints are computed once for each whole text and collapse to distinct values before anything is compared. Two
-fingerprints within ``radius`` bits agree on at least ``BLOCKS - radius`` of BLOCKS blocks of bits, so each distinct
-value is filed under every choice of that many blocks; only values in the same bucket can be links. A bucket of more
-than ``shard`` values is dealt to shards of about that size, and each value visits each shard of its bucket. Within a
-shard, BK-trees (children keyed by their Hamming distance to the parent) are searched along the edges within the
-radius, and the links found are reduced to a spanning set. Components follow by alternating large-star and small-star
-steps on distributed tables. Nothing of the corpus is collected or broadcast.
+fingerprints within ``radius`` bits agree on at least ``blocks - radius`` blocks of bits, so each distinct value is
+filed under every choice of that many blocks; only values in the same bucket can be links. There are the more blocks,
+the more values there are, so that buckets stay small; one that is large all the same is dealt to shards, each two of
+which meet in one cell. Within a cell, BK-trees (children keyed by their Hamming distance to the parent) are searched
+along the edges within the radius, and the links found are reduced to a spanning set. Components follow by
+alternating large-star and small-star steps on distributed tables.
+
+A shard's tree goes to the cells that search it by the shuffle, not by a broadcast: the trees of all shards are as
+large as the corpus, and to broadcast them would collect the fingerprints of all documents on the driver.
 """
 
 from __future__ import annotations
@@ -21,15 +24,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, map_texts
+from .common import checkpointed, map_texts, unused
 
-#: Blocks of a fingerprint's 64 bits.
-BLOCKS = 5
 SEED = 42
+#: Values that a bucket has on average at most, if they are random.
+BUCKET = 256
 #: Shingles hashed at once, and pairs of query and tree node in one step of a search: both bound a worker's memory.
 CHUNK, FRONTIER = 1 << 16, 1 << 21
 
 
+def majority(h: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), CHUNK):
+        ones += np.unpackbits(h[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The unsigned 64-bit SimHash of a text's word shingles; 0 for a text without words."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, and only ASCII white space splits
@@ -54,11 +65,20 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", width: int
     return map_texts(df, text, {out: T.LongType()}, start, keep)
 
 
-def _masks(radius: int) -> list[int]:
+def blocks_for(n: int, radius: int) -> int:
+    """The least number of blocks of the 64 bits at which the buckets of n random values have BUCKET at most: the
+    blocks on which two values must agree have the more bits, the more blocks there are."""
+    blocks = radius + 2
+    while blocks < 64 and n >> 64 * (blocks - radius) // blocks > BUCKET:
+        blocks += 1
+    return blocks
+
+
+def _masks(radius: int, blocks: int) -> list[int]:
     """For each choice of blocks on which two values within the radius must agree, the mask of their bits."""
-    edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
-    blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(own) for own in combinations(blocks, BLOCKS - radius)]
+    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(own) for own in combinations(parts, blocks - radius)]
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,17 +145,18 @@ def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _cell_links(bucket: np.ndarray, shard: np.ndarray, home: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of whole cells, rows sorted by bucket and shard; a row is in the tree if it is at home."""
-    cell = np.cumsum(np.r_[0, (bucket[1:] != bucket[:-1]) | (shard[1:] != shard[:-1])])
-    size = np.bincount(cell)
-    some = size[cell] > 1
-    cell, home, fp = cell[some], home[some], fp[some]
+def _cell_links(bucket: np.ndarray, cell: np.ndarray, home: np.ndarray, guest: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of whole cells, rows sorted by bucket and cell; the tree has those at home, and the guests
+    (in a shard's cell with itself, its own values) search it."""
+    of = np.cumsum(np.r_[0, (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])])
+    size = np.bincount(of)
+    some = size[of] > 1
+    of, home, guest, fp = of[some], home[some], guest[some], fp[some]
     if not home.any():
         return fp[:0], fp[:0]
-    forest = Forest(fp[home], cell[home])
-    roots = np.array([forest.root_of_cell.get(c, -1) for c in cell.tolist()])
-    asked = np.flatnonzero(roots >= 0)
+    forest = Forest(fp[home], of[home])
+    roots = np.array([forest.root_of_cell.get(c, -1) for c in of.tolist()])
+    asked = np.flatnonzero((roots >= 0) & guest)
     q, node = forest.search(fp[asked], roots[asked], radius)
     a, b = asked[q], np.flatnonzero(home)[node]
     label = least_reachable(len(fp), a, b)
@@ -143,16 +164,28 @@ def _cell_links(bucket: np.ndarray, shard: np.ndarray, home: np.ndarray, fp: np.
     return fp[linked], fp[label[linked]]
 
 
-def links(distinct: DataFrame, radius: int = 3, shard: int = 2048) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) whose components are those of all links within the
-    radius; each is itself a chain of such links. Values of one bucket meet in shards of bounded size."""
-    filed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in _masks(radius)])).alias("choice", "part"))
+def cells_of(distinct: DataFrame, radius: int = 3, shard: int = 2048, blocks: int | None = None) -> DataFrame:
+    """(bucket, cell, home, guest, fp): where distinct fingerprints (column fp) meet.
+
+    A value is filed in the bucket of each choice of blocks, and a bucket's values are dealt to shards of about
+    ``shard``. A cell is a pair of shards, the first at home in its tree and the second its guests, so it has two
+    shards' values at most however large the bucket; each two values of a bucket meet in one cell."""
+    blocks = blocks or blocks_for(distinct.count(), radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in _masks(radius, blocks)]
+    filed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "part"))
     filed = filed.select("fp", F.xxhash64("choice", "part").alias("bucket"))
-    large = filed.groupBy("bucket").count().where(F.col("count") > 1).select("bucket", F.ceil(F.col("count") / shard).cast("int").alias("shards"))
-    near = filed.join(large, "bucket").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("shards")).cast("int"))
-    cells = near.select("fp", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    cells = cells.select("bucket", "shard", (F.col("own") == F.col("shard")).alias("home"), "fp")
-    dealt = cells.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", "fp")
+    large = filed.groupBy("bucket").count().where(F.col("count") > 1).select("bucket", F.ceil(F.col("count") / shard).alias("shards"))
+    near = filed.join(large, "bucket").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("shards")))
+    met = near.select("fp", "bucket", "own", "shards", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("other"))
+    return met.select(
+        "bucket", (F.least("own", "other") * F.col("shards") + F.greatest("own", "other")).alias("cell"), (F.col("own") <= F.col("other")).alias("home"), (F.col("own") >= F.col("other")).alias("guest"), "fp"
+    )
+
+
+def links(distinct: DataFrame, radius: int = 3, shard: int = 2048, blocks: int | None = None) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column fp) whose components are those of all links within the
+    radius; each is itself a chain of such links. They are searched for in cells of bounded size (``cells_of``)."""
+    dealt = cells_of(distinct, radius, shard, blocks).repartition("bucket", "cell").sortWithinPartitions("bucket", "cell", "fp")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
@@ -161,7 +194,7 @@ def links(distinct: DataFrame, radius: int = 3, shard: int = 2048) -> DataFrame:
                 continue
             rest.append(frame)
             held = pd.concat(rest, ignore_index=True)
-            last = (held.bucket == held.bucket.iat[-1]) & (held.shard == held.shard.iat[-1])
+            last = (held.bucket == held.bucket.iat[-1]) & (held.cell == held.cell.iat[-1])
             whole = held[~last]
             rest = [held[last]]  # the last cell may go on
             if len(whole):
@@ -170,7 +203,7 @@ def links(distinct: DataFrame, radius: int = 3, shard: int = 2048) -> DataFrame:
             yield made(rest[0] if len(rest) == 1 else pd.concat(rest, ignore_index=True))
 
     def made(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = _cell_links(frame.bucket.to_numpy(), frame.shard.to_numpy(), frame.home.to_numpy(bool), frame.fp.to_numpy(np.int64).view(np.uint64), radius)
+        a, b = _cell_links(frame.bucket.to_numpy(), frame.cell.to_numpy(), frame.home.to_numpy(bool), frame.guest.to_numpy(bool), frame.fp.to_numpy(np.int64).view(np.uint64), radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return dealt.mapInPandas(run, "a long, b long")
@@ -220,13 +253,14 @@ def deduplicated(df: DataFrame, id: str = "doc_id", text: str = "text", radius:
     marked = checkpointed(fingerprints(df, text, "fp", width, [id]).select(F.col(id).alias("id"), "fp"))
     repeated = not marked.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).isEmpty()
     found = grouped(marked, radius, shard)
+    kept_id, kept_fp, own_fp = unused(columns, "_kept", "_kept_fp", "_fp")
     if not repeated:
-        kept = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_kept"))
-        return df.join(kept, F.col(id) == F.col("_kept"), "left_semi")
+        kept = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias(kept_id))
+        return df.join(kept, F.col(id) == F.col(kept_id), "left_semi")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp"))
-    kept = checkpointed(found.groupBy("label").agg(first.alias("kept")).select(F.col("kept.id").alias("_kept"), F.col("kept.fp").alias("_kept_fp")))
-    rows = fingerprints(df, text, "_fp", width).join(kept, F.col(id).eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_kept_fp")))
-    first = rows.groupBy("_kept", "_fp").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row"))
+    kept = checkpointed(found.groupBy("label").agg(first.alias("kept")).select(F.col("kept.id").alias(kept_id), F.col("kept.fp").alias(kept_fp)))
+    rows = fingerprints(df, text, own_fp, width).join(kept, F.col(id).eqNullSafe(F.col(kept_id)) & (F.col(own_fp) == F.col(kept_fp)))
+    first = rows.groupBy(kept_id, own_fp).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row"))
     return first.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from spindrift.llm import neardup
@@ -65,3 +66,24 @@ def test_one_row_of_each_group_stays(spark):
     kept = neardup.deduplicated(df).collect()
     assert sorted(((r.doc_id or 0), r.text or "") for r in kept) == [(0, "q r  s t"), (1, "a b c d"), (3, "other words here now"), (3, "zz yy xx"), (4, "")]
     assert neardup.deduplicated(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("radius", [0, 3, 6])
+def test_the_radius_of_the_fingerprints_changes_no_result(spark, radius):
+    texts = planted(4)
+    kept = neardup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), radius=radius).collect()
+    assert sorted(r.doc_id for r in kept) == brute_kept(texts)
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d", 5, 6), (2, "A b c d", 7, 8), (2, "x y z", 7, 8)], "doc_id long, text string, _kept long, _copy long")
+    assert sorted(tuple(r) for r in neardup.deduplicated(df).collect()) == [(1, "a b c d", 5, 6), (2, "x y z", 7, 8)]
+
+
+def test_parities_differ_in_no_more_places_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n, m, both in ((0, 5, 0), (50, 40, 30), (5000, 4000, 3900)):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[:both], rng.integers(0, 1 << 63, m - both).astype(np.uint64)])
+        differ = len(set(a.tolist()) ^ set(b.tolist()))
+        assert int(np.bitwise_count(neardup.parity(a) ^ neardup.parity(b)).sum()) <= differ

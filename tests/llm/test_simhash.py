@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from spindrift.llm import simhash
 
@@ -71,3 +72,30 @@ def test_one_row_of_each_group_stays(spark):
     unique = spark.createDataFrame([(1, "a b c d"), (2, "A b c d"), (3, "zz yy xx")], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.deduplicated(unique).collect()) == [1, 3]
     assert simhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_cells_are_bounded_and_each_two_values_of_a_bucket_meet(spark):
+    rng = random.Random(9)
+    low = random.Random(10).sample(range(1 << 16), 20_000)  # all in one bucket: they agree on all but 16 bits
+    df = spark.createDataFrame([((7 << 40) + v,) for v in low], "fp long")
+    cells = simhash.cells_of(df, 3, 2048, 5).checkpoint()
+    largest = cells.groupBy("bucket").agg(F.countDistinct("fp").alias("n")).orderBy(F.desc("n")).first()
+    assert largest.n == 20_000 and cells.groupBy("bucket", "cell").count().agg(F.max("count")).first()[0] < 2.3 * 2048
+    met = cells.where(F.col("bucket") == largest.bucket)
+    some = rng.sample(low, 40)
+    rows = met.where(F.col("fp").isin([(7 << 40) + v for v in some])).collect()
+    home, guest = {}, {}
+    for r in rows:
+        home.setdefault(r.fp, set()).update([r.cell] if r.home else [])
+        guest.setdefault(r.fp, set()).update([r.cell] if r.guest else [])
+    assert all(home[a] & guest[b] or home[b] & guest[a] for a in home for b in home)
+
+
+def test_blocks_follow_the_number_of_values():
+    assert simhash.blocks_for(10**6, 3) == 5 and simhash.blocks_for(10**11, 3) == 6 and simhash.blocks_for(0, 7) == 9
+    assert all(bin(m).count("1") >= 24 for m in simhash._masks(3, 5))
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d", 5, 6), (2, "A b c d", 7, 8), (2, "x y z", 7, 8)], "doc_id long, text string, _kept long, _fp long")
+    assert sorted(tuple(r) for r in simhash.deduplicated(df).collect()) == [(1, "a b c d", 5, 6), (2, "x y z", 7, 8)]
