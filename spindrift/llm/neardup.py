@@ -7,7 +7,7 @@ which a tree prunes next to nothing. So a prefix-filtered set join finds all fur
 any: all hashes have one global order, from rare to common by the cells of a counting sketch, then by value. The
 sketch has a fixed size and only the order depends on it, never the result. Of two sets of similarity ``share`` or
 more, the first n - ceil(share * n) + 1 hashes of each, its prefix, have one in common; so keys meet in the buckets of
-their prefix hashes, and each pair that meets within the length bound is checked on the whole sets, which only the
+their prefix hashes (as 64-bit short keys), and each pair that meets within the length bound is checked on the whole sets, which only the
 texts of such pairs give again.
 
 A group of near copies would meet in pairs as many as its square. So the keys of a bucket first meet only a few pivots;
@@ -147,14 +147,18 @@ def _sets(df: DataFrame, text: str, width: int, share: float, level: np.ndarray)
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """The pairs (a, b) that the sets' parities allow: similar sets of n and m hashes differ in
-    (n + m) * (1 - share) / (1 + share) hashes at most. Loses no similar pair, and moves no set."""
-    keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
-    of = checkpointed(sets.select("key", "n", "parity").join(keys, "key", "left_semi").dropDuplicates(["key"]))
-    both = pairs.join(of.select(F.col("key").alias("a"), "n", F.col("parity").alias("x")), "a").join(of.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y")), "b")
+    """(a, b): the keys of the pairs (a, b) of short keys that the sets' parities allow, the lesser first.
+
+    Similar sets of n and m hashes differ in (n + m) * (1 - share) / (1 + share) hashes at most. Loses no similar
+    pair, and moves no set."""
+    short = pairs.select(F.col("a").alias("k")).unionAll(pairs.select("b")).distinct()
+    of = checkpointed(sets.select("k", "key", "n", "parity").join(short, "k", "left_semi").dropDuplicates(["key"]))
+    left = of.select(F.col("k").alias("a"), F.col("key").alias("a_key"), "n", F.col("parity").alias("x"))
+    right = of.select(F.col("k").alias("b"), F.col("key").alias("b_key"), F.col("n").alias("m"), F.col("parity").alias("y"))
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     least = Fraction(str(share))
-    return checkpointed(both.where(apart * (least.denominator + least.numerator) <= (F.col("n") + F.col("m")) * (least.denominator - least.numerator)).select("a", "b"))
+    good = pairs.join(left, "a").join(right, "b").where(apart * (least.denominator + least.numerator) <= (F.col("n") + F.col("m")) * (least.denominator - least.numerator))
+    return checkpointed(good.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct())
 
 
 def _verified(pairs: DataFrame, marked: DataFrame, df: DataFrame, id: str, text: str, width: int, share: float, unique: bool) -> DataFrame:
@@ -181,13 +185,13 @@ def _verified(pairs: DataFrame, marked: DataFrame, df: DataFrame, id: str, text:
 
 
 def _fingerprint_pairs(sets: DataFrame, radius: int) -> DataFrame:
-    """Pairs of keys (a, b) that span the components of fingerprints within ``radius`` bits: each key of a
+    """Pairs of short keys (a, b) that span the components of fingerprints within ``radius`` bits: each key of a
     fingerprint goes with its least one, and these go along the links that BK-trees find."""
-    least = checkpointed(sets.groupBy("fp").agg(F.min("key").alias("least")))
-    same = sets.join(least, "fp").select(F.col("key").alias("x"), F.col("least").alias("y"))
+    least = checkpointed(sets.groupBy("fp").agg(F.min("k").alias("least")))
+    same = sets.join(least, "fp").select(F.col("k").alias("a"), F.col("least").alias("b"))
     found = fingerprint_links(least.select("fp"), radius)
     ends = found.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
-    return same.unionAll(ends).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return same.unionAll(ends).where("a <> b")
 
 
 def _may_link(share: float) -> Column:
@@ -203,42 +207,43 @@ def _may_link(share: float) -> Column:
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    """The distinct pairs, the lesser key first."""
+    """The distinct pairs, the lesser first."""
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _filed(sets: DataFrame, share: float) -> DataFrame:
-    """(h, at, key, n, rank): the sets in the buckets of their prefix hashes, where another one is that may be similar.
+    """(h, at, k, n, rank): the sets in the buckets of their prefix hashes, where another one is that may be similar.
 
     With the first common hash at place ``at``, a set's partner has reach = (n - at) * (1 + share) / share - n hashes
-    at most; rows whose reach is below the least set of the bucket go."""
-    # most buckets are of one set, so what stays of the one exchange of all is small
-    filed, bucket = sets.select(F.posexplode("prefix").alias("at", "h"), "k"), Window.partitionBy("h")
-    shared = filed.withColumns({"_least": F.min("k").over(bucket), "_most": F.max("k").over(bucket)}).where("_least <> _most")
-    near = shared.select("h", "k", "at").distinct().join(sets.select("k", "key", "n", "rank").distinct(), "k")
-    least = Fraction(str(share))
-    reach = (F.col("n") - F.col("at")) * (least.denominator + least.numerator) >= (F.col("n") + F.col("_least")) * least.numerator
-    return checkpointed(near.withColumn("_least", F.min("n").over(bucket)).where(reach).select("h", "at", "key", "n", "rank"))
+    at most; rows whose reach is below the least set of the bucket go. Most buckets are of one set, so what stays of
+    the one exchange of all is small."""
+    least, bucket = Fraction(str(share)), Window.partitionBy("h")
+    filed = sets.select(F.posexplode("prefix").alias("at", "h"), "k", "n", "rank")
+    shared = filed.withColumns({"_least": F.min("k").over(bucket), "_most": F.max("k").over(bucket), "_n": F.min("n").over(bucket)}).where("_least <> _most")
+    reach = (F.col("n") - F.col("at")) * (least.denominator + least.numerator) >= (F.col("n") + F.col("_n")) * least.numerator
+    return checkpointed(shared.where(reach).select("h", "at", "k", "n", "rank").distinct())
 
 
 def labels(sets: DataFrame, share: float, radius: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, label) of all keys that are similar to another: label is the least key of the component. ``verified``
     keeps the pairs whose sets are similar."""
     met, bucket = _filed(sets, share), Window.partitionBy("h")
-    # a bucket's pivots are its most ordinary key and PIVOTS others, the same ones in all buckets of a group
-    row = F.struct(F.col("key").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"))
-    orders = [F.struct("rank", "key"), *[F.struct(F.xxhash64("key", F.lit(i)), "key") for i in range(PIVOTS)]]
-    to_pivots = met.withColumn("pivots", F.array(*[F.max_by(row, o).over(bucket) for o in orders])).select(F.col("key").alias("a"), "n", "at", F.inline("pivots"))
-    first = checkpointed(_ordered(to_pivots.where(_may_link(share))).union(_fingerprint_pairs(sets, radius)).distinct())
+    # a bucket's pivots are its most ordinary set and PIVOTS others, the same ones in all buckets of a group
+    row = F.struct(F.col("k").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"))
+    orders = [F.struct("rank", "k"), *[F.xxhash64("k", F.lit(i)) for i in range(PIVOTS)]]
+    # dealt before the windows' inputs are made, which would be dealt with the rows
+    to_pivots = met.repartition("h").withColumn("pivots", F.array(*[F.max_by(row, o).over(bucket) for o in orders])).select(F.col("k").alias("a"), "n", "at", F.inline("pivots"))
+    first = checkpointed(_ordered(to_pivots.where(_may_link(share)).select("a", "b").unionAll(_fingerprint_pairs(sets, radius))))
     links = verified(_plausible(first, sets, share))
     found = checkpointed(components(links))
-    sent = F.broadcast(found) if found.count() <= SENT else found
     # then all pairs of different components: rows that aren't of their bucket's largest component with all others
-    of = checkpointed(met.join(sent, F.col("key") == F.col("node"), "left").select("h", "at", "key", "n", F.coalesce("label", "key").alias("label")))
+    sent = F.broadcast(found) if found.count() <= SENT else found
+    own = sets.select("k", "key").join(sent, F.col("key") == F.col("node")).groupBy("k").agg(F.xxhash64(F.min("label")).alias("label"))
+    of = checkpointed(met.join(F.broadcast(own) if found.count() <= SENT else own, "k", "left").select("h", "at", "k", "n", F.coalesce("label", F.xxhash64("k")).alias("label")))
     parts = of.groupBy("h", "label").count().groupBy("h").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     open_ = checkpointed(of.join(parts.select("h", F.col("most.label").alias("most")), "h"))
-    left = open_.where("label <> most").select("h", "most", F.col("key").alias("a"), "n", "at", F.col("label").alias("l"))
-    right = open_.select(F.col("h").alias("h2"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("label").alias("r"))
+    left = open_.where("label <> most").select("h", "most", F.col("k").alias("a"), "n", "at", F.col("label").alias("l"))
+    right = open_.select(F.col("h").alias("h2"), F.col("k").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("label").alias("r"))
     pairs = left.join(right, F.expr("h = h2 AND l <> r AND (r = most OR l < r)") & _may_link(share))
     rest = checkpointed(_ordered(pairs).join(first, ["a", "b"], "left_anti"))
     if rest.isEmpty():
