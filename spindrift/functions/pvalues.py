@@ -117,3 +117,9 @@ def adjusted(df: DataFrame, p: str, method: str = "bh", out: str = "q") -> DataF
         made = running(upto.withColumn("_v", F.col("_p") * F.col("_m") / F.col("_rank") * scale).withColumn("_back", -F.col("_p")), ["_back"], "_v", "_q", "min")
     values: Column = F.least(F.lit(1.0), F.col("_q"))
     return df.join(made.select("_p", values.alias(out)), F.col(p) == F.col("_p"), "left").drop("_p")
+
+
+@F.pandas_udf(T.DoubleType())
+def log_gamma(x: pd.Series) -> pd.Series:
+    """The logarithm of the gamma function."""
+    return pd.Series(_lgamma(x.to_numpy(float)))

@@ -71,3 +71,30 @@ def assigned_by_kmers(reads: DataFrame, targets: DataFrame, k: int = 15, share:
     hits = q.join(t, "kmer").groupBy("read", "n", "target").agg(F.count("*").alias("h"))
     top = hits.groupBy("read").agg(F.max(F.struct((F.col("h") / F.col("n")).alias("share"), "target")).alias("x"))
     return top.where(F.col("x.share") >= share).select("read", "x.target", "x.share")
+
+
+def sketches(df: DataFrame, k: int = 21, num: int = 500) -> DataFrame:
+    """(id, sketch): the ``num`` least hashes of each record's canonical k-mers, sorted."""
+    hashes = F.array_sort(F.transform(F.array_distinct(s.kmers(F.upper("seq"), k, True)), lambda x: F.md5(x.cast("binary"))))
+    return df.select("id", F.slice(hashes, 1, num).alias("sketch"))
+
+
+def mash_distances(queries: DataFrame, database: DataFrame, k: int = 21, num: int = 500) -> DataFrame:
+    """(query, target, shared, jaccard, distance): MinHash estimates for all pairs whose sketches share a hash; the
+    distance of all others is 1. Of both sketches' union the ``num`` least hashes count."""
+    q, t = sketches(queries, k, num), sketches(database, k, num)
+    left, right = q.select(F.col("id").alias("query"), F.explode("sketch").alias("h")), t.select(F.col("id").alias("target"), F.explode("sketch").alias("h"))
+    pairs = left.join(right, "h").select("query", "target").distinct()
+    both = pairs.join(q.select(F.col("id").alias("query"), F.col("sketch").alias("x")), "query").join(t.select(F.col("id").alias("target"), F.col("sketch").alias("y")), "target")
+    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, num)
+    counted = both.withColumn("_u", union).select("query", "target", F.size(F.array_intersect(F.array_intersect("_u", "x"), F.col("y"))).alias("shared"), F.size("_u").alias("_n"))
+    made = counted.where("shared > 0").withColumn("jaccard", F.col("shared") / F.col("_n"))
+    return made.select("query", "target", "shared", "jaccard", (-F.log(2 * F.col("jaccard") / (1 + F.col("jaccard"))) / k).alias("distance"))
+
+
+def screened(reads: DataFrame, hosts: DataFrame, k: int = 11, share: float = 0.9) -> DataFrame:
+    """(id, status, target, share): every read removed or kept by its best host, that with the greatest share of its
+    canonical k-mers; without a host that reaches the cut a read is kept."""
+    hits = assigned_by_kmers(reads, hosts, k, share)
+    both = reads.select("id").join(hits, F.col("id") == F.col("read"), "left")
+    return both.select("id", F.when(F.col("target").isNotNull(), "removed").otherwise("kept").alias("status"), "target", "share")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as s
+from ..plans.ranges import overlapping
+from .intervals import closest
 
 
 def to_bed(features: DataFrame) -> DataFrame:
@@ -92,3 +94,48 @@ def distances(df: DataFrame, id: str = "id", seq: str = "seq") -> DataFrame:
     p = s.hamming(F.col("x"), F.col("y")) / F.greatest(F.length("x"), F.length("y"))
     made = pairs.select("a", "b", p.alias("p"))
     return made.withColumn("jc", F.when(F.col("p") < 0.75, -0.75 * F.log(1 - 4 * F.col("p") / 3)))
+
+
+def bed12(features: DataFrame) -> DataFrame:
+    """(chrom, start, stop, name, strand, blocks, sizes, starts): the features (seqid, start, stop 1-based and closed,
+    strand, parent) of each parent on a sequence as blocks of one row, in order; features without a parent are left
+    out."""
+    bed = features.where("parent is not null").select(F.col("seqid").alias("chrom"), (F.col("start") - 1).alias("start"), "stop", F.col("parent").alias("name"), "strand")
+    made = bed.groupBy("chrom", "name", "strand").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_b"))
+    listed = lambda f: F.array_join(F.transform("_b", lambda x: f(x).cast("string")), ",")
+    return made.select("chrom", "start", "stop", "name", "strand", F.size("_b").alias("blocks"), listed(lambda x: x["stop"] - x["start"]).alias("sizes"), listed(lambda x: x["start"] - F.col("start")).alias("starts"))
+
+
+def bed12_blocks(df: DataFrame) -> DataFrame:
+    """(chrom, start, stop, name, strand, block): the blocks of BED12 rows, numbered from 1."""
+    numbers = lambda c: F.transform(F.split(F.regexp_replace(c, ",$", ""), ","), lambda x: x.cast("bigint"))
+    each = df.select("chrom", F.col("start").alias("_at"), "name", "strand", F.posexplode(F.arrays_zip(numbers("starts").alias("a"), numbers("sizes").alias("n"))).alias("_i", "_b"))
+    return each.select("chrom", (F.col("_at") + F.col("_b.a")).alias("start"), (F.col("_at") + F.col("_b.a") + F.col("_b.n")).alias("stop"), "name", "strand", (F.col("_i") + 1).alias("block"))
+
+
+def cds_proteins(cds: DataFrame, genome: DataFrame, require_start: bool = True, min_length: int = 20) -> DataFrame:
+    """(parent, length, protein): the coding parts (seqid, start, stop 1-based and closed, strand, parent) of each
+    transcript spliced in order from the sequences (id, seq), on the minus strand from the far end, and translated up
+    to the first stop; proteins below the least length, or without a first M if one is required, are left out."""
+    g = genome.select(F.col("id").alias("_id"), F.col("seq").alias("_seq"))
+    part = F.substring("_seq", F.col("start").cast("int"), (F.col("stop") - F.col("start") + 1).cast("int"))
+    parts = cds.where("parent is not null").join(g, F.col("seqid") == F.col("_id")).select("parent", "strand", F.struct("start", part.alias("part")).alias("_p"))
+    whole = parts.groupBy("parent", "strand").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["part"]), "").alias("_s"))
+    read = F.when(F.col("strand") == "-", s.revcomp(F.col("_s"))).otherwise(F.col("_s"))
+    protein = F.regexp_replace(s.translated(read), r"[*].*$", "")
+    made = whole.select("parent", F.length(protein).alias("length"), protein.alias("protein")).where(F.col("length") >= min_length)
+    return made.where(F.col("protein").startswith("M")) if require_start else made
+
+
+def nearest_genes(peaks: DataFrame, genes: DataFrame, tss_distance: int = 2000) -> DataFrame:
+    """(name, class, distance, gene): each interval by the nearest start of transcription (of features seqid, start,
+    stop 1-based, strand, id): promoter within ``tss_distance``, else intragenic if it overlaps a gene, else distal;
+    the distance is 0 on overlap, else the bases between plus one, and null without a gene on the chromosome."""
+    bed = to_bed(genes)
+    tss = F.when(F.col("strand") == "-", F.col("stop") - 1).otherwise(F.col("start"))
+    near = closest(peaks, bed.select("chrom", tss.alias("start"), (tss + 1).alias("stop"), "name"))
+    inside = overlapping(peaks, bed).select(F.col("a_name").alias("_n")).distinct()
+    both = near.join(inside, F.col("name") == F.col("_n"), "left")
+    at = F.when(F.col("distance") >= 0, F.col("distance"))
+    kind = F.when(at <= tss_distance, "promoter").when(F.col("_n").isNotNull(), "intragenic").otherwise("distal")
+    return both.select("name", kind.alias("class"), at.alias("distance"), F.col("b_name").alias("gene"))

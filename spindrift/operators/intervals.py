@@ -53,11 +53,12 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     flat = merge(b)
     rows = a.withColumn("_id", F.struct(*a.columns))
-    hits = overlapping(rows.select("_id", *KEY), flat.select(*KEY)).select(F.col("a__id").alias("id"), F.col("b_start").alias("s"), F.col("b_stop").alias("e")).distinct()
+    each = rows.groupBy("_id", *KEY).agg(F.count("*").alias("times"))  # repeated rows are cut once, and come as often
+    hits = overlapping(each, flat.select(*KEY)).select(F.col("a__id").alias("id"), F.col("a_times").alias("times"), F.col("b_start").alias("s"), F.col("b_stop").alias("e"))
     by = Window.partitionBy("id").orderBy("s")
-    before = hits.select("id", F.coalesce(F.lag("e").over(by), F.col("id.start")).alias("start"), F.col("s").alias("stop"))
-    after = hits.groupBy("id").agg(F.max("e").alias("start")).select("id", "start", F.col("id.stop").alias("stop"))
-    cut = before.unionAll(after).where("start < stop").select("id.chrom", "start", "stop", "id.name")
+    before = hits.select("id", "times", F.coalesce(F.lag("e").over(by), F.col("id.start")).alias("start"), F.col("s").alias("stop"))
+    after = hits.groupBy("id", "times").agg(F.max("e").alias("start")).select("id", "times", "start", F.col("id.stop").alias("stop"))
+    cut = before.unionAll(after).where("start < stop").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select("id.chrom", "start", "stop", "id.name")
     free = rows.join(hits.select(F.col("id").alias("_hit")).distinct(), F.col("_id").eqNullSafe(F.col("_hit")), "left_anti").select(*KEY, "name")
     return cut.unionAll(free)
 
@@ -65,9 +66,10 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
 def coverage(a: DataFrame, b: DataFrame) -> DataFrame:
     """For each interval of ``a``: intervals of ``b`` that overlap it, bases that they cover, and their share."""
     rows = a.withColumn("_id", F.struct(*a.columns))
-    hits = overlapping(rows.select("_id", *KEY), b.select(*KEY)).groupBy(F.col("a__id").alias("_hit")).agg(F.count("*").alias("hits"))
-    bases = clip(overlapping(rows.select("_id", *KEY), merge(b).select(*KEY))).groupBy(F.col("a__id").alias("_base")).agg(F.sum(F.col("stop") - F.col("start")).alias("covered"))
-    both = rows.join(hits, F.col("_id") == F.col("_hit"), "left").join(bases, F.col("_id") == F.col("_base"), "left")
+    each = rows.select("_id", *KEY).distinct()  # repeated rows are measured once
+    hits = overlapping(each, b.select(*KEY)).groupBy(F.col("a__id").alias("_hit")).agg(F.count("*").alias("hits"))
+    bases = clip(overlapping(each, merge(b).select(*KEY))).groupBy(F.col("a__id").alias("_base")).agg(F.sum(F.col("stop") - F.col("start")).alias("covered"))
+    both = rows.join(hits, F.col("_id").eqNullSafe(F.col("_hit")), "left").join(bases, F.col("_id").eqNullSafe(F.col("_base")), "left")
     covered = F.coalesce("covered", F.lit(0))
     return both.select(*KEY, "name", F.coalesce("hits", F.lit(0)).alias("hits"), covered.alias("covered"), (covered / F.greatest(F.col("stop") - F.col("start"), F.lit(1))).alias("fraction"))
 

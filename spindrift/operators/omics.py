@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.pvalues import log_gamma
 from ..plans.islands import islands
 
 #: Monoisotopic residue masses, and pK values of ionisable groups.
@@ -162,3 +163,46 @@ def insulation(matrix: DataFrame, size: int, window: int) -> DataFrame:
     crossed = near.withColumn("bin", F.explode(F.sequence(F.col("a") + size, F.col("b"), F.lit(size).cast("long"))))
     inside = crossed.where((F.col("bin") - F.col("a") <= window * size) & (F.col("b") - F.col("bin") < window * size))
     return inside.groupBy("chrom", "bin").agg(F.sum("n").alias("score"))
+
+
+def profile_classes(alleles: DataFrame, first: str, second: str, tolerance: int = 1) -> DataFrame:
+    """(class, loci): the loci of two samples (locus, sample, size) by their least and greatest allele: match, off by
+    at most ``tolerance``, discordant, or missing in one of them."""
+    own = alleles.where(F.col("sample").isin(first, second) & F.col("size").isNotNull()).groupBy("locus", "sample").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    side = lambda name, which: F.max(F.when(F.col("sample") == which, F.col(name)))
+    both = own.groupBy("locus").agg(side("low", first).alias("a"), side("high", first).alias("b"), side("low", second).alias("c"), side("high", second).alias("d"))
+    apart = F.greatest(F.abs(F.col("a") - F.col("c")), F.abs(F.col("b") - F.col("d")))
+    kind = F.when(F.col("a").isNull() | F.col("c").isNull(), "missing").when(apart == 0, "match").when(apart <= tolerance, "off by tolerance").otherwise("discordant")
+    return both.groupBy(kind.alias("class")).agg(F.count("*").alias("loci"))
+
+
+def terrain(cells: DataFrame, value: str, size: float = 1.0) -> DataFrame:
+    """(x, y, slope, aspect): degrees, by central differences of a raster (x, y, value); cells that lack one of their
+    four neighbours are left out."""
+    beside = lambda dx, dy, name: cells.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col(value).cast("double").alias(name))
+    both = cells.select("x", "y")
+    for dx, dy, name in ((1, 0, "e"), (-1, 0, "w"), (0, 1, "s"), (0, -1, "n")):
+        both = both.join(beside(dx, dy, name), ["x", "y"])
+    p, q = (F.col("e") - F.col("w")) / (2 * size), (F.col("s") - F.col("n")) / (2 * size)
+    return both.select("x", "y", F.degrees(F.atan(F.sqrt(p * p + q * q))).alias("slope"), F.pmod(F.degrees(F.atan2(q, p)) + 450, F.lit(360.0)).alias("aspect"))
+
+
+def rarefied(counts: DataFrame, sample: str, count: str, depth: int) -> DataFrame:
+    """(sample, n, observed, expected): species of each sample, and those expected in ``depth`` reads drawn without
+    replacement; the depth is at most the sample's reads."""
+    own = counts.where(F.col(count) > 0)
+    total = own.groupBy(sample).agg(F.sum(count).cast("long").alias("n"), F.count("*").alias("observed"))
+    both = own.join(total, sample).withColumn("d", F.least("n", F.lit(depth)).cast("double"))
+    none = _log_choose(F.col("n") - F.col(count), F.col("d")) - _log_choose(F.col("n").cast("double"), F.col("d"))
+    gone = F.when(F.col("n") - F.col(count) < F.col("d"), F.lit(0.0)).otherwise(F.exp(none))
+    return both.withColumn("_p", 1 - gone).groupBy(sample).agg(F.max("n").alias("n"), F.max("observed").alias("observed"), F.sum("_p").alias("expected"))
+
+
+def _log_choose(n: Column, k: Column) -> Column:
+    return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(F.greatest(n - k, F.lit(0.0)) + 1)
+
+
+def per_read(track: DataFrame, reads: DataFrame, scale: float = 1.0) -> DataFrame:
+    """A track (chrom, start, stop, value) per million of the rows of ``reads``."""
+    n = reads.agg(F.count("*").alias("_n"))
+    return track.crossJoin(F.broadcast(n)).select("chrom", "start", "stop", (F.col("value") * 1e6 * scale / F.nullif("_n", F.lit(0))).alias("value"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -219,3 +223,80 @@ def set_combinations(df: DataFrame, member: str, group: str, groups: list) -> Da
     """(combination, n): members by exactly which of the listed groups they are in."""
     mask = sum((F.max(F.when(F.col(group) == g, 1 << i).otherwise(0)) for i, g in enumerate(groups)), F.lit(0))
     return df.groupBy(member).agg(mask.cast("long").alias("combination")).groupBy("combination").agg(F.count("*").alias("n"))
+
+
+def highly_variable(long: DataFrame, bins: int = 6, top: int = 10) -> DataFrame:
+    """(row, dispersion, bin, normalized, rank): variance over mean, less the median of the rows of similar mean (bins
+    between quantiles of the means), best first, ties by row; rows without a positive mean are left out. Bins take the
+    quantiles of as many values as there are rows of the matrix."""
+    own = long.groupBy("row").agg(F.avg("value").alias("mean"), (F.var_samp("value") / F.nullif(F.avg("value"), F.lit(0.0))).alias("dispersion")).where("mean > 0 and dispersion is not null")
+    edges = own.agg(*[F.percentile("mean", F.lit(i / bins)).alias(f"_e{i}") for i in range(1, bins)])
+    at = sum(((F.col("mean") > F.col(f"_e{i}")).cast("int") for i in range(1, bins)), F.lit(0))
+    binned = own.crossJoin(F.broadcast(edges)).withColumn("bin", at).drop(*[f"_e{i}" for i in range(1, bins)])
+    medians = binned.groupBy(F.col("bin").alias("_bin")).agg(F.percentile("dispersion", F.lit(0.5)).alias("_median"))
+    made = binned.join(F.broadcast(medians), F.col("bin") == F.col("_bin")).withColumn("normalized", F.col("dispersion") - F.col("_median"))
+    return made.select("row", "dispersion", "bin", "normalized").orderBy(F.desc("normalized"), "row").limit(top)
+
+
+def cross_correlations(a: DataFrame, b: DataFrame, key: str, first: list[str], second: list[str]) -> DataFrame:
+    """(a, b, n, r): Pearson's r of each column of one table with each of another, rows joined by a key; one pass."""
+    both = a.select(key, *[F.col(c).cast("double").alias(f"a_{c}") for c in first]).join(b.select(key, *[F.col(c).cast("double").alias(f"b_{c}") for c in second]), key)
+    x = {(p, q): (F.col(f"a_{p}"), F.col(f"b_{q}")) for p in first for q in second}
+    made = both.agg(F.array(*[F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), F.sum((u.isNotNull() & v.isNotNull()).cast("long")).alias("n"), F.corr(u, v).alias("r")) for (p, q), (u, v) in x.items()]).alias("x"))
+    return made.select(F.inline("x"))
+
+
+def prevalent(long: DataFrame, share: float = 0.5, least: float = 0.0) -> DataFrame:
+    """(row, samples, prevalence): rows above ``least`` in at least a share of the columns."""
+    n = long.select("column").distinct().agg(F.count("*").alias("_n"))
+    made = long.groupBy("row").agg(F.sum((F.col("value") > least).cast("long")).alias("samples")).crossJoin(F.broadcast(n))
+    return made.withColumn("prevalence", F.col("samples") / F.col("_n")).where(F.col("prevalence") >= share).drop("_n")
+
+
+def set_score(long: DataFrame, first: list[str], second: list[str]) -> DataFrame:
+    """(column, score_a, score_b, phase): the mean of two sets of rows in each column, and the greater of them."""
+    a, b = F.when(F.col("row").isin(*first), F.col("value")), F.when(F.col("row").isin(*second), F.col("value"))
+    made = long.groupBy("column").agg(F.avg(a).alias("score_a"), F.avg(b).alias("score_b"))
+    return made.withColumn("phase", F.when(F.greatest("score_a", "score_b") <= 0, "none").when(F.col("score_a") >= F.col("score_b"), "a").otherwise("b"))
+
+
+def bootstrap_means(df: DataFrame, id: str, value: str, resamples: int = 1000, level: float = 0.95, seed: int = 1) -> DataFrame:
+    """(n, mean, low, high): the mean and the percentile interval of its Poisson bootstrap.
+
+    Each row has, in each resample, a Poisson(1) weight that a hash of its id gives, so the result doesn't depend on
+    the partitioning; a task sends one pair of sums for each resample. Null values take no part."""
+    own = df.where(F.col(value).isNotNull()).select(F.xxhash64(id, F.lit(seed)).alias("h"), F.col(value).cast("double").alias("x"))
+    cdf = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
+
+    def run(frames):
+        s, w = np.zeros(resamples), np.zeros(resamples)
+        mix = np.random.default_rng(seed).integers(0, 1 << 63, resamples).astype(np.uint64) | np.uint64(1)
+        for frame in frames:
+            h, x = frame.h.to_numpy().view(np.uint64), frame.x.to_numpy()
+            for at in range(0, len(h), 4096):
+                z = h[at : at + 4096, None] ^ mix[None, :]
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                n = np.searchsorted(cdf, ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53))
+                s += x[at : at + 4096] @ n
+                w += n.sum(0)
+        yield pd.DataFrame({"resample": np.arange(resamples), "s": s, "w": w})
+
+    means = own.mapInPandas(run, "resample int, s double, w double").groupBy("resample").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    tail = (1 - level) / 2
+    ends = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
+    return own.agg(F.count("*").alias("n"), F.avg("x").alias("mean")).crossJoin(ends)
+
+
+def power_analysis(spark: SparkSession, effect: float = 0.5, alpha: float = 0.05, power: float = 0.8, n: int = 0) -> DataFrame:
+    """(effect, alpha, power, n): rows of each of two groups that a two-sided test needs, or the power that n give
+    (normal approximation)."""
+    from statistics import NormalDist
+
+    z = NormalDist()
+    a = z.inv_cdf(1 - alpha / 2)
+    if n:
+        power = z.cdf(effect * math.sqrt(n / 2) - a)
+    else:
+        n = math.ceil(2 * ((a + z.inv_cdf(power)) / effect) ** 2)
+    return spark.createDataFrame([(effect, alpha, power, n)], "effect double, alpha double, power double, n long")

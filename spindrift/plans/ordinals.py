@@ -6,6 +6,7 @@ range, so the windows that carry it on are over as many rows as there are partit
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +17,12 @@ RANGE = "_range"
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder (``spark.checkpoint.dir``; a temporary one only where unset)."""
+    """``df`` written to the shared checkpoint folder, ``spark.checkpoint.dir``. Where that is unset a folder is made in
+    local mode only: other executors of a cluster would not see it."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 

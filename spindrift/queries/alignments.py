@@ -27,7 +27,7 @@ add("samtools_idxstats", lambda t: t.records_sam.groupBy("rname").agg(F.sum((~o.
 add("samtools_depth", lambda t: o.blocks(t.records_sam).select("chrom", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("at")).groupBy("chrom", "at").agg(F.count("*").alias("depth")), f"SELECT chrom, p AS \"at\", count(*) AS depth FROM (SELECT chrom, unnest(range(start, stop)) AS p FROM {_BLOCKS}) GROUP BY 1, 2")
 add("samtools_view", lambda t: o.view(t.records_sam, 20, 0, 1024, "chr2").select("qname", "flag", "pos"), "SELECT qname, flag, pos FROM records_sam WHERE mapq >= 20 AND flag & 1024 = 0 AND rname = 'chr2'")
 add("samtools_view_count", lambda t: t.records_sam.groupBy("rname").agg(F.count("*").alias("n")), "SELECT rname, count(*) AS n FROM records_sam GROUP BY 1")
-add("samtools_sort", lambda t: tab.ranked_lines(t.records_sam.select("rname", "pos", "qname", "flag", "cigar").distinct(), ["rname", "pos", "qname", "flag", "cigar"]), "SELECT *, row_number() OVER (ORDER BY rname, pos, qname, flag, cigar) AS position FROM (SELECT DISTINCT rname, pos, qname, flag, cigar FROM records_sam)")
+add("samtools_sort", lambda t: tab.ranked_lines(t.records_sam.select("rname", "pos", "qname", "flag", "cigar"), ["rname", "pos", "qname", "flag", "cigar"]), "SELECT *, row_number() OVER (ORDER BY rname, pos, qname, flag, cigar) AS position FROM (SELECT rname, pos, qname, flag, cigar FROM records_sam)")
 add("samtools_merge", lambda t: tab.concatenate(t.records_sam.where("rg = 'rg0'"), t.records_sam.where("rg = 'rg1'")).select("qname", "flag", "rg"), "SELECT qname, flag, rg FROM records_sam WHERE rg IN ('rg0', 'rg1')")
 _BEST = "SELECT rname, pos, flag & 16 <> 0 AS rev, min(struct_pack(q := -mapq, qname := qname, flag := flag)) AS best FROM records_sam WHERE flag & 4 = 0 GROUP BY 1, 2, 3"
 add("samtools_markdup", lambda t: o.marked(t.records_sam).groupBy("duplicate").agg(F.count("*").alias("n")), f"SELECT dup AS duplicate, count(*) AS n FROM (SELECT a.flag & 4 = 0 AND struct_pack(q := -mapq, qname := qname, flag := a.flag) <> best AS dup FROM records_sam a LEFT JOIN ({_BEST}) b ON a.rname = b.rname AND a.pos = b.pos AND (a.flag & 16 <> 0) = rev) GROUP BY 1".replace("a.flag & 4 = 0 AND struct", "coalesce(a.flag & 4 = 0 AND struct").replace("<> best AS", "<> best, false) AS"))

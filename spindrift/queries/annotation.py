@@ -38,7 +38,6 @@ add("gff3_feature_counts", lambda t: rounded(t.exons.groupBy("seqid").agg(F.coun
 add("gff3_filter_attributes", lambda t: t.genes.where(F.col("biotype").rlike("URGENT")).select("id"), "SELECT id FROM genes WHERE regexp_matches(biotype, 'URGENT')")
 add("gff3_to_bed", lambda t: o.to_bed(t.genes).drop("score"), "SELECT seqid AS chrom, start - 1 AS start, stop, id AS name, strand FROM genes")
 add("bedtools_gff_to_bed", lambda t: o.to_bed(t.exons).select("chrom", "start", "stop"), "SELECT seqid AS chrom, start - 1 AS start, stop FROM exons")
-add("convert_gff_to_bed", lambda t: iv.merge(o.to_bed(t.exons)).select(*iv.KEY, "n"), f"SELECT chrom, start, stop, n FROM {merged('(SELECT seqid AS chrom, start - 1 AS start, stop, id AS name, 0 AS score FROM exons)')}")
 add("gff3_gtf_convert", lambda t: o.line(t.genes, gtf=True), "SELECT seqid || chr(9) || 'spindrift' || chr(9) || type || chr(9) || CAST(start AS VARCHAR) || chr(9) || CAST(stop AS VARCHAR) || chr(9) || '.' || chr(9) || strand || chr(9) || '.' || chr(9) || 'gene_id \"' || id || '\";' AS line FROM genes")
 add("gff3_infer_transcripts", lambda t: o.transcripts(t.exons), "SELECT parent, min(start) AS start, max(stop) AS stop, count(*) AS exons, CAST(sum(stop - start + 1) AS BIGINT) AS length FROM exons GROUP BY 1")
 add("gff3_children_table", lambda t: t.genes.select(F.col("id").alias("gene")).join(t.exons.select("parent", F.col("id").alias("exon")), F.col("gene") == F.col("parent"), "left").select("gene", "exon"), "SELECT g.id AS gene, e.id AS exon FROM genes g LEFT JOIN exons e ON g.id = e.parent")
@@ -49,8 +48,6 @@ add("gff3_biotype_table", lambda t: rounded(t.genes.groupBy("biotype").agg(F.cou
 add("gff3_compare", lambda t: iv.jaccard(o.to_bed(t.genes), o.to_bed(t.exons)).select("bases_a", "bases_b", "intersection"), f"WITH x AS {merged('(SELECT seqid AS chrom, start - 1 AS start, stop, id AS name, 0 AS score FROM genes)')}, y AS {merged('(SELECT seqid AS chrom, start - 1 AS start, stop, id AS name, 0 AS score FROM exons)')} SELECT CAST((SELECT sum(stop - start) FROM x) AS BIGINT) AS bases_a, CAST((SELECT sum(stop - start) FROM y) AS BIGINT) AS bases_b, CAST((SELECT sum(least(a.stop, b.stop) - greatest(a.start, b.start)) FROM x a JOIN y b ON a.chrom = b.chrom AND a.start < b.stop AND b.start < a.stop) AS BIGINT) AS intersection")
 add("gff3_add_locus_tags", lambda t: tab.ordinal(t.genes.select("seqid", "start", "id"), ["seqid", "start", "id"], "n").select("id", F.concat(F.lit("L"), F.lpad(F.col("n").cast("string"), 8, "0")).alias("tag")), "SELECT id, 'L' || lpad(CAST(row_number() OVER (ORDER BY seqid, start, id) AS VARCHAR), 8, '0') AS tag FROM genes")
 add("bedgraph_per_gene_signal", lambda t: rounded(iv.overlapping(o.to_bed(t.genes), t.track).groupBy(F.col("a_name").alias("gene")).agg(F.avg("b_value").alias("mean"), F.max("b_value").alias("high")), "mean", n=3), "SELECT g.id AS gene, round(avg(t.value), 3) AS mean, max(t.value) AS high FROM genes g JOIN track t ON g.seqid = t.chrom AND g.start - 1 < t.stop AND t.start < g.stop GROUP BY 1")
-_PEAK = "SELECT b.name, CASE WHEN EXISTS (SELECT 1 FROM genes g WHERE g.seqid = b.chrom AND g.start - 1 < b.stop AND b.start < g.stop) THEN 'intragenic' ELSE 'distal' END AS class FROM bed_a b"
-add("peak_gene_annotation", lambda t: t.bed_a.select("name").join(iv.overlapping(t.bed_a, o.to_bed(t.genes)).select(F.col("a_name").alias("_n")).distinct(), F.col("name") == F.col("_n"), "left").select("name", F.when(F.col("_n").isNull(), "distal").otherwise("intragenic").alias("class")), _PEAK)
 add("peak_grouper", lambda t: iv.merge(t.bed_a, 20).select(*iv.KEY, "n"), f"SELECT chrom, start, stop, n FROM {merged('bed_a', 20)}")
 add("macs2_callpeak_lite", lambda t: iv.merge(iv.depth_segments(al.blocks(t.records_sam)).where("depth >= 5").select("chrom", "start", "stop", F.lit("p").alias("name"), F.col("depth").alias("score")), 30).select(*iv.KEY, "score"))
 add("chipseq_qc_metrics", lambda t: rounded(al.duplicate_rate(t.records_sam).select("mapped", "rate"), "rate", n=6), "SELECT count(*) AS mapped, round(1 - count(DISTINCT (rname, pos, flag & 16 <> 0)) / count(*), 6) AS rate FROM records_sam WHERE flag & 4 = 0")
@@ -62,8 +59,7 @@ add("bedtools_nuc_content", lambda t: sq.composition(o.slices(t.slices, t.record
 add("bedtools_mask_from_genome", lambda t: t.slices.join(t.records.select("id", "seq"), F.col("chrom") == F.col("id")).select("id", F.overlay("seq", F.repeat(F.lit("N"), F.lit(20)), F.col("start").cast("int") + 1, F.lit(20)).alias("seq")), "SELECT id, substr(seq, 1, start) || repeat('N', 20) || substr(seq, start + 21) AS seq FROM slices JOIN records ON chrom = id")
 FIXTURES["edits"] = "SELECT id, CAST(1 + ln % 30 AS INT) AS pos, substr('ACGT', CAST(1 + ln % 4 AS INT), 1) AS alt FROM records WHERE ln % 3 = 0"
 add("viro_consensus_from_variants", lambda t: t.records.select("id", "seq").join(t.edits.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", F.when(F.col("pos").isNull(), F.col("seq")).otherwise(F.overlay("seq", "alt", "pos", F.lit(1))).alias("seq")), "SELECT r.id, CASE WHEN pos IS NULL THEN seq ELSE substr(seq, 1, pos - 1) || alt || substr(seq, pos + 1) END AS seq FROM records r LEFT JOIN edits e ON r.id = e.id")
-for _name in ("gff3_cds_translation", "emboss_transeq"):
-    add(_name, lambda t: t.records.select("id", s.translated(F.col("seq")).alias("protein")), f"SELECT id, {protein('seq')} AS protein FROM records")
+add("emboss_transeq", lambda t: t.records.select("id", s.translated(F.col("seq")).alias("protein")), f"SELECT id, {protein('seq')} AS protein FROM records")
 add("codon_usage_table", lambda t: rounded(o.codon_usage(t.records), "rscu", n=6),
     f"WITH c AS (SELECT substr(seq, i * 3 + 1, 3) AS codon FROM (SELECT seq, unnest(range(0, length(seq) // 3)) AS i FROM records)), n AS (SELECT codon, {_CODE}[codon] AS aa, count(*) AS n FROM c GROUP BY 1, 2) SELECT codon, aa, n, round(n * CASE " + " ".join(f"WHEN aa IN ({', '.join(repr(a) for a in sorted(set(s.CODE)) if s.CODE.count(a) == k)}) THEN {k}" for k in sorted({s.CODE.count(a) for a in set(s.CODE)})) + " END / sum(n) OVER (PARTITION BY aa), 6) AS rscu FROM n")
 add("gc3_profile", lambda t: rounded(t.records.select("id", (100 * F.size(F.filter(s.windows(F.col("seq"), 3, 3), lambda i: F.substring(F.col("seq"), i + 3, F.lit(1)).isin("G", "C"))) / F.greatest(F.size(s.windows(F.col("seq"), 3, 3)), F.lit(1))).alias("gc3")), "gc3"), "SELECT id, round(100 * len(list_filter(range(0, length(seq) // 3), lambda i: substr(seq, i * 3 + 3, 1) IN ('G', 'C'))) / (length(seq) // 3), 4) AS gc3 FROM records")
@@ -93,7 +89,6 @@ for _name in ("blast_identity_histogram", "identity_histogram"):
     add(_name, lambda t: t.hits.groupBy((F.floor(F.col("identity") / 5) * 5).alias("bin")).agg(F.count("*").alias("n")), "SELECT identity // 5 * 5 AS bin, count(*) AS n FROM hits GROUP BY 1")
 add("blast_tabular_normalise", lambda t: t.hits.where("bits >= 50 and identity >= 30").select("query", "subject", "bits"), "SELECT query, subject, bits FROM hits WHERE bits >= 50 AND identity >= 30")
 add("blast_make_database", lambda t: t.records.agg(F.count("*").alias("records"), F.sum(F.length("seq")).alias("letters")), "SELECT count(*) AS records, CAST(sum(length(seq)) AS BIGINT) AS letters FROM records")
-add("contamination_filter", lambda t: t.reads.join(sq.contaminated(t.reads, t.repeated, 10).withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left_anti").agg(F.count("*").alias("kept")))
 add("insert_size_stats", lambda t: rounded(al.fragment_summary(t.records_sam), "mean", "sd"), "SELECT count(*) AS n, round(avg(tlen), 4) AS mean, round(stddev_samp(tlen), 4) AS sd, quantile_cont(tlen, 0.5) AS median, min(tlen) AS low, max(tlen) AS high FROM records_sam WHERE tlen > 0")
 add("softclip_report", lambda t: t.records_sam.select("qname", "flag", al.span(F.col("cigar"), "S").alias("clip")).where("clip >= 5"), "SELECT qname, flag, CAST(regexp_extract(cigar, '([0-9]+)S', 1) AS BIGINT) AS clip FROM records_sam WHERE contains(cigar, 'S')")
 add("unmapped_to_fastq", lambda t: t.records_sam.where(al.has("unmapped")).select(F.concat(F.lit("@"), "qname", F.lit("\n"), "seq").alias("record")), "SELECT '@' || qname || chr(10) || seq AS record FROM records_sam WHERE flag & 4 <> 0")
@@ -104,7 +99,6 @@ add("nanopore_run_stats", lambda t: rounded(sq.n50(t.reads), "mean", "gc").selec
 add("nanopore_quality_profile", lambda t: rounded(sq.cycles(t.reads).groupBy("cycle").agg(F.avg("value").alias("quality")), "quality", n=6), "SELECT i AS cycle, round(avg(ord(substr(qual, i, 1)) - 33), 6) AS quality FROM (SELECT qual, unnest(range(1, length(qual) + 1)) AS i FROM reads) GROUP BY 1")
 # single cells and scores
 add("scanpy_qc_metrics", lambda t: rounded(L(t).groupBy("column").agg(F.sum("value").alias("umi"), F.sum((F.col("value") > 0).cast("long")).alias("genes")), "umi"), f"SELECT \"column\", round(sum(value), 4) AS umi, count(*) FILTER (WHERE value > 0) AS genes FROM {_L} GROUP BY 1")
-add("scanpy_highly_variable", lambda t: rounded(L(t).groupBy("row").agg((F.var_samp("value") / F.avg("value")).alias("dispersion")), "dispersion"), f"SELECT \"row\", round(var_samp(value) / nullif(avg(value), 0), 4) AS dispersion FROM {_L} GROUP BY 1")
 add("scanpy_score_genes", lambda t: rounded(L(t).groupBy("column").agg((F.avg(F.when(F.col("row").startswith("g1"), F.col("value"))) - F.avg(F.when(~F.col("row").startswith("g1"), F.col("value")))).alias("score")), "score"), f"SELECT \"column\", round(avg(value) FILTER (WHERE prefix(\"row\", 'g1')) - avg(value) FILTER (WHERE NOT prefix(\"row\", 'g1')), 4) + 0.0 AS score FROM {_L} GROUP BY 1")
 add("multiomics_rank_product", lambda t: rounded(tab.ordinal(tab.ordinal(t.part.select("p_partkey", "p_size", "p_retailprice"), [F.desc("p_retailprice"), "p_partkey"], "r1"), [F.desc("p_size"), "p_partkey"], "r2").select("p_partkey", F.sqrt(F.col("r1") * F.col("r2")).alias("rank")), "rank"), "SELECT p_partkey, round(sqrt(r1 * r2), 4) AS rank FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r1, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS r2 FROM part)")
 add("multiomics_integrated_score", lambda t: t.part.select("p_partkey", F.round(F.col("p_size") * 0.3 + F.col("p_retailprice") * 0.7, 6).alias("score")), "SELECT p_partkey, round(p_size * 0.3 + p_retailprice * 0.7, 6) AS score FROM part".replace("0.3", "CAST(0.3 AS DOUBLE)").replace("0.7", "CAST(0.7 AS DOUBLE)"))
@@ -115,8 +109,6 @@ add("metab_blank_subtraction", lambda t: t.counts.select("gene", F.greatest(F.co
 add("proteo_disulfide_pairs", lambda t: sq.masked_runs(t.proteins, "id", "seq", "C").select("id", "start", (F.col("start") - F.lag("start").over(Window.partitionBy("id").orderBy("start"))).alias("spacing")).where("spacing >= 3"), "SELECT id, start, spacing FROM (SELECT id, i - 1 AS start, i - lag(i) OVER (PARTITION BY id ORDER BY i) AS spacing FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS i FROM proteins) WHERE substr(seq, i, 1) = 'C') WHERE spacing >= 3")
 add("fasta_encode_aa_props", lambda t: rounded(sq.windowed(t.proteins, "id", "seq", 5, 1).select("id", "start", (om.residue_sum(F.col("window"), om.HYDROPATHY) / 5).alias("score")), "score"), "SELECT id, i AS start, round((" + " + ".join(f"len(regexp_extract_all(w, '{a}')) * CAST({m} AS DOUBLE)" for a, m in om.HYDROPATHY.items()) + ") / 5, 4) + 0.0 AS score FROM (SELECT id, i, substr(seq, i + 1, 5) AS w FROM (SELECT id, seq, unnest(range(0, length(seq) - 4)) AS i FROM proteins))")
 _PAIR = "SELECT DISTINCT locus, size FROM alleles WHERE sample = '{s}'"
-add("str_profile_match", lambda t: t.alleles.where("sample = 's0'").select("locus", "size").distinct().join(t.alleles.where("sample = 's1'").select("locus", "size").distinct(), ["locus", "size"]).groupBy("locus").agg(F.count("*").alias("shared")), f"SELECT locus, count(*) AS shared FROM ({_PAIR.format(s='s0')}) JOIN ({_PAIR.format(s='s1')}) USING (locus, size) GROUP BY 1")
-add("deeptools_normalize_per_read", lambda t: t.track.select("chrom", "start", "stop", F.round(F.col("value") * 1e6 / 1000000, 6).alias("value")), "SELECT chrom, start, stop, round(value * 1e6 / 1000000, 6) AS value FROM track")
 add("lift_over_chain", lambda t: iv.lifted(t.bed_a, t.chains.withColumnRenamed("moved", "offset")), "SELECT b.chrom, start + coalesce(moved, 0) AS start, stop + coalesce(moved, 0) AS stop, name, moved IS NOT NULL AS lifted FROM bed_a b LEFT JOIN chains c ON b.chrom = c.chrom AND start >= t_start AND start < t_stop")
 add("liftover_pdb_chain", lambda t: iv.lifted(t.sites.select("chrom", F.col("pos").alias("start"), F.col("pos").alias("stop"), F.col("k").cast("string").alias("name")), t.chains.withColumnRenamed("moved", "offset")).select("chrom", F.col("start").alias("pos"), "name", F.when(F.col("lifted"), "lifted").otherwise("kept").alias("status")), "SELECT s.chrom, pos + coalesce(moved, 0) AS pos, CAST(k AS VARCHAR) AS name, CASE WHEN moved IS NULL THEN 'kept' ELSE 'lifted' END AS status FROM sites s LEFT JOIN chains c ON s.chrom = c.chrom AND pos >= t_start AND pos < t_stop")
 add("fastq_convert_illumina18", lambda t: t.reads.select("id", F.array_join(F.transform(s.phred(F.col("qual")), lambda q: F.char(F.least(q, F.lit(41)) + 64)), "").alias("qual")), "SELECT id, array_to_string([chr(CAST(least(ord(c) - 33, 41) + 64 AS INT)) for c in string_split(qual, '')], '') AS qual FROM reads")

@@ -14,7 +14,7 @@ from .sequences import kmers, rc
 from .statistics import L, S
 from .tables import rounded
 
-FIXTURES["targets"] = "SELECT ln, 't' || CAST(ln AS STRING) AS id, substr(seq, 1, 60) AS seq FROM records WHERE length(seq) >= 60"
+FIXTURES["targets"] = "SELECT ln, 't' || CAST(ln AS STRING) AS id, seq FROM records"
 FIXTURES["tree_rows"] = "SELECT n_nationkey AS id, '((a:1,b:2):0.5,(c:1,' || n_name || ':' || CAST(n_nationkey AS STRING) || '):1,e:3);' AS newick, '((a:1,c:2):0.5,(b:1,' || n_name || ':1):1,e:3);' AS other FROM nation"
 
 
@@ -25,11 +25,11 @@ def nations(t):
 
 add("pairwise_align", lambda t: al.aligned(t.nation.select("n_name", "n_regionkey").join(t.region, F.col("n_regionkey") == F.col("r_regionkey")), "n_name", "r_name", ["n_name", "r_name"]))
 add("emboss_water", lambda t: al.aligned(t.nation.select("n_name", "n_regionkey").join(t.region, F.col("n_regionkey") == F.col("r_regionkey")), "n_name", "r_name", ["n_name", "r_name"], local=True))
-add("blastn_search", lambda t: al.searched(t.targets.select("id", "seq"), t.records, 11, 2, 3))
+add("blastn_search", lambda t: al.searched(t.targets.select("id", "seq"), t.records, 11, 2, 10))
 add("blastp_search", lambda t: al.searched(t.proteins.select("id", "seq"), t.proteins.select("id", "seq"), 6, 2, 3))
 _OWN = f"(SELECT id, kmer, count(*) OVER (PARTITION BY id) AS n FROM (SELECT DISTINCT id, least(kmer, {rc('kmer')}) AS kmer FROM {kmers('{t}', 12)}))"
 _ASSIGN = f"SELECT read, arg_max(target, struct_pack(s := share, t := target)) AS target, round(max(share), 6) AS share FROM (SELECT a.id AS read, b.id AS target, count(*) / any_value(a.n) AS share FROM {_OWN.format(t='targets')} a JOIN {_OWN.format(t='records')} b USING (kmer) GROUP BY 1, 2) GROUP BY 1 HAVING max(share) >= 0.5"
-for _name in ("kmer_pseudoalign", "fastq_bbsplit_screen", "mash_screen"):
+for _name in ("kmer_pseudoalign", "fastq_bbsplit_screen"):
     add(_name, lambda t: rounded(al.assigned_by_kmers(t.targets, t.records, 12), "share", n=6), _ASSIGN)
 for _name in ("convert_newick_to_table", "phylo_read_nexus"):
     add(_name, lambda t: trees.edges(t.tree_rows, "id", "newick"))
@@ -42,5 +42,4 @@ add("ml_classifier", lambda t: ml.classified(t.lineitem.select("l_orderkey", "l_
 add("ml_regression", lambda t: ml.regressed(t.lineitem.select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_discount").alias("v"), F.col("l_extendedprice").alias("target")), "v", "target"))
 add("ml_cluster_validation", lambda t: ml.validated(t.embeddings, "embedding", [2, 3, 4]))
 add("ml_dbscan", lambda t: ml.density_clusters(t.part.select(F.col("p_partkey").alias("id"), (F.col("p_size") * 1.0).alias("x"), (F.col("p_retailprice") / 20).alias("y")), 1.0, 3))
-add("scanpy_cluster_knn_graph", lambda t: ml.kmeans(t.counts.select("gene", F.array(*S).alias("v")), "gene", "v", 4))
 add("seurat_project_onto_pca", lambda t: ml.pca(L(t).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("column", "value"))).alias("x")).select("row", F.transform("x", lambda c: c["value"]).alias("v")), "row", "v", 2))

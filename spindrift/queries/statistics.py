@@ -45,8 +45,11 @@ add("counts_feature_stats", lambda t: rounded(L(t).groupBy("row").agg(F.avg("val
 _POOL = "((n - 1) * va + (m - 1) * vb) / (n + m - 2)"
 _T = f"round((ma - mb) / nullif(sqrt({_POOL} * (1 / n + 1 / m)), 0), 4) + 0.0"
 add("deseq_lite", lambda t: rounded(adjusted(o.t_test(o.two_groups(o.per_million(L(t)), A, B), welch=True), "p").select("row", "t"), "t"), f"SELECT \"row\", round((ma - mb) / nullif(sqrt(va / n + vb / m), 0), 4) + 0.0 AS t FROM {_TWO.replace(_L, _CPM)}")
-add("stats_ttest", lambda t: rounded(o.t_test(o.two_groups(L(t), A, B)).select("row", "t", "df"), "t"), f"SELECT \"row\", {_T} AS t, CAST(n + m - 2 AS DOUBLE) AS df FROM {_TWO}")
-add("limma_moderated_t", lambda t: rounded(o.moderated_t(o.two_groups(L(t), A, B)).select("row", "t"), "t"), f"SELECT \"row\", round((ma - mb) / nullif(sqrt(((n + m - 2) * p + 3 * avg(p) OVER ()) / (n + m + 1) * (1 / n + 1 / m)), 0), 4) + 0.0 AS t FROM (SELECT *, {_POOL} AS p FROM {_TWO})")
+_EVEN = "1 - sin(atan(abs({t}) / 2)) * (1 + pow(cos(atan(abs({t}) / 2)), 2) / 2)"  # both tails of Student's t at 4 degrees of freedom, and at 7
+_ODD = "1 - 2 / pi() * ({a} + sin({a}) * (cos({a}) + 2.0 / 3 * pow(cos({a}), 3) + 8.0 / 15 * pow(cos({a}), 5)))"
+_RAW_T = f"(ma - mb) / nullif(sqrt({_POOL} * (1 / n + 1 / m)), 0)"
+add("stats_ttest", lambda t: rounded(o.t_test(o.two_groups(L(t), A, B)).select("row", "t", "df", "p"), "t", "p"), f"SELECT \"row\", {_T} AS t, CAST(n + m - 2 AS DOUBLE) AS df, round({_EVEN.format(t=f'({_RAW_T})')}, 4) + 0.0 AS p FROM {_TWO}")
+add("limma_moderated_t", lambda t: rounded(o.moderated_t(o.two_groups(L(t), A, B)).select("row", "t", "p"), "t", "p"), f"SELECT \"row\", round(x, 4) + 0.0 AS t, round({_ODD.format(a='atan(abs(x) / sqrt(7))')}, 4) + 0.0 AS p FROM (SELECT \"row\", (ma - mb) / nullif(sqrt(((n + m - 2) * p + 3 * avg(p) OVER ()) / (n + m + 1) * (1 / n + 1 / m)), 0) AS x FROM (SELECT *, {_POOL} AS p FROM {_TWO}))")
 add("volcano_plot", lambda t: rounded(o.fold_change(L(t), A, B).select("row", "log2fc"), "log2fc"), f"SELECT \"row\", round(log2((mb + 1) / (ma + 1)), 4) + 0.0 AS log2fc FROM {_TWO}")
 add("ma_plot", lambda t: rounded(o.fold_change(L(t), A, B).select("row", F.log2((F.col("mean_a") + F.col("mean_b")) / 2 + 1).alias("a"), F.col("log2fc").alias("m")), "a", "m"), f"SELECT \"row\", round(log2((ma + mb) / 2 + 1), 4) AS a, round(log2((mb + 1) / (ma + 1)), 4) + 0.0 AS m FROM {_TWO}")
 add("gene_set_counts", lambda t: rounded(L(t).groupBy(F.length("row").cast("long").alias("set"), "column").agg(F.avg("value").alias("score")), "score"), f"SELECT length(\"row\") AS set, \"column\", round(avg(value), 4) AS score FROM {_L} GROUP BY 1, 2")
@@ -62,8 +65,8 @@ add("stats_correlation_matrix", lambda t: rounded(o.correlations(t.lineitem, ["l
 _RANK = lambda c: f"avg({c}_k) OVER (PARTITION BY {c})"
 add("stats_correlation_pair", lambda t: rounded(o.correlation(t.lineitem, "l_quantity", "l_extendedprice", "spearman").select("n", "r"), "r", n=6), f"SELECT count(*) AS n, round(corr(a, b), 6) AS r FROM (SELECT {_RANK('l_quantity')} AS a, {_RANK('l_extendedprice')} AS b FROM (SELECT l_quantity, l_extendedprice, row_number() OVER (ORDER BY l_quantity) AS l_quantity_k, row_number() OVER (ORDER BY l_extendedprice) AS l_extendedprice_k FROM lineitem))")
 add("stats_regression", lambda t: rounded(o.regression(t.lineitem, "l_quantity", "l_extendedprice"), "slope", "intercept", "r2"), "SELECT regr_count(l_extendedprice, l_quantity) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 4) AS r2 FROM lineitem")
-add("stats_contingency", lambda t: rounded(o.contingency(t.orders, "o_orderstatus", "o_orderpriority").select("n", "chi2", "g", "df"), "chi2", "g"), "WITH c AS (SELECT o_orderstatus AS r, o_orderpriority AS c, count(*) AS k FROM orders GROUP BY 1, 2), m AS (SELECT *, sum(k) OVER (PARTITION BY r) * sum(k) OVER (PARTITION BY c) / sum(k) OVER () AS e FROM c) SELECT CAST(sum(k) AS BIGINT) AS n, round(sum(pow(k - e, 2) / e) + sum(k) - sum(e), 4) AS chi2, round(sum(2 * k * ln(k / e)), 4) AS g, CAST((count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS DOUBLE) AS df FROM m")
-add("stats_anova", lambda t: rounded(o.anova(t.orders, "o_orderpriority", "o_totalprice").select("n", "k", "f"), "f"), "WITH g AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS m, var_pop(o_totalprice) * count(*) AS w FROM orders GROUP BY 1), f AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS mean, sum(w) AS w FROM g) SELECT CAST(f.n AS BIGINT) AS n, k, round((SELECT sum(n * pow(m - f.mean, 2)) FROM g) / (k - 1) / (w / (f.n - k)), 4) AS f FROM f")
+add("stats_contingency", lambda t: rounded(o.contingency(t.orders, "o_orderstatus", "o_orderpriority").select("n", "chi2", "g", "df", "p"), "chi2", "g", "p"), "SELECT n, round(chi2, 4) AS chi2, g, df, round(exp(-chi2 / 2) * (1 + chi2 / 2 + pow(chi2 / 2, 2) / 2 + pow(chi2 / 2, 3) / 6), 4) AS p FROM (WITH c AS (SELECT o_orderstatus AS r, o_orderpriority AS c, count(*) AS k FROM orders GROUP BY 1, 2), m AS (SELECT *, sum(k) OVER (PARTITION BY r) * sum(k) OVER (PARTITION BY c) / sum(k) OVER () AS e FROM c) SELECT CAST(sum(k) AS BIGINT) AS n, sum(pow(k - e, 2) / e) + sum(k) - sum(e) AS chi2, round(sum(2 * k * ln(k / e)), 4) AS g, CAST((count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS DOUBLE) AS df FROM m)")
+add("stats_anova", lambda t: rounded(o.anova(t.orders, "o_orderpriority", "o_totalprice").select("n", "k", "f", "p"), "f", "p"), "SELECT n, k, round(f, 4) AS f, round(pow((n - 5) / (n - 5 + 4 * f), (n - 5) / 2) * (1 + (n - 5) / 2 * (1 - (n - 5) / (n - 5 + 4 * f))), 4) AS p FROM (WITH g AS (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS m, var_pop(o_totalprice) * count(*) AS w FROM orders GROUP BY 1), f AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS mean, sum(w) AS w FROM g) SELECT CAST(f.n AS BIGINT) AS n, k, (SELECT sum(n * pow(m - f.mean, 2)) FROM g) / (k - 1) / (w / (f.n - k)) AS f FROM f)")
 add("stats_p_adjust_table", lambda t: rounded(adjusted(t.orders.select("o_orderkey", (F.col("o_totalprice") / 1e6).alias("p")), "p"), "q", n=6).select("o_orderkey", "q"), "SELECT o_orderkey, round(least(1, min(v) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS q FROM (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS v FROM (SELECT o_orderkey, o_totalprice / 1e6 AS p FROM orders))")
 add("stats_normality", lambda t: rounded(o.moments(t.lineitem, ["l_quantity", "l_extendedprice"]).select("column", "n", "skewness", "kurtosis"), "skewness", "kurtosis", n=6), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, round(avg(pow(z, 3)), 6) + 0.0 AS skewness, round(avg(pow(z, 4)) - 3, 6) + 0.0 AS kurtosis FROM (SELECT ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z FROM lineitem)" for c in ("l_quantity", "l_extendedprice")))
 add("stats_distribution_plot", lambda t: rounded(tab.histogram(t.customer, "c_acctbal", 25), "low", "high", n=2), "WITH e AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer), c AS (SELECT CAST(least(floor((c_acctbal - lo) / ((hi - lo) / 25)), 24) AS BIGINT) AS bin, count(*) AS n FROM customer, e GROUP BY 1) SELECT r.bin, round(lo + r.bin * ((hi - lo) / 25), 2) AS low, round(lo + (r.bin + 1) * ((hi - lo) / 25), 2) AS high, coalesce(n, 0) AS n FROM e, (SELECT unnest(range(0, 25)) AS bin) r LEFT JOIN c ON c.bin = r.bin")
@@ -76,7 +79,6 @@ add("stats_mutual_information", lambda t: rounded(o.mutual_information(t.lineite
 add("stats_time_series_trend", lambda t: rounded(o.regression(t.events, "event_id", "value"), "slope", "intercept", "r2", n=6), "SELECT regr_count(value, event_id) AS n, round(regr_slope(value, event_id), 6) + 0.0 AS slope, round(regr_intercept(value, event_id), 6) AS intercept, round(regr_r2(value, event_id), 6) AS r2 FROM events")
 add("stats_summary_of_bedgraph", lambda t: rounded(t.track.agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("bases"), (F.sum(F.col("value") * (F.col("stop") - F.col("start"))) / F.sum(F.col("stop") - F.col("start"))).alias("mean")), "mean"), "SELECT count(*) AS n, CAST(sum(stop - start) AS BIGINT) AS bases, round(sum(value * (stop - start)) / sum(stop - start), 4) AS mean FROM track")
 add("network_from_edge_list", lambda t: rounded(o.degrees(t.edges, "a", "b", "w"), "strength", n=2), "WITH e AS (SELECT a AS x, b AS y, w FROM edges UNION ALL SELECT b, a, w FROM edges), p AS (SELECT x, y, sum(w) AS w FROM e WHERE x <> y GROUP BY 1, 2) SELECT x AS node, count(*) AS degree, round(sum(w), 2) AS strength FROM p GROUP BY 1")
-add("network_communities", lambda t: ml.components(t.edges, "a", "b"))
 add("network_flow_table", lambda t: rounded(o.transitions(t.orders, "o_orderstatus", "o_orderpriority"), "percent"), "SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY o_orderstatus), 4) AS percent FROM orders GROUP BY 1, 2")
 add("network_venn", lambda t: tab.overlap(t.customer, t.orders, "c_custkey", "o_custkey"), "SELECT *, shared / greatest(n_a + n_b - shared, 1) AS jaccard FROM (SELECT count(a) AS n_a, count(b) AS n_b, count(*) FILTER (WHERE a = b) AS shared, count(*) FILTER (WHERE b IS NULL) AS only_a, count(*) FILTER (WHERE a IS NULL) AS only_b FROM (SELECT DISTINCT c_custkey AS a FROM customer) FULL JOIN (SELECT DISTINCT o_custkey AS b FROM orders) ON a = b)")
 _UP = "SELECT CAST(m AS BIGINT) AS combination, count(*) AS n FROM (SELECT l_partkey, max(CASE l_returnflag WHEN 'A' THEN 1 ELSE 0 END) + max(CASE l_returnflag WHEN 'N' THEN 2 ELSE 0 END) + max(CASE l_returnflag WHEN 'R' THEN 4 ELSE 0 END) AS m FROM lineitem GROUP BY 1) GROUP BY 1"

@@ -53,11 +53,17 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
     return made.where("start is not null and stop is not null")
 
 
+def _mapped(entries: Column) -> Column:
+    """A map of (key, value) entries; of a repeated key the last one counts."""
+    back = F.reverse(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(back, e["key"]) == F.size(entries) - i))
+
+
 def gff(spark: SparkSession, path: str) -> DataFrame:
     """Features of GFF3 or GTF, 1-based and closed, with their attributes as a map."""
     pairs = F.filter(F.transform(F.split(F.get(F.col("f"), F.lit(8)), ";"), lambda x: F.trim(x)), lambda x: x != "")
-    entries = F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, r"^([^=\s]+)", 1), F.regexp_replace(F.regexp_extract(x, r"^[^=\s]+[=\s]\s*(.*)$", 1), '"', "")))
-    attributes = F.map_from_entries(F.array_distinct(entries))
+    entries = F.transform(pairs, lambda x: F.struct(F.regexp_extract(x, r"^([^=\s]+)", 1).alias("key"), F.regexp_replace(F.regexp_extract(x, r"^[^=\s]+[=\s]\s*(.*)$", 1), '"', "").alias("value")))
+    attributes = _mapped(entries)
     return _fields(spark, path).where(F.size("f") >= 9).select(
         _text(0).alias("seqid"), _text(1).alias("source"), _text(2).alias("type"), _number(3, "bigint").alias("start"), _number(4, "bigint").alias("stop"), _number(5, "double").alias("score"), F.coalesce(_text(6), F.lit(".")).alias("strand"), _text(7).alias("phase"), attributes.alias("attrs")
     )
@@ -65,18 +71,18 @@ def gff(spark: SparkSession, path: str) -> DataFrame:
 
 def vcf(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos, id, ref, alt, qual, filter, info, fmt, samples): missing values are null."""
-    info = F.transform(F.filter(F.split(F.get(F.col("f"), F.lit(7)), ";"), lambda x: (x != "") & (x != ".")), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)), F.split_part(x, F.lit("="), F.lit(2))))
+    info = F.transform(F.filter(F.split(F.get(F.col("f"), F.lit(7)), ";"), lambda x: (x != "") & (x != ".")), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("key"), F.split_part(x, F.lit("="), F.lit(2)).alias("value")))
     return _fields(spark, path).where(F.size("f") >= 8).select(
-        _text(0).alias("chrom"), _number(1, "bigint").alias("pos"), _text(2).alias("id"), _text(3).alias("ref"), _text(4).alias("alt"), _number(5, "double").alias("qual"), _text(6).alias("filter"), F.map_from_entries(F.array_distinct(info)).alias("info"), F.split(F.get(F.col("f"), F.lit(8)), ":").alias("fmt"), F.slice("f", 10, 1 << 20).alias("samples")
+        _text(0).alias("chrom"), _number(1, "bigint").alias("pos"), _text(2).alias("id"), _text(3).alias("ref"), _text(4).alias("alt"), _number(5, "double").alias("qual"), _text(6).alias("filter"), _mapped(info).alias("info"), F.split(F.get(F.col("f"), F.lit(8)), ":").alias("fmt"), F.slice("f", 10, 1 << 20).alias("samples")
     )
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignment lines with their tags as a map from name to value."""
-    tags = F.transform(F.slice("f", 12, 1 << 20), lambda x: F.struct(F.substring(x, 1, 2), F.substring(x, 6, 1 << 20)))
+    tags = F.transform(F.slice("f", 12, 1 << 20), lambda x: F.struct(F.substring(x, 1, 2).alias("key"), F.substring(x, 6, 1 << 20).alias("value")))
     return _fields(spark, path, "@").where(F.size("f") >= 11).select(
         F.get(F.col("f"), F.lit(0)).alias("qname"), _number(1, "int").alias("flag"), F.get(F.col("f"), F.lit(2)).alias("rname"), _number(3, "bigint").alias("pos"), _number(4, "int").alias("mapq"), F.get(F.col("f"), F.lit(5)).alias("cigar"),
-        F.get(F.col("f"), F.lit(6)).alias("rnext"), _number(7, "bigint").alias("pnext"), _number(8, "bigint").alias("tlen"), F.get(F.col("f"), F.lit(9)).alias("seq"), F.get(F.col("f"), F.lit(10)).alias("qual"), F.map_from_entries(F.array_distinct(tags)).alias("tags"),
+        F.get(F.col("f"), F.lit(6)).alias("rnext"), _number(7, "bigint").alias("pnext"), _number(8, "bigint").alias("tlen"), F.get(F.col("f"), F.lit(9)).alias("seq"), F.get(F.col("f"), F.lit(10)).alias("qual"), _mapped(tags).alias("tags"),
     )
 
 
