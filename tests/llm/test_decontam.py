@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 import pytest
@@ -44,3 +46,29 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id string, text string")
     assert decontam.decontaminate(docs.limit(0), items).count() == 0
     assert decontam.decontaminate(docs, items.limit(0)).where("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("share", [1.0, 0.8, 0.6])
+def test_any_share_equals_brute_force(spark, share):
+    rng = random.Random(6)
+    base = [[rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(25)] for _ in range(6)]
+    texts = []
+    for _ in range(40):
+        own = list(rng.choice(base))[rng.randrange(10) :]
+        for _ in range(rng.randrange(6)):
+            own[rng.randrange(len(own))] = rng.choice(["zz", "a1", own[0]])
+        texts.append(["x"] * rng.randrange(4) + own)
+    items = [(str(i), " ".join(b)) for i, b in enumerate(base)] + [("short", " ".join(base[0][:4]))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: (r.n_hit, r["items"]) for r in decontam.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"), share=share, keep=["doc_id"], block=20).collect()}
+    for i, t in enumerate(texts):
+        hit, names = set(), set()
+        for name, text in items:
+            v = text.split()
+            for k in range(max(1, len(v) - 9)):
+                w = v[k : k + 10]
+                for p in range(len(t) - len(w) + 1):
+                    if sum(x == y for x, y in zip(t[p:], w)) >= math.ceil(share * len(w)):
+                        hit.update(range(p, p + len(w)))
+                        names.add(name)
+        assert found[i] == (len(hit), sorted(names))
