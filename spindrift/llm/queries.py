@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, licenses, quality, secrets, simhash, topk, toxicity
+from . import bpe, chat, decontam, langid, licenses, quality, runs, secrets, simhash, topk, toxicity
 from .common import checkpointed, table
 from .sample import fold, labelled_texts
 
@@ -263,3 +263,71 @@ scored AS (
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+def _periodic_tails(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) with the tails of documents with h % 10 = 0 made periodic, as the contract of operator 11 asks."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    n, g = F.size("_words"), F.floor(h / 10)
+    chosen = documents.select("doc_id", "text", F.when(h % 10 == 0, words).alias("_words"), g.alias("_g"))
+    a = chosen.select("doc_id", "text", "_words", "_g", F.when(n > 0, F.pmod("_g", n)).alias("_a"))
+    p = a.withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8)))
+    tail = F.transform("_words", lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.get("_words", (F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))))
+    return p.select("doc_id", F.when(F.col("_p").isNotNull(), F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 12 words or more of every whole document, and the documents without their repeats."""
+    found = runs.periodic_runs(_periodic_tails(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    length, period = -longest["less"], longest["period"]
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        longest["start"].alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: CRC-32 bit by bit; repeats at a distance q as islands of equal stretches of six words, of which every run has some.
+ORACLE_SQL["op11_periodic_runs"] = r"""
+WITH numbered AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda crc, c: list_reduce(list_prepend(xor(crc, c), [CAST(k AS BIGINT) for k in range(8)]), lambda v, k: xor(v >> 1, 3988292384 * (v & 1))))) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM numbered
+), d AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE [w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1] for i in range(n)] END AS w FROM drawn
+), grams AS (
+  SELECT r, i, w[i + 1 : i + 6] AS gram FROM (SELECT r, w, unnest(range(0, n - 5)) AS i FROM d WHERE n >= 6)
+), pairs AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.r = y.r AND x.gram = y.gram AND x.i < y.i
+), islands AS (
+  SELECT r, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs) GROUP BY r, q, island
+), found AS (
+  SELECT r, start, length, min(q) AS period FROM islands WHERE length >= greatest(12, 2 * q) GROUP BY r, start, length
+), summed AS (
+  SELECT r, count(*) AS n_runs, arg_min(struct_pack(start := start, length := length, period := period), (-length, start, period)) AS best,
+    string_agg(CAST(start AS VARCHAR) || ',' || CAST(length AS VARCHAR) || ',' || CAST(period AS VARCHAR) || chr(10), '' ORDER BY start, period) AS listed
+  FROM found GROUP BY r
+), dropped AS (
+  SELECT r, list(DISTINCT i) AS gone FROM (SELECT r, unnest(range(start + period, start + length)) AS i FROM found) GROUP BY r
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS collapsed FROM (
+    SELECT words.r, words.i, word FROM (SELECT r, unnest(w) AS word, unnest(range(n)) AS i FROM d) words
+    ANTI JOIN (SELECT r, unnest(gone) AS i FROM dropped) away ON words.r = away.r AND words.i = away.i
+  ) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM d LEFT JOIN summed USING (r) LEFT JOIN kept USING (r)
+"""
