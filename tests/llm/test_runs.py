@@ -48,7 +48,7 @@ def test_factors_are_longest_earlier_strings():
             if earlier >= 0:
                 assert earlier < start and s[earlier : earlier + size] == s[start : start + size]
             longer = s[start : start + size + (earlier >= 0)]
-            assert at + len(longer) > len(s) or not any(s[i : i + len(longer)] == longer for i in range(start))
+            assert (earlier >= 0 and start + size == len(s)) or not any(s[i : i + len(longer)] == longer for i in range(start))
             at += size
         assert at == len(s)
 
