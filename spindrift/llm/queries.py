@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, licenses, quality, runs, secrets, simhash, topk, toxicity
+from . import bpe, chat, decontam, langid, lexical, licenses, quality, runs, secrets, simhash, topk, toxicity
 from .common import checkpointed, table
 from .sample import fold, labelled_texts
 
@@ -331,3 +331,31 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length A
   sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
 FROM d LEFT JOIN summed USING (r) LEFT JOIN kept USING (r)
 """
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+ORACLE_SQL["op12_lexical_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT row_number() OVER () AS q, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), asked AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest(w) AS term FROM b) GROUP BY ALL),
+posted AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+totals AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+weighted AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM posted, totals GROUP BY term),
+sized AS (SELECT r, doc_id, 100 - 25 + (25 * len(w) * n) // l AS m FROM d, totals WHERE len(w) > 0),
+scored AS (
+  SELECT q, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN posted USING (term) JOIN weighted USING (term) JOIN sized USING (r) GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN b USING (q) WHERE rank <= 20
+"""
