@@ -1,255 +1,29 @@
-"""Near-dedup at a stated similarity: SimHash and BK-trees (operator 3), an exact check, and an exact join for the rest.
+"""Near-dedup at a stated similarity: SimHash and BK-trees (operator 3) first, and an exact join for what they leave.
 
-A text is the set of the 64-bit hashes of its shingles; equal sets collapse to one key before anything is compared.
-The keys' fingerprints meet in BK-trees, and each link found is checked by the exact Jaccard similarity of the sets.
-A fingerprint of 64 bits can't decide the rest: sets of similarity 0.8 differ in ten bits on average, a radius at
-which a tree prunes next to nothing. So a prefix-filtered set join finds all further pairs, without a radius to miss
-any: all hashes have one global order, from rare to common by the cells of a counting sketch, then by value. The
-sketch has a fixed size and only the order depends on it, never the result. Of two sets of similarity ``share`` or
-more, the first n - ceil(share * n) + 1 hashes of each, its prefix, have one in common; so keys meet in the buckets of
-their prefix hashes (as 64-bit short keys), and each pair that meets within the length bound is checked on the whole sets, which only the
-texts of such pairs give again.
-
-A group of near copies would meet in pairs as many as its square. So the keys of a bucket first meet only a few pivots;
-components follow, and then only pairs of different components meet, all of them that the bounds let through.
+Fingerprints of 64 bits can't decide a similarity of 0.8 alone: such sets differ in ten bits on average, a radius at
+which a BK-tree prunes next to nothing. So the BK-trees form the groups: sets whose fingerprints lie within the radius
+link after an exact check, and so do sets with the same least token. The token-group matrix of ``groupjoin`` then
+finds all further links, between groups and for sets that are in none; most sets are in one by then, and a set meets
+groups instead of all their members. The result is that of all pairs.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-from fractions import Fraction
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from .common import checkpointed, slices, unused
-from .simhash import CHUNK, SEED, components, links as fingerprint_links, majority
-
-#: Cells of the counting sketch, and those in one row of it.
-CELLS, PART = 1 << 20, 1 << 16
-#: Keys of candidates and components (16 bytes each) and ids of copies up to which they are broadcast.
-SENT = 500_000
-#: 64-bit words of a set's parities.
-WORDS = 16
-#: Pivots of a bucket besides its most ordinary key.
-PIVOTS = 2
-
-
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles; all of a shorter text is one; no words have none."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    n, parts = len(words) - width + 1, []
-    for at in range(0, n, CHUNK):
-        part = words[at : min(at + CHUNK, n) + width - 1]
-        own = map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False))
-        parts.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in own), np.uint64)))
-    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-
-
-def _key(own: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(own.astype("<u8").tobytes())
-
-
-def parity(own: np.ndarray) -> np.ndarray:
-    """For each of 64 * WORDS cells, as bits, whether an odd number of the hashes fall in it. Two sets' bits differ in
-    no more places than the sets do."""
-    ones = np.bincount((own >> np.uint64(32)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
-    return np.packbits(ones.astype(np.uint8), bitorder="little").view("<i8")
-
-
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list]]:
-    for at, n in slices(batch.column(column)):
-        yield at, n, batch.column(column).slice(at, n).to_pylist()
-
-
-def _marked(df: DataFrame, id: str, text: str, width: int) -> DataFrame:
-    """(id, key) of each row, and, in rows of their own, the parts of each task's sketch (part, cells)."""
-    taken = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
-
-    def run(batches):
-        cells = np.zeros(CELLS, np.uint8)
-        names = ["id", "key", "part", "cells"]
-        kind = None
-        for batch in batches:
-            kind = batch.column(0).type
-            for at, n, texts in _texts(batch, 1):
-                keys = []
-                for t in texts:
-                    own = shingles(t, width)
-                    keys.append(_key(own))
-                    c = np.unique((own % np.uint64(CELLS)).astype(np.int64))
-                    cells[c] += cells[c] < 255
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(keys, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-        used = [p for p in range(CELLS // PART) if cells[p * PART : (p + 1) * PART].any()]
-        if used:
-            parts = [cells[p * PART : (p + 1) * PART].tobytes() for p in used]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array(parts, pa.binary())], names=names)
-
-    return taken.mapInArrow(run, f"id {taken.schema['id'].dataType.simpleString()}, key binary, part int, cells binary")
-
-
-def _levels(parts: DataFrame) -> np.ndarray:
-    """The logarithm of each cell's count, summed over the tasks' sketches (part, cells)."""
-
-    def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums.setdefault(p, np.zeros(PART, np.int64))
-                sums[p] += np.frombuffer(own, np.uint8)
-        if sums:
-            made = [np.minimum(np.round(8 * np.log2(1 + s)), 255).astype(np.uint8).tobytes() for s in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(made, pa.binary())], names=["part", "cells"])
-
-    level = np.zeros(CELLS, np.uint8)
-    for r in parts.repartition("part").mapInArrow(run, "part int, cells binary").collect():
-        level[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.cells, np.uint8)
-    return level
-
 
-def _sets(df: DataFrame, text: str, width: int, share: float, level: np.ndarray) -> DataFrame:
-    """(key, k, n, rank, fp, parity, prefix): each set once in a task. The prefix has its rarest hashes in order, rank is the
-    mean level of all its hashes, fp its fingerprint, and k a short form of the key."""
-    sent, least = df.sparkSession.sparkContext.broadcast(level), Fraction(str(share))
+from .common import checkpointed, unused
+from .groupjoin import SENT, classes, set_key, sets_of, to_leaders
+from .simhash import links as fingerprint_links
 
-    def run(batches):
-        seen: dict[bytes, None] = {}
-        for batch in batches:
-            for _, _, texts in _texts(batch, 0):
-                rows = []
-                for t in texts:
-                    own = shingles(t, width)
-                    key = _key(own)
-                    if not len(own) or key in seen:
-                        continue
-                    if len(seen) >= 1 << 16:
-                        seen.clear()
-                    seen[key] = None
-                    levels = sent.value[(own % np.uint64(CELLS)).astype(np.int64)]
-                    size = len(own) - math.ceil(least * len(own)) + 1
-                    prefix = own[np.lexsort((own, levels))[:size]].view(np.int64)
-                    rows.append((key, int.from_bytes(key[:8], "little", signed=True), len(own), float(levels.mean()), int(majority(own).view(np.int64)), parity(own), prefix))
-                if rows:
-                    arrays = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["key", "k", "n", "rank", "fp", "parity", "prefix"])
 
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return df.select(F.col(text)).mapInArrow(run, "key binary, k long, n long, rank double, fp long, parity array<long>, prefix array<long>")
-
-
-def _plausible(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """(a, b): the keys of the pairs (a, b) of short keys that the sets' parities allow, the lesser first.
-
-    Similar sets of n and m hashes differ in (n + m) * (1 - share) / (1 + share) hashes at most. Loses no similar
-    pair, and moves no set."""
-    short = pairs.select(F.col("a").alias("k")).unionAll(pairs.select("b")).distinct()
-    of = checkpointed(sets.select("k", "key", "n", "parity").join(short, "k", "left_semi").dropDuplicates(["key"]))
-    left = of.select(F.col("k").alias("a"), F.col("key").alias("a_key"), "n", F.col("parity").alias("x"))
-    right = of.select(F.col("k").alias("b"), F.col("key").alias("b_key"), F.col("n").alias("m"), F.col("parity").alias("y"))
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    least = Fraction(str(share))
-    good = pairs.join(left, "a").join(right, "b").where(apart * (least.denominator + least.numerator) <= (F.col("n") + F.col("m")) * (least.denominator - least.numerator))
-    return checkpointed(good.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct())
-
-
-def _verified(pairs: DataFrame, marked: DataFrame, df: DataFrame, id: str, text: str, width: int, share: float, unique: bool) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar; only texts of keys in pairs are read for it, one for each key."""
-    keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
-    of = checkpointed(marked.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("of")).select(F.col("key").alias("_key"), F.col("of.id").alias("_id")))
-    few = F.broadcast(of) if of.count() <= SENT else of
-    texts = df.select(F.col(id).alias("id"), F.col(text).alias("text")).join(few, F.col("id").eqNullSafe(F.col("_id"))).select("_key", "text")
-
-    def run(batches):
-        for batch in batches:
-            for at, n, own in _texts(batch, 1):
-                found = [shingles(t, width) for t in own]
-                same = [_key(x) == k for x, k in zip(found, batch.column(0).slice(at, n).to_pylist(), strict=True)]  # ids may repeat
-                kept = [i for i, x in enumerate(same) if x]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n).take(pa.array(kept, pa.int64())), pa.array([found[i].view(np.int64) for i in kept], pa.list_(pa.int64()))], names=["key", "own"])
-
-    own = texts.mapInArrow(run, "key binary, own array<long>")
-    own = checkpointed(own if unique else own.dropDuplicates(["key"]))
-    both = pairs.join(own.select(F.col("key").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("key").alias("b"), F.col("own").alias("y")), "b")
-    least, common = Fraction(str(share)), F.size(F.array_intersect("x", "y"))
-    either = F.size("x") + F.size("y") - common
-    return checkpointed(both.where(common * least.denominator >= either * least.numerator).select("a", "b"))
-
-
-def _fingerprint_pairs(sets: DataFrame, radius: int) -> DataFrame:
-    """Pairs of short keys (a, b) that span the components of fingerprints within ``radius`` bits: each key of a
-    fingerprint goes with its least one, and these go along the links that BK-trees find."""
-    least = checkpointed(sets.groupBy("fp").agg(F.min("k").alias("least")))
-    same = sets.join(least, "fp").select(F.col("k").alias("a"), F.col("least").alias("b"))
+def fingerprint_pairs(own: DataFrame, radius: int) -> DataFrame:
+    """Pairs of keys (a, b) that span the components of fingerprints within ``radius`` bits: each key of a fingerprint
+    goes with its least one, and these go along the links that BK-trees find."""
+    least = checkpointed(own.groupBy("fp").agg(F.min("key").alias("least")))
     found = fingerprint_links(least.select("fp"), radius)
-    ends = found.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
-    return same.unionAll(ends).where("a <> b")
-
-
-def _may_link(share: float) -> Column:
-    """Whether rows (a, n, at) and (b, m, to) of one bucket may be similar.
-
-    Sets of n and m hashes need share / (1 + share) * (n + m) in common. After the first that they share, at places
-    ``at`` and ``to``, only those behind it can be; so the pair passes in the bucket of its first common hash.
-    """
-    least = Fraction(str(share))
-    near = F.least("n", "m") * least.denominator >= F.greatest("n", "m") * least.numerator
-    near = near & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) * (least.denominator + least.numerator) >= (F.col("n") + F.col("m")) * least.numerator)
-    return near & (F.col("a") != F.col("b"))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """The distinct pairs, the lesser first."""
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _filed(sets: DataFrame, share: float) -> DataFrame:
-    """(h, at, k, n, rank): the sets in the buckets of their prefix hashes, where another one is that may be similar.
-
-    With the first common hash at place ``at``, a set's partner has reach = (n - at) * (1 + share) / share - n hashes
-    at most; rows whose reach is below the least set of the bucket go. Most buckets are of one set, so what stays of
-    the one exchange of all is small."""
-    least, bucket = Fraction(str(share)), Window.partitionBy("h")
-    filed = sets.select(F.posexplode("prefix").alias("at", "h"), "k", "n", "rank")
-    shared = filed.withColumns({"_least": F.min("k").over(bucket), "_most": F.max("k").over(bucket), "_n": F.min("n").over(bucket)}).where("_least <> _most")
-    reach = (F.col("n") - F.col("at")) * (least.denominator + least.numerator) >= (F.col("n") + F.col("_n")) * least.numerator
-    return checkpointed(shared.where(reach).select("h", "at", "k", "n", "rank").distinct())
-
-
-def labels(sets: DataFrame, share: float, radius: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, label) of all keys that are similar to another: label is the least key of the component. ``verified``
-    keeps the pairs whose sets are similar."""
-    met, bucket = _filed(sets, share), Window.partitionBy("h")
-    # a bucket's pivots are its most ordinary set and PIVOTS others, the same ones in all buckets of a group
-    row = F.struct(F.col("k").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"))
-    orders = [F.struct("rank", "k"), *[F.xxhash64("k", F.lit(i)) for i in range(PIVOTS)]]
-    # dealt before the windows' inputs are made, which would be dealt with the rows
-    to_pivots = met.repartition("h").withColumn("pivots", F.array(*[F.max_by(row, o).over(bucket) for o in orders])).select(F.col("k").alias("a"), "n", "at", F.inline("pivots"))
-    first = checkpointed(_ordered(to_pivots.where(_may_link(share)).select("a", "b").unionAll(_fingerprint_pairs(sets, radius))))
-    links = verified(_plausible(first, sets, share))
-    found = checkpointed(components(links))
-    # then all pairs of different components: rows that aren't of their bucket's largest component with all others
-    sent = F.broadcast(found) if found.count() <= SENT else found
-    own = sets.select("k", "key").join(sent, F.col("key") == F.col("node")).groupBy("k").agg(F.xxhash64(F.min("label")).alias("label"))
-    of = checkpointed(met.join(F.broadcast(own) if found.count() <= SENT else own, "k", "left").select("h", "at", "k", "n", F.coalesce("label", F.xxhash64("k")).alias("label")))
-    parts = of.groupBy("h", "label").count().groupBy("h").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = checkpointed(of.join(parts.select("h", F.col("most.label").alias("most")), "h"))
-    left = open_.where("label <> most").select("h", "most", F.col("k").alias("a"), "n", "at", F.col("label").alias("l"))
-    right = open_.select(F.col("h").alias("h2"), F.col("k").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("label").alias("r"))
-    pairs = left.join(right, F.expr("h = h2 AND l <> r AND (r = most OR l < r)") & _may_link(share))
-    rest = checkpointed(_ordered(pairs).join(first, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return found
-    more = verified(_plausible(rest, sets, share))
-    return found if more.isEmpty() else components(links.unionAll(more))
+    ends = found.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return to_leaders(own, "fp").unionAll(ends)
 
 
 def deduplicated(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, share: float = 0.8, radius: int = 3) -> DataFrame:
@@ -258,24 +32,23 @@ def deduplicated(df: DataFrame, id: str = "doc_id", text: str = "text", width: i
     Rows link if the Jaccard similarity of their sets of ``width``-word shingles (only A-Z folded, ASCII white space
     splits) is ``share`` or more. ``radius`` is that of the fingerprints' links; the result doesn't depend on it.
     Texts without words link with each other. Null ids come last; a component of null
-    ids only keeps one of its rows. Repeated rows are copies like others.
+    ids only keeps one of its rows. Repeated rows are copies like others. No rows give no rows. Jobs run while this is called.
     """
     columns = df.columns
     kept_id, kept_key, copy = unused(columns, "_kept", "_kept_key", "_copy")
-    made = checkpointed(_marked(df, id, text, width))
-    marked = made.where("key IS NOT NULL").select("id", "key")
-    unique = marked.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).isEmpty()
-    sets = checkpointed(_sets(df, text, width, share, _levels(made.where("part IS NOT NULL").select("part", "cells"))))
-    found = labels(sets, share, radius, lambda pairs: _verified(pairs, marked, df, id, text, width, share, unique))
-    classes = marked.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).join(found, F.col("key") == F.col("node"), "left")
-    kept = checkpointed(classes.groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("first").alias("kept")).select(F.col("kept.id").alias(kept_id), F.col("kept.key").alias(kept_key)))
+    first = [lambda own: fingerprint_pairs(own, radius), lambda own: to_leaders(own, "first"), lambda own: to_leaders(own, "second")]
+    marked, found, unique = classes(df, id, text, width, share, first)
+    least = marked.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    if found is not None:
+        least = least.join(found, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("first").alias("first"))
+    kept = checkpointed(least.select(F.col("first.id").alias(kept_id), F.col("first.key").alias(kept_key)))
     if unique:
         copies = checkpointed(marked.join(kept, F.col("id") == F.col(kept_id), "left_anti").select(F.col("id").alias(copy)))
         if copies.count() <= SENT:  # then the texts stay where they are
             return df.join(F.broadcast(copies), F.col(id) == F.col(copy), "left_anti")
         return df.join(kept, F.col(id) == F.col(kept_id), "left_semi")
     # ids that repeat or are null don't tell rows apart: their keys and columns do
-    own = F.udf(lambda t: _key(shingles(t, width)), "binary")
+    own = F.udf(lambda t: set_key(sets_of([t], width)[0]), "binary")
     rows = df.join(kept, F.col(id).eqNullSafe(F.col(kept_id))).where(own(F.col(text)) == F.col(kept_key))
-    first = rows.groupBy(kept_id, kept_key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row"))
-    return first.select(*[F.col("row").getField(c).alias(c) for c in columns])
+    first_row = rows.groupBy(kept_id, kept_key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row"))
+    return first_row.select(*[F.col("row").getField(c).alias(c) for c in columns])

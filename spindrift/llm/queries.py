@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, lexical, licenses, quality, runs, secrets, simhash, topk, toxicity
+from . import bpe, chat, decontam, groupjoin, langid, lexical, licenses, quality, runs, secrets, simhash, topk, toxicity
 from .common import checkpointed, table
 from .sample import fold, labelled_texts
 
@@ -359,3 +359,9 @@ scored AS (
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN b USING (q) WHERE rank <= 20
 """
+
+
+@query
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of whole documents with three-word shingle sets of Jaccard similarity 0.9 or more."""
+    return groupjoin.similar_documents(table(spark, sf_dir, "documents"), width=3, share=0.9)
