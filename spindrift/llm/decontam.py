@@ -6,7 +6,8 @@ of place, which take m * WIDTH shingles at most, so one of the m * WIDTH + 1 rar
 windows, of which nothing might be whole, have shorter shingles). Only document positions of prefix shingles are joined. The positional bound puts the window at
 one place for each joined position, the length bound drops places that leave the document, and each place left is
 verified word by word over the window. Prefix shingles are looked up in a table of one block of windows, at most
-``BLOCK`` of them; further blocks are further passes, so what is broadcast has a fixed bound.
+``BLOCK`` of them, cut from all windows in their order; further blocks are further passes, so what is broadcast has a
+fixed bound, also if many items share a window.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.ordinals import ordinal
 from .common import checkpointed, map_texts, slices
 from .words import split_words
 
@@ -52,6 +54,11 @@ def item_windows(benchmark: DataFrame, size: int, id: str = "item_id", text: str
     return benchmark.select(F.col(id).cast("string"), F.col(text)).mapInArrow(run, schema)
 
 
+def window_blocks(windows: DataFrame, block: int) -> DataFrame:
+    """(item, words, block): the windows, written out, in numbered blocks of ``block`` of them at most."""
+    return checkpointed(ordinal(windows, ["item", "words"], "nth", 0).select("item", "words", F.floor(F.col("nth") / block).cast("int").alias("block")))
+
+
 def width_of(n: int, need: int) -> int:
     """Words of the shingles of a window of n words: the most, up to WIDTH, at which one shingle is whole in every
     match of ``need`` words, as each word out of place takes ``width`` shingles at most."""
@@ -233,12 +240,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = 10, sh
     spark = documents.sparkSession
     names = {"n_words": T.LongType(), "_spans": SPANS, "_items": NAMES}
     stay = [c for c in (documents.columns if keep is None else keep) if c not in names and c not in OUTPUTS]
-    windows = checkpointed(item_windows(benchmark, size, item_id, item_text))
-    parts = windows.withColumn("part", F.xxhash64("words"))
-    blocks = max(1, math.ceil(windows.count() / (0.8 * block)))
+    parts = window_blocks(item_windows(benchmark, size, item_id, item_text), block)
+    blocks = 1 + (parts.agg(F.max("block")).first()[0] or 0)
     now, held = documents, None
     for b in range(blocks):
-        own = parts.where(F.pmod("part", F.lit(blocks)) == b)
+        own = parts.where(F.col("block") == b)
         rows = [(r.item, [bytes(w) for w in r.words]) for r in own.select("item", "words").collect()]
         counted = corpus_counts(documents, spark.sparkContext.broadcast((uuid4().hex, rows, share)), text) if rows else None
         uses = [tuple(r) for r in counted.collect()] if rows else []

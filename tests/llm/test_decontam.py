@@ -72,3 +72,13 @@ def test_any_share_equals_brute_force(spark, share):
                         hit.update(range(p, p + len(w)))
                         names.add(name)
         assert found[i] == (len(hit), sorted(names))
+
+
+def test_equal_windows_of_many_items_stay_within_a_block(spark):
+    text = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(f"i{k:03}", text) for k in range(200)], "item_id string, text string")
+    blocks = decontam.window_blocks(decontam.item_windows(items, 10), 10).groupBy("block").count().collect()
+    assert sorted(r.block for r in blocks) == list(range(20)) and {r["count"] for r in blocks} == {10}
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "none")], "doc_id long, text string")
+    found = {r.doc_id: r for r in decontam.decontaminate(docs, items.limit(25), block=10).collect()}
+    assert len(found[1]["items"]) == 25 and found[1].n_hit == 10 and found[2]["items"] == []
