@@ -9,6 +9,7 @@ equal hashes. A bitmap of the template hashes drops, before the join, k-grams th
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -170,7 +171,9 @@ def _spans(votes: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
     """(_row, span) of the verified spans of votes (_row, template, place, at, masks).
 
     Diagonals at most ``drift`` apart merge. A merged group that is too long for one template (several occurrences
-    on near diagonals) falls back to its diagonals, each verified on its own.
+    on near diagonals) is cut: from each of its diagonals on, those that an occurrence of the greatest length can lie
+    on are verified together, and a verified cut stays if no overlapping one has a larger share (or the same one and
+    an earlier diagonal).
     """
     names = [f"m{m}" for m in range(masks(templates))]
     diagonals = votes.groupBy("_row", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
@@ -184,9 +187,18 @@ def _spans(votes: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
     merged = {f"all_{m}": F.bit_or(m).over(group) for m in names} | {"all_first": F.min("first").over(group), "all_last": F.max("last").over(group), "least_diagonal": F.min("diagonal").over(group)}
     longest = F.ceil(F.col("size") / F.col("least"))
     judged = grouped.withColumns(merged).withColumn("whole", F.col("all_last") + F.col("t_words") - F.col("all_first") <= longest)
-    own = lambda m: F.when(F.col("whole"), F.col(f"all_{m}")).otherwise(F.col(m))
-    covered = sum((F.bit_count(own(m)) for m in names), F.lit(0))
-    start, end = own("first"), own("last") + F.col("t_words")
-    kept = judged.where(~F.col("whole") | (F.col("diagonal") == F.col("least_diagonal"))).withColumn("share", covered / F.col("size"))
-    span = F.struct(start.alias("start"), end.alias("end"), "template", "label", "share")
-    return kept.where(F.col("share") >= F.col("least")).select("_row", span.alias("span"))
+    whole = judged.where(F.col("whole") & (F.col("diagonal") == F.col("least_diagonal")))
+    made = lambda df, of, first, last: df.withColumns({"share": sum((F.bit_count(of(m)) for m in names), F.lit(0)) / F.col("size"), "start": F.col(first), "end": F.col(last) + F.col("t_words")}).where(F.col("share") >= F.col("least"))
+    kept = [made(whole, lambda m: F.col(f"all_{m}"), "all_first", "all_last")]
+    for slack in sorted({math.ceil(len(t.words) / t.share) - len(t.words) for t in templates}):
+        ahead = Window.partitionBy("_row", "template", "group").orderBy("diagonal").rangeBetween(0, slack)
+        around = Window.partitionBy("_row", "template", "group").orderBy("diagonal").rangeBetween(-slack, slack)
+        open_ = judged.where(~F.col("whole") & (longest - F.col("size") == slack))
+        cuts = open_.withColumns({f"cut_{m}": F.bit_or(m).over(ahead) for m in names} | {"cut_first": F.min("first").over(ahead), "cut_last": F.max("last").over(ahead)})
+        best = F.max(F.struct("share", (-F.col("diagonal")).alias("earlier"))).over(around)
+        kept.append(made(cuts, lambda m: F.col(f"cut_{m}"), "cut_first", "cut_last").withColumn("best", best).where(F.col("best.earlier") == -F.col("diagonal")))
+    found = None
+    for part in kept:
+        own = part.select("_row", F.struct(F.col("start"), F.col("end"), "template", "label", "share").alias("span"))
+        found = own if found is None else found.unionAll(own)
+    return found

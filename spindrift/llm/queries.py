@@ -222,13 +222,23 @@ votes AS (SELECT r, template, pos, place, pos - place AS diagonal FROM runs JOIN
 gaps AS (SELECT votes.*, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > drift, false) AS apart FROM votes JOIN facts USING (template)),
 merged AS (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY r, template ORDER BY diagonal RANGE UNBOUNDED PRECEDING) AS grp FROM gaps),
 sized AS (SELECT r, template, grp, max(pos) + any_value(k) - min(pos) <= any_value(ceil(size / least)) AS fits FROM merged JOIN facts USING (template) GROUP BY ALL),
-units AS (SELECT merged.*, CASE WHEN fits THEN NULL ELSE diagonal END AS own FROM merged JOIN sized USING (r, template, grp)),
+units AS (
+  SELECT r, template, grp, diagonal, pos, place, NULL AS own FROM merged JOIN sized USING (r, template, grp) WHERE fits
+  UNION ALL SELECT m.r, m.template, m.grp, m.diagonal, m.pos, m.place, cut.diagonal FROM merged m JOIN sized USING (r, template, grp) JOIN facts USING (template)
+    JOIN (SELECT DISTINCT r, template, grp, diagonal FROM merged) cut ON cut.r = m.r AND cut.template = m.template AND cut.grp = m.grp
+      AND m.diagonal BETWEEN cut.diagonal AND cut.diagonal + CAST(ceil(size / least) AS BIGINT) - size
+  WHERE NOT fits
+),
 covered AS (SELECT r, template, grp, own, count(DISTINCT c) AS n FROM (SELECT r, template, grp, own, unnest(range(place, place + k)) AS c FROM units JOIN facts USING (template)) GROUP BY ALL),
 ends AS (SELECT r, template, grp, own, min(pos) AS first_at FROM units GROUP BY ALL),
-spans AS (
-  SELECT r, template, label, first_at, n / size AS share FROM covered
+verified AS (
+  SELECT r, template, label, grp, own, first_at, n / size AS share, CAST(ceil(size / least) AS BIGINT) - size AS slack FROM covered
   JOIN (SELECT r AS r2, template AS template2, grp AS grp2, own AS own2, first_at FROM ends) ON r = r2 AND template = template2 AND grp = grp2 AND own IS NOT DISTINCT FROM own2
   JOIN facts USING (template) WHERE n / size >= least
+), spans AS (
+  SELECT * FROM verified a WHERE own IS NULL OR NOT EXISTS (
+    SELECT 1 FROM verified b WHERE b.r = a.r AND b.template = a.template AND b.grp = a.grp AND b.own BETWEEN a.own - a.slack AND a.own + a.slack
+      AND (b.share > a.share OR (b.share = a.share AND b.own < a.own)))
 ), by_doc AS (
   SELECT r, count(*) FILTER (WHERE template < {len(licenses.PHRASES)}) AS n_base,
     min(first_at) FILTER (WHERE template < {len(licenses.PHRASES)}) AS first_word, max(first_at) FILTER (WHERE template < {len(licenses.PHRASES)}) AS last_word,

@@ -7,7 +7,7 @@ from spindrift.llm import licenses
 DOCS = [
     (1, "All rights reserved. all rights. ALL RIGHTS RESERVED"), (2, None), (3, ""), (4, "Licensed under CC BY-NC 4.0."), (4, "Licensed under CC BY-NC 4.0."), (5, "x GNU General Public License, version 3"),
     (6, "Licensed under the brand new Apache License, Version 2.0 yes"), (7, "rights reserved all"), (8, "cc by cc by cc"), (9, "Released under a license " * 2000), (10, "Licensed Apache Version"),
-    (11, "Released under the MIT License, MIT License, MIT License"), (12, "Licensed under the Apache License, Version 2.0, 2.0, 2.0"),
+    (11, "Released under the MIT License, MIT License, MIT License"), (13, "released under the new MIT license"), (14, "released under the new MIT license MIT license"), (12, "Licensed under the Apache License, Version 2.0, 2.0, 2.0"),
 ]
 
 
@@ -28,7 +28,7 @@ def test_notices_survive_words_put_in(spark):
     df = spark.createDataFrame(DOCS, "doc_id long, text string")
     labels = {r.doc_id: sorted({s.label for s in r.spans if s.template >= len(licenses.PHRASES)}) for r in licenses.scan(df, keep=["doc_id"]).collect()}
     assert labels[6] == ["apache-2.0"] and labels[4] == ["cc-by-nc"] and labels[10] == labels[9] == labels[1] == []
-    assert labels[11] == ["mit"] and labels[12] == ["apache-2.0"]
+    assert labels[11] == labels[13] == labels[14] == ["mit"] and labels[12] == ["apache-2.0"]
 
 
 def test_every_column_stays_and_one_hot_text_is_found_whole(spark):
