@@ -116,7 +116,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id", ve
     whose id is the query's is its own row and no candidate; other rows may repeat ids and vectors, and each
     counts. Equal rows of ``queries`` are one query. Rows with a null id or vector, or a null, NaN or infinite component, take no
     part; a shorter vector is filled up with zeros. A query without candidates has no rows. Scores beyond 64 bits
-    raise an error. ``queries`` has the columns of ``df``; blocks of queries are passes over ``df``.
+    raise an error. ``queries`` has the columns of ``df``; blocks of queries are passes over ``df``, each
+    written out before the next is sent.
     """
     spark = df.sparkSession
     candidates, asked = vectors(df, id, vector, scale), checkpointed(vectors(queries, id, vector, scale).distinct())
@@ -148,6 +149,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id", ve
             by = Window.partitionBy("query").orderBy(F.desc("bin"))
             summed = _histogram(candidates, sent, k).withColumn("above", F.sum("n").over(by))
             found = summed.where((F.col("above") >= k) & (F.col("above") - F.col("n") < k)).collect()  # a row a query
+            sent.unpersist()
             wide = 0
             for r in found:
                 if r.bin < BINS:
@@ -159,10 +161,12 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id", ve
             if not wide:
                 break
         names = spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "number int, query_id long")
-        best = _best(candidates, spark.sparkContext.broadcast((ids, q, low, step)), k)
+        sent = spark.sparkContext.broadcast((ids, q, low, step))
+        best = _best(candidates, sent, k)
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
         top = best.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(names), F.col("query") == F.col("number"))
-        parts.append(top.select("query_id", "rank", F.col("id").alias(id), "score"))
+        parts.append(checkpointed(top.select("query_id", "rank", F.col("id").alias(id), "score")))
+        sent.unpersist()  # a block's queries live until its rows are written
     if not parts:
         return spark.createDataFrame([], f"query_id long, rank int, `{id}` long, score long")
     whole = parts[0]
