@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_texts
-from .sample import fold, sampled
+from .sample import fold, sampled, within
 
 GRAMS = (2, 3, 4)
 #: Rows learned of each language, and characters of the longest: the bounds of the sample.
@@ -170,10 +170,10 @@ def learn(rows: pd.DataFrame) -> Filters:
 
 def train(documents: DataFrame, folds: int = 5, held: int = 0, per_language: int = PER_LANGUAGE, longest: int = LONGEST, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
     """Filters learned from a bounded sample of the rows outside the held-out fold: about ``per_language`` rows of
-    each language, of at most ``longest`` characters. Rows with a null text, id or language teach nothing."""
+    each language, of at most ``longest`` characters, and of about ``sample.CHARS`` in all. Rows with a null text, id or language teach nothing."""
     rows = documents.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("label"))
     rows = rows.where((fold("id", folds) != held) & (F.length("text") <= longest))
-    chosen = sampled(rows, "id", "label", per_language).toPandas()
+    chosen = within(sampled(rows, "id", "label", per_language)).toPandas()
     return learn(chosen.sort_values(["id", "label", "text"], kind="stable"))
 
 

@@ -53,10 +53,16 @@ class Ranker:
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, cut: float = 0.0, slope: float = 1.0):
         self.mean, self.scale, self.weights, self.cut, self.slope = mean, scale, weights, cut, slope
 
+    @property
+    def learned(self) -> bool:
+        return bool(self.weights.any())
+
     def strengths(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights
 
     def scores(self, texts: list[str | None]) -> list[float]:
+        if not self.learned:
+            return [CUT] * len(texts)
         x = np.array([features(t) for t in texts]).reshape(-1, len(NAMES))
         z = self.slope * (self.strengths(x) - self.cut) + np.log(CUT / (1 - CUT))
         return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
@@ -66,7 +72,8 @@ def fit(rows: pd.DataFrame, seed: int = 8) -> Ranker:
     """A ranker from rows (text, label); label 1 is preferred to 0.
 
     Newton steps on the ridge-penalised logistic loss of PAIRS random pairs. The cut is the quantile of the
-    sample's strengths that divides the labels best (the mean of the shares of each label on its side).
+    sample's strengths that divides the labels best (the mean of the shares of each label on its side). Without rows of
+    both labels there is nothing to prefer, and every text has the score CUT itself: none is rejected.
     """
     x, y = np.array([features(t) for t in rows.text]).reshape(-1, len(NAMES)), rows.label.to_numpy()
     mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(len(NAMES)), np.ones(len(NAMES)))

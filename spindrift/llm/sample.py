@@ -14,6 +14,8 @@ _BUCKETS = 1 << 20
 LABELS = 256
 #: Labels up to which their shares are broadcast.
 SENT = 100_000
+#: Characters of a sample's texts that come to the driver (about).
+CHARS = 60_000_000
 
 
 def fold(id: str, folds: int) -> Column:
@@ -42,16 +44,28 @@ def sampled(labelled: DataFrame, id: str, label: str, per_label: int | dict, lab
     return chosen.drop("_label", "_share")
 
 
+def within(rows: DataFrame, chars: int | None = None) -> DataFrame:
+    """The sampled rows (id, text, label), written out; if their texts have more than ``chars`` (CHARS) characters, those
+    of a part of the ids, chosen by another hash, that has about as many."""
+    chars = CHARS if chars is None else chars
+    held = checkpointed(rows)
+    total = held.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    if total <= chars:
+        return held
+    return held.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(_BUCKETS)) < max(1, _BUCKETS * chars // total))
+
+
 def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, learns: Column, per_label: int | dict, longest: int, id: str = "doc_id", text: str = "text") -> pd.DataFrame:
     """(text, label) of a bounded sample, on the driver, in a fixed order.
 
     ``labels`` (id, label) may repeat an id, which then has its greatest label. About ``per_label`` rows of each
     label, of at most ``longest`` characters each, are taken: the bounds of the sample's size. Only those rows of
-    the documents come to the driver; the sampled ids are broadcast, at most twice as many as are asked for.
+    the documents come to the driver; the sampled ids are broadcast, at most twice as many as are asked for. If their
+    texts have more than CHARS characters, a part of the rows of each label that has about as many is taken.
     """
     own = labels.where(learns).groupBy(id).agg(F.max(label).alias("label"))
     chosen = sampled(own, id, "label", per_label).select(F.col(id).alias("chosen"), "label")
     most = 2 * (sum(per_label.values()) if isinstance(per_label, dict) else LABELS * per_label)
     rows = documents.select(F.col(id).alias("id"), F.col(text).alias("text")).where(F.length("text") <= longest)
-    found = rows.join(F.broadcast(chosen.limit(most)), F.col("id") == F.col("chosen")).select("id", "text", "label").toPandas()
+    found = within(rows.join(F.broadcast(chosen.limit(most)), F.col("id") == F.col("chosen")).select("id", "text", "label")).toPandas()
     return found.sort_values(["id", "text"], kind="stable").reset_index(drop=True)[["text", "label"]]

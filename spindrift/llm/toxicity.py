@@ -66,6 +66,7 @@ def windows_of(n: int, base: int = 0) -> np.ndarray:
 
 class Network:
     def __init__(self, seed: int = 7):
+        self.learned = False
         rng = np.random.default_rng(seed)
         d, h = 2 * WIDTH, HIDDEN
         draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
@@ -166,6 +167,7 @@ def fit(rows: pd.DataFrame, seed: int = 7) -> Network:
     A label says that some window of the text is toxic, not which. The first epochs take random windows of each
     text; from then on a toxic text is represented by its windows of highest score, and others by random windows
     and their highest. Each text weighs the same. A small sample takes more epochs, to make up LEAST_STEPS steps.
+    Without rows of both labels there is nothing to tell toxic texts by, and every text has the score 0.
     """
     rng, net = np.random.default_rng(seed), Network(seed)
     ids: dict[bytes, int] = {}
@@ -176,6 +178,7 @@ def fit(rows: pd.DataFrame, seed: int = 7) -> Network:
             known.append(int(y))
     if len(set(known)) < 2:
         return net
+    net.learned = True
     codes = Codes.of(list(ids))
     every = [np.where(win >= 0, c[np.maximum(win, 0)], -1) for c in coded for win in [windows_of(len(c))]]
     label = np.array(known, np.float32)
@@ -244,6 +247,8 @@ class Scorer:
 
     def scores(self, texts: list[str | None]) -> list[float]:
         out = np.zeros(len(texts))
+        if not self.net.learned:
+            return out.tolist()
         top = np.full(len(texts), -np.inf)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0

@@ -109,3 +109,29 @@ def test_scorer_survives_a_full_memo(monkeypatch):
 def test_every_row_is_judged(spark, name):
     got = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert got.count() == 200 and got.where((F.col("score") < 0) | (F.col("score") > 1) | F.col("score").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("labels", [[], [0, 0], [1, 1]])
+def test_labels_of_one_kind_teach_nothing(spark, labels):
+    sample = pd.DataFrame({"text": [f"some text {i}" for i in range(len(labels))], "label": labels})
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS label")
+    assert [r.score for r in quality.score(docs, quality.fit(sample)).collect()] == [quality.CUT] * 3
+    assert [r.score for r in toxicity.score(docs, toxicity.fit(sample)).collect()] == [0.0] * 3
+
+
+def test_clashing_columns_repeated_rows_and_no_rows(spark):
+    sample = pd.DataFrame({"text": ["good words here", "bad bad !!!"] * 20, "label": [1, 0] * 20})
+    docs = spark.createDataFrame([(1, "a b", 5), (1, "a b", 5), (2, None, 6)], "doc_id long, text string, score long")
+    for scored in (quality.score(docs, quality.fit(sample)), toxicity.score(docs, toxicity.fit(sample))):
+        rows = scored.orderBy("doc_id").collect()
+        assert len(rows) == 3 and rows[0] == rows[1] and scored.columns == ["doc_id", "text", "score"]
+        assert all(0 <= r.score <= 1 for r in rows) and scored.limit(0).count() == 0
+
+
+def test_samples_are_bounded_in_characters(spark):
+    from spindrift.llm.sample import within
+
+    rows = spark.range(400).selectExpr("id", "repeat('x', 100) AS text", "id % 2 AS label")
+    assert within(rows, 40_000).count() == 400
+    kept = within(rows, 20_000)
+    assert 120 <= kept.count() <= 280 and kept.select("label").distinct().count() == 2
