@@ -5,16 +5,18 @@ Jaccard similarity reaches ``share``, and the join gives the components of all l
 
 All tokens have one global order, from rare to common by the cells of a counting sketch; of two similar sets, the
 first n - ceil(share * n) + 1 tokens of each, its prefix, have one in common. So only prefixes travel, packed by task,
-and only sets with a token that another set's prefix has go on; these are read whole, once.
-
-Similar sets are first put into groups: each links, after an exact check, to the leaders of its group candidates (sets
-with the same least token under a seeded permutation, or what the caller adds), and the components are the groups.
-The matrix then stores, for each group, the union of its members' tokens: the prefix tokens as rows (token, group)
-with the least and largest member, and all tokens as bits by cell. A set meets, as a query, the groups of other
-components in the rows of its own prefix. It has at most as many tokens in a group's union as it has tokens, less one
-for each of its cells that the group lacks; a group with a smaller bound than ``share`` of the set, or without a
-member of similar size, holds no partner, and stays closed. Of the groups that are opened, the members are checked
-exactly, the nearest ones first; once a link joins the two components, the other members need no check.
+and only sets whose prefix has a token of another set of similar size go on. With each set goes a row of bits by cell
+of its tokens; two sets differ in as many tokens at least as these rows differ in places, which decides most pairs.
+
+Similar sets are first put into groups: sets with the same least token under a seeded permutation (or what the caller
+adds) are tied to the most ordinary of them, if the bits allow a similarity a quarter lower. The matrix then stores,
+for each group, the union of its members' tokens: the prefix tokens as rows (token, group) with the least and the
+largest member, and all tokens as bits by cell. A set meets, as a query, its own group, and the groups in the rows of
+its own prefix. It has at most as many tokens in a group's union as it has tokens, less one for each of its cells that
+the group lacks; a group with a smaller bound than ``share`` of the set, or without a member of similar size, holds no
+partner and stays closed. In groups that are opened, the bits are compared with members of other components, and
+what they leave is checked exactly on whole sets, the nearest pairs first; once a link joins two components, their
+other pairs need no check.
 """
 
 from __future__ import annotations
@@ -45,8 +47,10 @@ WORDS = 16
 HELD, PARTS, PART_TOKENS = 1 << 20, 256, 1 << 18
 #: Words whose hashes a worker remembers.
 KNOWN = 1 << 17
-#: Members of an opened group that a set meets in the first round.
+#: Members of opened groups that a set meets in the first round.
 NEAREST = 4
+#: Share of ``share`` that ties a set to the leader of its group.
+LOOSE = Fraction(3, 4)
 
 _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _FLAG = np.uint32(1 << 31)
@@ -179,15 +183,18 @@ def _packed(tokens: np.ndarray, owner: np.ndarray, base: int, parts: int):
     return rows, tokens[own].view(np.int64), base + owner[own].astype(np.int64)
 
 
-def prefixes(df: DataFrame, text: str, width: int, share: Fraction, rank: np.ndarray, parts: int) -> DataFrame:
-    """Rows (u, key, n) for each set, numbered, once in a task; packed prefix tokens (p, u, hs, ss), u the task's first
-    number; and (h, u) for tokens that several sets of a task have."""
+def prefixes(df: DataFrame, text: str, width: int, share: Fraction, rank: np.ndarray, parts: int, fingerprints: bool = False) -> DataFrame:
+    """Rows (u, key, n, bits, odd, first, second, rank, fp) for each set, numbered, once in a task: ``first`` and
+    ``second`` are the least tokens under two permutations, ``rank`` the mean rank of the tokens' cells, fp the
+    fingerprint, if asked for. Packed prefix tokens (p, u, hs, ss), u the task's first number; and (h, u) for tokens
+    that several sets of a task have."""
     sent = df.sparkSession.sparkContext.broadcast(rank)
-    names = ["u", "key", "n", "p", "hs", "ss", "h"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+    longs = pa.list_(pa.int64())
+    schema = {"u": pa.int64(), "key": pa.binary(), "n": pa.int64(), "bits": longs, "odd": longs, "first": pa.int64(), "second": pa.int64(), "rank": pa.float64(), "fp": pa.int64(), "p": pa.int64(), "hs": pa.binary(), "ss": pa.binary(), "h": pa.int64()}
+    own_names = list(schema)[:9]
 
     def made(rows, **given):
-        return pa.RecordBatch.from_arrays([pa.array(given[c], k) if c in given else pa.nulls(rows, k) for c, k in zip(names, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(given[c], k) if c in given else pa.nulls(rows, k) for c, k in schema.items()], names=list(schema))
 
     def run(batches):
         task = TaskContext.get()
@@ -215,21 +222,21 @@ def prefixes(df: DataFrame, text: str, width: int, share: Fraction, rank: np.nda
                     if len(seen) >= HELD:
                         seen.clear()
                     seen[key] = None
-                    k = prefix_size(len(own), share)
-                    held.append(own[np.lexsort((own, level[(own % np.uint64(CELLS)).astype(np.int64)]))[:k]])
+                    k, levels = prefix_size(len(own), share), level[(own % np.uint64(CELLS)).astype(np.int64)]
+                    held.append(own[np.lexsort((own, levels))[:k]])
                     owners.append(np.full(k, count, np.int64))
-                    rows.append((base + count, key, len(own)))
+                    least = [int(mixed(own, seed).min().view(np.int64)) for seed in (1, 2)]
+                    rows.append((base + count, key, len(own), *cell_bits(own), *least, float(levels.mean()), int(majority(own).view(np.int64)) if fingerprints else None))
                     count, size = count + 1, size + k
                 if rows:
-                    u, key, n = zip(*rows, strict=True)
-                    yield made(len(rows), u=u, key=key, n=n)
+                    yield made(len(rows), **dict(zip(own_names, zip(*rows, strict=True), strict=True)))
                 if size >= HELD:
                     yield from flushed()
                     size = 0
         if held:
             yield from flushed()
 
-    return df.select(F.col(text)).mapInArrow(run, "u long, key binary, n long, p long, hs binary, ss binary, h long")
+    return df.select(F.col(text)).mapInArrow(run, "u long, key binary, n long, bits array<long>, odd array<long>, first long, second long, rank double, fp long, p long, hs binary, ss binary, h long")
 
 
 def met(made: DataFrame) -> DataFrame:
@@ -267,127 +274,144 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT else df
 
 
-def read_whole(keys: DataFrame, marked: DataFrame, df: DataFrame, id: str, text: str, width: int, unique: bool) -> DataFrame:
-    """(key, own, n, bits, odd, first, second, fp): the whole sets of the keys, from one text for each. ``first`` and
-    ``second`` are the least tokens under two permutations, fp the fingerprint."""
-    of = checkpointed(marked.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("of")).select(F.col("key").alias("_key"), F.col("of.id").alias("_id")))
-    texts = df.select(F.col(id).alias("id"), F.col(text).alias("text")).join(_small(of), F.col("id").eqNullSafe(F.col("_id"))).select("_key", "text")
-    names = ["key", "own", "n", "bits", "odd", "first", "second", "fp"]
+def paired(tokens: DataFrame, share: Fraction) -> DataFrame:
+    """The rows (h, u, n) of which another one with the same token may be similar by size.
+
+    Such sizes fall in the same class or in neighbouring ones, so each row is filed under its class and the next."""
+    log = F.floor(F.log(F.col("n").cast("double")) / (-math.log(float(share)) * (1 + 1e-9))) if share < 1 else F.col("n")
+    filed = tokens.withColumn("class", F.explode(F.array(log, log + 1)))
+    several = filed.groupBy("h", "class").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("h", "class")
+    return filed.join(several, ["h", "class"], "left_semi").select("h", "u", "n").distinct()
+
+
+def read_whole(ends: DataFrame, names: DataFrame, rows: DataFrame, df: DataFrame, id: str, text: str, width: int, unique: bool) -> DataFrame:
+    """(u, own): the whole sets of the numbers ``ends`` (u), each from one text; ``names`` has their keys, ``rows`` those of all ids."""
+    keys = names.join(ends, "u", "left_semi").select("key", F.col("u").alias("_u"))
+    least = rows.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("of"))
+    of = checkpointed(least.join(keys, "key").select(F.col("key").alias("_key"), "_u", F.col("of.id").alias("_id")))
+    texts = df.select(F.col(id).alias("id"), F.col(text).alias("text")).join(_small(of), F.col("id").eqNullSafe(F.col("_id"))).select("_u", "_key", "text")
 
     def run(batches):
         known = _Hashes()
         for batch in batches:
-            for at, n, own in _texts(batch, 1):
-                keys = batch.column(0).slice(at, n).to_pylist()
-                rows = [(k, x) for k, x in zip(keys, sets_of(own, width, known), strict=True) if set_key(x) == k]  # ids may repeat
-                if rows:
-                    signed = lambda x: int(x.view(np.int64))
-                    both = [cell_bits(x) for _, x in rows]
-                    columns = [
-                        pa.array([k for k, _ in rows], pa.binary()), pa.array([x.view(np.int64) for _, x in rows], pa.list_(pa.int64())), pa.array([len(x) for _, x in rows], pa.int64()),
-                        pa.array([b for b, _ in both], pa.list_(pa.int64())), pa.array([o for _, o in both], pa.list_(pa.int64())),
-                        *[pa.array([signed(mixed(x, seed).min()) for _, x in rows], pa.int64()) for seed in (1, 2)], pa.array([signed(majority(x)) for _, x in rows], pa.int64()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+            for at, n, own in _texts(batch, 2):
+                keys, us = batch.column(1).slice(at, n).to_pylist(), batch.column(0).slice(at, n).to_pylist()
+                found = [(u, x.view(np.int64)) for u, k, x in zip(us, keys, sets_of(own, width, known), strict=True) if set_key(x) == k]  # ids may repeat
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["u", "own"])
 
-    own = texts.mapInArrow(run, "key binary, own array<long>, n long, bits array<long>, odd array<long>, first long, second long, fp long")
-    return checkpointed(own if unique else own.dropDuplicates(["key"]))
+    own = texts.mapInArrow(run, "u long, own array<long>")
+    return checkpointed(own if unique else own.dropDuplicates(["u"]))
 
 
-def _differ(x: Column, y: Column) -> Column:
+def _differ(x: str, y: str) -> Column:
     """Places where two rows of bits differ."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(WORDS)), F.lit(0))
 
 
-def _outside(x: Column, y: Column) -> Column:
+def _outside(x: str, y: str) -> Column:
     """Bits of one row that another lacks."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, n: s + n)
+    return sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(WORDS)), F.lit(0))
+
+
+def _sizes(share: Fraction) -> Column:
+    """Whether sets of n and m tokens may be similar."""
+    return F.least("n", "m") * share.denominator >= F.greatest("n", "m") * share.numerator
 
 
-def _sizes(n: Column, m: Column, share: Fraction) -> Column:
-    return F.least(n, m) * share.denominator >= F.greatest(n, m) * share.numerator
+def _near(share: Fraction) -> Column:
+    """Whether sets of n and m tokens, the odd bits of which are x and y, may be similar."""
+    return _sizes(share) & (_differ("x", "y") * (share.denominator + share.numerator) <= (F.col("n") + F.col("m")) * (share.denominator - share.numerator))
 
 
-def _near(distance: Column, n: Column, m: Column, share: Fraction) -> Column:
-    """Whether sets of n and m tokens that differ in ``distance`` tokens at least may be similar."""
-    return distance * (share.denominator + share.numerator) <= (n + m) * (share.denominator - share.numerator)
+def to_leaders(sets: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) of each set and the leader, the most ordinary (the highest rank), of those with the same value in a
+    column."""
+    leaders = sets.groupBy(column).agg(F.max(F.struct("rank", "u")).alias("leader"), F.count("*").alias("sets")).where("sets > 1")
+    return sets.select(column, F.col("u").alias("a")).join(leaders.select(column, F.col("leader.u").alias("b")), column).where("a <> b").select("a", "b")
 
 
-def similar(pairs: DataFrame, own: DataFrame, share: Fraction) -> DataFrame:
-    """The distinct pairs of keys (a, b) whose whole sets are similar. The bits decide first; then each set of ``a`` goes to its b."""
-    short = own.select("key", "n", "odd")
-    left, right = short.toDF("a", "n", "x"), short.toDF("b", "m", "y")
-    good = pairs.where("a <> b").distinct().join(left, "a").join(right, "b").where(_sizes(F.col("n"), F.col("m"), share) & _near(_differ(F.col("x"), F.col("y")), F.col("n"), F.col("m"), share))
-    good = checkpointed(good.select("a", "b"))
-    ends = checkpointed(good.select("b").distinct())
-    sent = own.select(F.col("key").alias("a"), F.col("own").alias("x")).join(_small(good), "a")
-    kept = own.select(F.col("key").alias("b"), F.col("own").alias("y")).join(_small(ends), "b", "left_semi")
+def similar(pairs: DataFrame, whole: DataFrame, share: Fraction) -> DataFrame:
+    """The pairs (a, b) whose whole sets (u, own) are similar; each set of ``a`` goes to its b."""
+    ends = checkpointed(pairs.select("b").distinct())
+    sent = whole.select(F.col("u").alias("a"), F.col("own").alias("x")).join(_small(pairs), "a")
+    kept = whole.select(F.col("u").alias("b"), F.col("own").alias("y")).join(_small(ends), "b", "left_semi")
     common = F.size(F.array_intersect("x", "y"))
     either = F.size("x") + F.size("y") - common
     return checkpointed(sent.join(kept, "b").where(common * share.denominator >= either * share.numerator).select("a", "b"))
 
 
-def to_leaders(own: DataFrame, column: str) -> DataFrame:
-    """Pairs (a, b) of each set and the leader, the least key, of those with the same value in a column."""
-    leaders = own.groupBy(column).agg(F.min("key").alias("b"))
-    return own.select(column, F.col("key").alias("a")).join(leaders, column).where("a <> b").select("a", "b")
-
-
-def _grouped(own: DataFrame, found: DataFrame | None) -> DataFrame:
-    """``own`` without the sets, with their group: the component's least key, or the set's own."""
-    rows = own.select("key", "n", "bits", "odd")
+def _labelled(sets: DataFrame, found: DataFrame | None, name: str) -> DataFrame:
+    """``sets`` with the label of their component of ``found``, or their own number."""
     if found is None:
-        return rows.withColumn("g", F.col("key"))
-    return rows.join(_small(found.select(F.col("node").alias("key"), "label")), "key", "left").select("key", "n", "bits", "odd", F.coalesce("label", "key").alias("g"))
+        return sets.withColumn(name, F.col("u"))
+    return sets.join(_small(found.select(F.col("node").alias("u"), F.col("label").alias(name))), "u", "left").withColumn(name, F.coalesce(name, "u"))
 
 
 def opened(tokens: DataFrame, members: DataFrame, share: Fraction) -> DataFrame:
-    """(a, b, far): sets and the members of the groups that they open, from near to far.
-
-    ``tokens`` has the prefix tokens (h, key), ``members`` the sets (key, n, bits, odd, g). Of two groups, the sets of
-    the smaller one ask (of equal ones, those of the lesser key)."""
-    of = checkpointed(tokens.join(members.select("key", "n", "g"), "key"))
+    """(a, b, nth): sets and the members of other components that they meet in opened groups, from near to far.
+
+    ``tokens`` has the prefix tokens (h, u), ``members`` the sets (u, n, bits, odd, g, l) with group and component."""
+    bits = F.array(*[f"w{i}" for i in range(WORDS)])
+    groups = members.groupBy("g").agg(F.count("*").alias("size"), F.min("l").alias("one"), F.max("l").alias("other"), *[F.bit_or(F.col("bits")[i]).alias(f"w{i}") for i in range(WORDS)])
+    groups = checkpointed(groups.select("g", "size", (F.col("one") != F.col("other")).alias("mixed"), bits.alias("union")))
+    size = checkpointed(members.groupBy("g", "l").agg(F.count("*").alias("have")))
+    most = size.groupBy("g").agg(F.max(F.struct("have", "l")).alias("most")).select("g", F.col("most.l").alias("most"))
+    right = members.select(F.col("u").alias("b"), F.col("n").alias("m"), F.col("odd").alias("y"), F.col("l").alias("r"), "g")
+    # within the own group: sets outside its largest component ask, of two others the one with the lesser label
+    open_groups = groups.where("mixed").select("g")
+    asks = members.join(open_groups, "g", "left_semi").join(most, "g").where("l <> most").select(F.col("u").alias("a"), "n", F.col("odd").alias("x"), "l", "most", F.col("g").alias("_g"))
+    inside = asks.join(right.join(open_groups, "g", "left_semi"), (F.col("_g") == F.col("g")) & ((F.col("r") == F.col("most")) | (F.col("l") < F.col("r"))) & (F.col("l") != F.col("r")) & _near(share))
+    # other groups: by the matrix, the sets of the smaller group ask
+    of = tokens.join(members.select("u", "n", "g"), "u")
     matrix = of.groupBy("h", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = checkpointed(matrix.groupBy("h").agg(F.count("*").alias("groups")).where("groups > 1").select("h"))
-    size = members.groupBy("g").agg(F.count("*").alias("size"), *[F.bit_or(F.col("bits")[i]).alias(f"w{i}") for i in range(WORDS)])
-    groups = checkpointed(size.select("g", "size", F.array(*[f"w{i}" for i in range(WORDS)]).alias("union")))
+    several = _small(checkpointed(matrix.groupBy("h").agg(F.count("*").alias("groups")).where("groups > 1").select("h")))
     sizes = _small(groups.select("g", "size"))
-    sent = _small(several)
-    asks = of.join(sent, "h", "left_semi").join(sizes, "g").select("h", "key", "n", F.col("g").alias("mine"), F.col("size").alias("my_size"))
-    rows = matrix.join(sent, "h", "left_semi").join(sizes, "g")
+    asking = of.join(several, "h", "left_semi").join(sizes, "g").select("h", "u", "n", F.col("g").alias("mine"), F.col("size").alias("my_size"))
+    rows = matrix.join(several, "h", "left_semi").join(sizes, "g")
     fits = (F.col("low") * share.numerator <= F.col("n") * share.denominator) & (F.col("high") * share.denominator >= F.col("n") * share.numerator)
-    asked = (F.col("g") != F.col("mine")) & (F.struct("my_size", "mine") < F.struct("size", "g"))
-    candidates = asks.join(rows, "h").where(asked & fits).select("key", "g").distinct()
-    # the bound: tokens of the set less its cells that the union lacks
-    bounded = candidates.join(members.select("key", "n", "bits", "odd"), "key").join(groups.select("g", "union"), "g")
-    open_ = bounded.where((F.col("n") - _outside(F.col("bits"), F.col("union"))) * share.denominator >= F.col("n") * share.numerator)
-    inside = members.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("odd").alias("other"), "g")
-    far = _differ(F.col("odd"), F.col("other"))
-    pairs = open_.join(inside, "g").withColumn("far", far).where(_sizes(F.col("n"), F.col("m"), share) & _near(F.col("far"), F.col("n"), F.col("m"), share))
-    nearest = F.row_number().over(Window.partitionBy("a", "g").orderBy("far", "b"))
-    return checkpointed(pairs.select(F.col("key").alias("a"), "b", "g", "far").withColumn("nth", nearest).select("a", "b", "nth"))
-
-
-def linked(tokens: DataFrame, own: DataFrame, share: Fraction, first: list[Callable[[DataFrame], DataFrame]]) -> DataFrame | None:
-    """(node, label) of the keys that are similar to another, label being the least key of the component; None if
-    there are none. ``first`` propose pairs for the groups."""
-    links: DataFrame | None = None
-    found: DataFrame | None = None
+    smaller = (F.col("g") != F.col("mine")) & (F.struct("my_size", "mine") < F.struct("size", "g"))
+    asked = asking.join(rows, "h").where(smaller & fits).select("u", "g").distinct()
+    bounded = asked.join(members.select("u", "n", "bits", F.col("odd").alias("x"), "l"), "u").join(groups.select(F.col("g").alias("_g"), "union"), F.col("g") == F.col("_g"))
+    open_ = bounded.where((F.col("n") - _outside("bits", "union")) * share.denominator >= F.col("n") * share.numerator).select(F.col("u").alias("a"), "n", "x", "l", "_g")
+    across = open_.join(right, (F.col("_g") == F.col("g")) & (F.col("l") != F.col("r")) & _near(share))
+    take = lambda df: df.select("a", "b", _differ("x", "y").alias("far"))
+    nearest = F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))
+    return checkpointed(take(inside).unionAll(take(across)).withColumn("nth", nearest).select("a", "b", "nth"))
+
+
+def linked(tokens: DataFrame, sets: DataFrame, share: Fraction, first: list[Callable[[DataFrame], DataFrame]], read: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """(node, label) of the sets that are similar to another, label being the least number of the component; None if
+    there are none. ``first`` propose pairs for the groups; ``read`` gives whole sets."""
+    loose, short = share * LOOSE, sets.select("u", "n", "odd")
+    found = links = whole = groups = None
 
     def more(pairs: DataFrame) -> None:
-        nonlocal links, found
+        nonlocal links, found, whole
         if found is not None:  # pairs that are in one component need no check
             of = _small(found)
             ends = pairs.join(of.toDF("a", "l"), "a", "left").join(of.toDF("b", "r"), "b", "left")
-            pairs = ends.where(F.coalesce("l", "a") != F.coalesce("r", "b")).select("a", "b")
-        new = similar(pairs, own, share)
-        if not new.isEmpty():
-            links = new if links is None else links.unionAll(new)
-            found = checkpointed(components(links))
-
-    for propose in first:
-        more(propose(own))
-    pairs = opened(tokens, _grouped(own, found), share)
+            pairs = checkpointed(ends.where(F.coalesce("l", "a") != F.coalesce("r", "b")).select("a", "b"))
+        ends = pairs.select(F.col("a").alias("u")).unionAll(pairs.select("b")).distinct()
+        ends = checkpointed(ends if whole is None else ends.join(whole.select("u"), "u", "left_anti"))
+        if not ends.isEmpty():
+            new = read(ends)
+            whole = new if whole is None else whole.unionAll(new)
+        if whole is not None and not pairs.isEmpty():
+            new = similar(pairs, whole, share)
+            if not new.isEmpty():
+                links = new if links is None else links.unionAll(new)
+                found = checkpointed(components(links))
+
+    if first:
+        pairs = first[0](sets)
+        for propose in first[1:]:
+            pairs = pairs.unionAll(propose(sets))
+        left, right = short.toDF("a", "n", "x"), short.toDF("b", "m", "y")
+        ties = checkpointed(pairs.distinct().join(left, "a").join(right, "b").where(_near(loose)).select("a", "b", _near(share).alias("strict")))
+        groups = checkpointed(components(ties))
+        more(ties.where("strict").select("a", "b"))
+    members = checkpointed(_labelled(_labelled(sets.select("u", "n", "bits", "odd"), groups, "g"), found, "l"))
+    pairs = opened(tokens, members, share)
     for nth in (F.col("nth") <= NEAREST, F.col("nth") > NEAREST):
         rest = pairs.where(nth)
         if not rest.isEmpty():
@@ -395,7 +419,7 @@ def linked(tokens: DataFrame, own: DataFrame, share: Fraction, first: list[Calla
     return found
 
 
-def classes(df: DataFrame, id: str, text: str, width: int, share: float, first: list[Callable[[DataFrame], DataFrame]] | None = None) -> tuple[DataFrame, DataFrame | None, bool]:
+def classes(df: DataFrame, id: str, text: str, width: int, share: float, first: list[Callable[[DataFrame], DataFrame]] | None = None, fingerprints: bool = False) -> tuple[DataFrame, DataFrame | None, bool]:
     """The rows' sets (id, key, n), written out; the components of similar keys (node, label), None if there are none;
     and whether ids are unique and none null."""
     exact = Fraction(str(share))
@@ -404,19 +428,26 @@ def classes(df: DataFrame, id: str, text: str, width: int, share: float, first:
     unique = rows.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).isEmpty()
     size = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * exact.numerator / exact.denominator) + 1)).first()[0] or 0
     rank = ranks(made.where("part IS NOT NULL").select("part", "cells"))
-    packed = checkpointed(prefixes(df, text, width, exact, rank, max(PARTS, int(size) // PART_TOKENS)))
-    names = packed.where("key IS NOT NULL").select("u", "key")
-    tokens = met(packed).join(names, "u").select("h", "key").distinct()
-    several = tokens.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("h")
-    tokens = checkpointed(tokens)
-    tokens = checkpointed(tokens.join(several, "h", "left_semi"))
-    keys = checkpointed(tokens.select("key").distinct())
-    if keys.isEmpty():
+    packed = checkpointed(prefixes(df, text, width, exact, rank, max(PARTS, int(size) // PART_TOKENS), fingerprints))
+    sets = packed.where("key IS NOT NULL").drop("p", "hs", "ss", "h")
+    # a set that several tasks have goes by its least number
+    again = sets.groupBy("key").agg(F.min("u").alias("least"), F.count("*").alias("times")).where("times > 1").select(F.col("key").alias("_key"), "least")
+    other = checkpointed(sets.join(again, F.col("key") == F.col("_key")).where("u <> least").select(F.col("u").alias("_u"), "least"))
+    of = met(packed).join(_small(other), F.col("u") == F.col("_u"), "left").select("h", F.coalesce("least", "u").alias("u"))
+    tokens = checkpointed(paired(of.join(sets.select("u", "n"), "u"), exact).select("h", "u"))
+    used = checkpointed(tokens.select("u").distinct())
+    if used.isEmpty():
         return rows, None, unique
-    own = read_whole(keys, rows, df, id, text, width, unique)
+    few = checkpointed(sets.join(_small(used), "u", "left_semi"))
+    names = few.select("u", "key")
+    read = lambda ends: read_whole(ends, names, rows, df, id, text, width, unique)
     if first is None:
-        first = [lambda own: to_leaders(own, "first"), lambda own: to_leaders(own, "second")]
-    return rows, linked(tokens, own, exact, first), unique
+        first = [lambda sets: to_leaders(sets, "first"), lambda sets: to_leaders(sets, "second")]
+    found = linked(tokens, few, exact, first, read)
+    if found is None:
+        return rows, None, unique
+    named = found.join(_small(names), F.col("node") == F.col("u")).select(F.col("key").alias("node"), "label")
+    return rows, checkpointed(named), unique
 
 
 def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, share: float = 0.9) -> DataFrame:
@@ -432,7 +463,7 @@ def similar_documents(df: DataFrame, id: str = "doc_id", text: str = "text", wid
     none = F.col("n") == 0
     least = rows.where(~none).groupBy("key").agg(F.min("id").alias("least"))
     if found is not None:
-        least = least.join(found, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("label", "key").alias("label"))
+        least = least.join(found, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce(F.col("label").cast("string"), F.hex("key")).alias("label"))
         names = least.groupBy("label").agg(F.min("least").alias("component_id"))
         least = least.join(names, "label").select("key", "component_id")
     else:

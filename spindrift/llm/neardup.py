@@ -1,10 +1,9 @@
 """Near-dedup at a stated similarity: SimHash and BK-trees (operator 3) first, and an exact join for what they leave.
 
 Fingerprints of 64 bits can't decide a similarity of 0.8 alone: such sets differ in ten bits on average, a radius at
-which a BK-tree prunes next to nothing. So the BK-trees form the groups: sets whose fingerprints lie within the radius
-link after an exact check, and so do sets with the same least token. The token-group matrix of ``groupjoin`` then
-finds all further links, between groups and for sets that are in none; most sets are in one by then, and a set meets
-groups instead of all their members. The result is that of all pairs.
+which a BK-tree prunes next to nothing. So the BK-trees form the first groups: sets whose fingerprints lie within the radius
+are tied, and link after an exact check, and so are sets with the same least token. The token-group matrix of
+``groupjoin`` then finds all further links, in groups and between them. The result is that of all pairs.
 """
 
 from __future__ import annotations
@@ -18,9 +17,9 @@ from .simhash import links as fingerprint_links
 
 
 def fingerprint_pairs(own: DataFrame, radius: int) -> DataFrame:
-    """Pairs of keys (a, b) that span the components of fingerprints within ``radius`` bits: each key of a fingerprint
-    goes with its least one, and these go along the links that BK-trees find."""
-    least = checkpointed(own.groupBy("fp").agg(F.min("key").alias("least")))
+    """Pairs of sets (a, b) that span the components of fingerprints within ``radius`` bits: each set of a fingerprint
+    goes with its leader, and these go along the links that BK-trees find."""
+    least = checkpointed(own.groupBy("fp").agg(F.max(F.struct("rank", "u")).alias("leader")).select("fp", "leader.u"))
     found = fingerprint_links(least.select("fp"), radius)
     ends = found.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return to_leaders(own, "fp").unionAll(ends)
@@ -37,10 +36,10 @@ def deduplicated(df: DataFrame, id: str = "doc_id", text: str = "text", width: i
     columns = df.columns
     kept_id, kept_key, copy = unused(columns, "_kept", "_kept_key", "_copy")
     first = [lambda own: fingerprint_pairs(own, radius), lambda own: to_leaders(own, "first"), lambda own: to_leaders(own, "second")]
-    marked, found, unique = classes(df, id, text, width, share, first)
+    marked, found, unique = classes(df, id, text, width, share, first, fingerprints=True)
     least = marked.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
     if found is not None:
-        least = least.join(found, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("first").alias("first"))
+        least = least.join(found, F.col("key") == F.col("node"), "left").groupBy(F.coalesce(F.col("label").cast("string"), F.hex("key")).alias("label")).agg(F.min("first").alias("first"))
     kept = checkpointed(least.select(F.col("first.id").alias(kept_id), F.col("first.key").alias(kept_key)))
     if unique:
         copies = checkpointed(marked.join(kept, F.col("id") == F.col(kept_id), "left_anti").select(F.col("id").alias(copy)))

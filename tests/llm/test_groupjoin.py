@@ -66,10 +66,10 @@ def test_the_matrix_alone_finds_all_links(spark, monkeypatch):
     monkeypatch.setattr(groupjoin, "SENT", 0)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     marked, found, unique = groupjoin.classes(rows, "doc_id", "text", 3, 0.9, first=[])
-    label = {bytes(r.node): bytes(r.label) for r in found.collect()}
+    label = {bytes(r.node): r.label for r in found.collect()}
     want, least, got = brute(texts), {}, {}
     for r in marked.collect():
-        got[r.id] = label.get(bytes(r.key), bytes(r.key)) if r.n else r.id
+        got[r.id] = label.get(bytes(r.key), bytes(r.key)) if r.n else f'none {r.id}'
     for i, x in sorted(got.items()):
         least.setdefault(x, i)
     assert unique and {i: least[x] for i, x in got.items()} == {i: c for i, (_, c) in enumerate(want)}
