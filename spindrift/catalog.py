@@ -66,5 +66,5 @@ def register(name: str, build: Callable[[Inputs], DataFrame], sql: str | None =
         ORACLE_SQL[name] = oracle(sql)
 
 
-for _family in ("tables", "intervals", "sequences", "reads", "variants", "alignments", "statistics", "omics", "annotation", "kernels", "further", "trimming"):
+for _family in ("tables", "intervals", "sequences", "reads", "variants", "alignments", "statistics", "omics", "annotation", "kernels", "further", "trimming", "mapping"):
     importlib.import_module(f"spindrift.queries.{_family}")
