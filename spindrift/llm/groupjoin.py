@@ -43,8 +43,12 @@ CELLS, PART = 1 << 20, 1 << 16
 SENT = 500_000
 #: 64-bit words of a set's bits by cell.
 WORDS = 16
+#: Tokens from which a set has a second row of odd bits, and the 64-bit words of that.
+LARGE, WIDE = 1024, 128
 #: Prefix tokens that a task holds at once; parts by hash that they are packed in, at least, and tokens of a part (about).
 HELD, PARTS, PART_TOKENS = 1 << 20, 256, 1 << 18
+#: Sets of a task up to which a token's owners travel packed.
+MANY = 16
 #: Words whose hashes a worker remembers.
 KNOWN = 1 << 17
 #: Members of opened groups that a set meets in the first round.
@@ -110,6 +114,14 @@ def cell_bits(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pack(n > 0), pack(n & 1)
 
 
+def wide_bits(own: np.ndarray) -> np.ndarray | None:
+    """The odd bits by 64 * WIDE cells of a set of more than LARGE tokens, which would fill the others."""
+    if len(own) <= LARGE:
+        return None
+    odd = np.bincount((own >> np.uint64(32)).astype(np.int64) % (64 * WIDE), minlength=64 * WIDE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefix_size(n: int, share: Fraction) -> int:
     return n - math.ceil(share * n) + 1 if n else 0
 
@@ -166,32 +178,34 @@ def ranks(parts: DataFrame) -> np.ndarray:
     return ((np.cumsum(n) - n) * 65_535 // max(1, CELLS)).astype(np.uint16)[at]
 
 
-def _packed(tokens: np.ndarray, owner: np.ndarray, base: int, parts: int):
-    """Rows (p, base, hs, ss) and (h, u): one entry of each token for its part; where several sets of the task have
-    the token, that entry is flagged, and all the sets are rows of their own."""
+def _packed(tokens: np.ndarray, owner: np.ndarray, size: np.ndarray, base: int, parts: int):
+    """Rows (p, hs, ss, ns) and (h, u): tokens for their parts, with the owners' numbers in the task and set sizes; of a
+    token that more than MANY sets of the task have, one flagged entry, and all the sets as rows of their own."""
     order = np.lexsort((owner, tokens))
-    tokens, owner = tokens[order], owner[order]
-    first = np.r_[True, tokens[1:] != tokens[:-1]]
-    lead = np.flatnonzero(first)
-    many = np.diff(np.r_[lead, len(tokens)]) > 1
-    own = np.repeat(many, np.diff(np.r_[lead, len(tokens)]))
-    one, who = tokens[lead], owner[lead].astype(np.uint32) | np.where(many, _FLAG, np.uint32(0))
+    tokens, owner, size = tokens[order], owner[order], size[order]
+    lead = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    times = np.diff(np.r_[lead, len(tokens)])
+    hot = np.repeat(times > MANY, times)
+    kept = ~hot
+    kept[lead] = True
+    flag = np.where(hot[kept], _FLAG, np.uint32(0))
+    one, who, n = tokens[kept], owner[kept].astype(np.uint32) | flag, size[kept].astype(np.uint32)
     part = (one >> np.uint64(33)).astype(np.int64) % parts
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
-    rows = [(p, one[order[a:b]].astype("<u8").tobytes(), who[order[a:b]].astype("<u4").tobytes()) for p, (a, b) in enumerate(itertools.pairwise(edges.tolist())) if b > a]
-    return rows, tokens[own].view(np.int64), base + owner[own].astype(np.int64)
+    rows = [(p, one[order[a:b]].astype("<u8").tobytes(), who[order[a:b]].astype("<u4").tobytes(), n[order[a:b]].astype("<u4").tobytes()) for p, (a, b) in enumerate(itertools.pairwise(edges.tolist())) if b > a]
+    return rows, tokens[hot].view(np.int64), base + owner[hot].astype(np.int64)
 
 
 def prefixes(df: DataFrame, text: str, width: int, share: Fraction, rank: np.ndarray, parts: int, fingerprints: bool = False) -> DataFrame:
-    """Rows (u, key, n, bits, odd, first, second, rank, fp) for each set, numbered, once in a task: ``first`` and
+    """Rows (u, key, n, bits, odd, wide, first, second, rank, fp) for each set, numbered, once in a task: ``first`` and
     ``second`` are the least tokens under two permutations, ``rank`` the mean rank of the tokens' cells, fp the
-    fingerprint, if asked for. Packed prefix tokens (p, u, hs, ss), u the task's first number; and (h, u) for tokens
-    that several sets of a task have."""
+    fingerprint, if asked for. Packed prefix tokens (p, u, hs, ss, ns), u the task's first number; and (h, u) for tokens
+    that many sets of a task have."""
     sent = df.sparkSession.sparkContext.broadcast(rank)
     longs = pa.list_(pa.int64())
-    schema = {"u": pa.int64(), "key": pa.binary(), "n": pa.int64(), "bits": longs, "odd": longs, "first": pa.int64(), "second": pa.int64(), "rank": pa.float64(), "fp": pa.int64(), "p": pa.int64(), "hs": pa.binary(), "ss": pa.binary(), "h": pa.int64()}
-    own_names = list(schema)[:9]
+    schema = {"u": pa.int64(), "key": pa.binary(), "n": pa.int64(), "bits": longs, "odd": longs, "wide": longs, "first": pa.int64(), "second": pa.int64(), "rank": pa.float64(), "fp": pa.int64(), "p": pa.int64(), "hs": pa.binary(), "ss": pa.binary(), "ns": pa.binary(), "h": pa.int64()}
+    own_names = list(schema)[:10]
 
     def made(rows, **given):
         return pa.RecordBatch.from_arrays([pa.array(given[c], k) if c in given else pa.nulls(rows, k) for c, k in schema.items()], names=list(schema))
@@ -202,13 +216,16 @@ def prefixes(df: DataFrame, text: str, width: int, share: Fraction, rank: np.nda
         base, count, size = (task.partitionId() if task else 0) << 31, 0, 0
         held: list[np.ndarray] = []
         owners: list[np.ndarray] = []
+        widths: list[int] = []
 
         def flushed():
-            rows, h, u = _packed(np.concatenate(held), np.concatenate(owners), base, parts)
+            sizes = np.concatenate([np.full(len(x), n) for x, n in zip(held, widths, strict=True)])
+            rows, h, u = _packed(np.concatenate(held), np.concatenate(owners), sizes, base, parts)
+            widths.clear()
             held.clear(), owners.clear()
             for at in range(0, len(rows), 64):
                 own = rows[at : at + 64]
-                yield made(len(own), u=[base] * len(own), p=[r[0] for r in own], hs=[r[1] for r in own], ss=[r[2] for r in own])
+                yield made(len(own), u=[base] * len(own), p=[r[0] for r in own], hs=[r[1] for r in own], ss=[r[2] for r in own], ns=[r[3] for r in own])
             if len(h):
                 yield made(len(h), u=u, h=h)
 
@@ -225,8 +242,9 @@ def prefixes(df: DataFrame, text: str, width: int, share: Fraction, rank: np.nda
                     k, levels = prefix_size(len(own), share), level[(own % np.uint64(CELLS)).astype(np.int64)]
                     held.append(own[np.lexsort((own, levels))[:k]])
                     owners.append(np.full(k, count, np.int64))
+                    widths.append(len(own))
                     least = [int(mixed(own, seed).min().view(np.int64)) for seed in (1, 2)]
-                    rows.append((base + count, key, len(own), *cell_bits(own), *least, float(levels.mean()), int(majority(own).view(np.int64)) if fingerprints else None))
+                    rows.append((base + count, key, len(own), *cell_bits(own), wide_bits(own), *least, float(levels.mean()), int(majority(own).view(np.int64)) if fingerprints else None))
                     count, size = count + 1, size + k
                 if rows:
                     yield made(len(rows), **dict(zip(own_names, zip(*rows, strict=True), strict=True)))
@@ -236,36 +254,41 @@ def prefixes(df: DataFrame, text: str, width: int, share: Fraction, rank: np.nda
         if held:
             yield from flushed()
 
-    return df.select(F.col(text)).mapInArrow(run, "u long, key binary, n long, bits array<long>, odd array<long>, first long, second long, rank double, fp long, p long, hs binary, ss binary, h long")
+    return df.select(F.col(text)).mapInArrow(run, "u long, key binary, n long, bits array<long>, odd array<long>, wide array<long>, first long, second long, rank double, fp long, p long, hs binary, ss binary, ns binary, h long")
 
 
-def met(made: DataFrame) -> DataFrame:
-    """(h, u): the sets of each prefix token that more than one set has, of all tasks."""
+def met(made: DataFrame, share: Fraction) -> DataFrame:
+    """(h, u): the sets with each prefix token of which, over all tasks, another set of similar size has it, too (or
+    many sets have)."""
 
     def run(batches):
         part, held = None, []
         for batch in batches:
-            for p, base, hs, ss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if p != part:
                     if held:
                         yield from shared(held)
                     part, held = p, []
-                held.append((base, hs, ss))
+                held.append(row)
         if held:
             yield from shared(held)
 
     def shared(held):
-        h = np.concatenate([np.frombuffer(hs, "<u8") for _, hs, _ in held])
-        s = np.concatenate([np.frombuffer(ss, "<u4") for *_, ss in held])
-        base = np.repeat([b for b, *_ in held], [len(ss) // 4 for *_, ss in held])
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        own = order[np.r_[False, same] | np.r_[same, False]]
-        own = own[s[own] & _FLAG == 0]  # the rows of flagged ones are there
+        h = np.concatenate([np.frombuffer(hs, "<u8") for _, hs, _, _ in held])
+        s = np.concatenate([np.frombuffer(ss, "<u4") for _, _, ss, _ in held])
+        n = np.concatenate([np.frombuffer(ns, "<u4") for *_, ns in held]).astype(np.int64)
+        base = np.repeat([b for b, *_ in held], [len(ss) // 4 for _, _, ss, _ in held])
+        flagged = s & _FLAG != 0
+        order = np.lexsort((n, ~flagged, h))  # a token's flagged entries first, then by size
+        h, s, n, base, flagged = h[order], s[order], n[order], base[order], flagged[order]
+        lead = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        hot = np.repeat(flagged[lead], np.diff(np.r_[lead, len(h)]))
+        near = (h[1:] == h[:-1]) & (np.minimum(n[1:], n[:-1]) * share.denominator >= np.maximum(n[1:], n[:-1]) * share.numerator)
+        own = np.flatnonzero(~flagged & (hot | np.r_[False, near] | np.r_[near, False]))  # the rows of flagged ones are there
         if len(own):
             yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(base[own] + s[own].astype(np.int64))], names=["h", "u"])
 
-    packed = made.where("p IS NOT NULL").select("p", "u", "hs", "ss").repartition("p").sortWithinPartitions("p")
+    packed = made.where("p IS NOT NULL").select("p", "u", "hs", "ss", "ns").repartition("p").sortWithinPartitions("p")
     return packed.mapInArrow(run, "h long, u long").unionAll(made.where("h IS NOT NULL").select("h", "u"))
 
 
@@ -274,16 +297,6 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT else df
 
 
-def paired(tokens: DataFrame, share: Fraction) -> DataFrame:
-    """The rows (h, u, n) of which another one with the same token may be similar by size.
-
-    Such sizes fall in the same class or in neighbouring ones, so each row is filed under its class and the next."""
-    log = F.floor(F.log(F.col("n").cast("double")) / (-math.log(float(share)) * (1 + 1e-9))) if share < 1 else F.col("n")
-    filed = tokens.withColumn("class", F.explode(F.array(log, log + 1)))
-    several = filed.groupBy("h", "class").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("h", "class")
-    return filed.join(several, ["h", "class"], "left_semi").select("h", "u", "n").distinct()
-
-
 def read_whole(ends: DataFrame, names: DataFrame, rows: DataFrame, df: DataFrame, id: str, text: str, width: int, unique: bool) -> DataFrame:
     """(u, own): the whole sets of the numbers ``ends`` (u), each from one text; ``names`` has their keys, ``rows`` those of all ids."""
     keys = names.join(ends, "u", "left_semi").select("key", F.col("u").alias("_u"))
@@ -319,8 +332,10 @@ def _sizes(share: Fraction) -> Column:
 
 
 def _near(share: Fraction) -> Column:
-    """Whether sets of n and m tokens, the odd bits of which are x and y, may be similar."""
-    return _sizes(share) & (_differ("x", "y") * (share.denominator + share.numerator) <= (F.col("n") + F.col("m")) * (share.denominator - share.numerator))
+    """Whether sets of n and m tokens, the odd bits of which are x and y, and xw and yw if they are large, may be similar."""
+    may = lambda differ: differ * (share.denominator + share.numerator) <= (F.col("n") + F.col("m")) * (share.denominator - share.numerator)
+    wide = F.aggregate(F.zip_with("xw", "yw", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+    return _sizes(share) & may(_differ("x", "y")) & (F.col("xw").isNull() | F.col("yw").isNull() | may(wide))
 
 
 def to_leaders(sets: DataFrame, column: str) -> DataFrame:
@@ -350,16 +365,16 @@ def _labelled(sets: DataFrame, found: DataFrame | None, name: str) -> DataFrame:
 def opened(tokens: DataFrame, members: DataFrame, share: Fraction) -> DataFrame:
     """(a, b, nth): sets and the members of other components that they meet in opened groups, from near to far.
 
-    ``tokens`` has the prefix tokens (h, u), ``members`` the sets (u, n, bits, odd, g, l) with group and component."""
+    ``tokens`` has the prefix tokens (h, u), ``members`` the sets (u, n, bits, odd, wide, g, l) with group and component."""
     bits = F.array(*[f"w{i}" for i in range(WORDS)])
     groups = members.groupBy("g").agg(F.count("*").alias("size"), F.min("l").alias("one"), F.max("l").alias("other"), *[F.bit_or(F.col("bits")[i]).alias(f"w{i}") for i in range(WORDS)])
     groups = checkpointed(groups.select("g", "size", (F.col("one") != F.col("other")).alias("mixed"), bits.alias("union")))
     size = checkpointed(members.groupBy("g", "l").agg(F.count("*").alias("have")))
     most = size.groupBy("g").agg(F.max(F.struct("have", "l")).alias("most")).select("g", F.col("most.l").alias("most"))
-    right = members.select(F.col("u").alias("b"), F.col("n").alias("m"), F.col("odd").alias("y"), F.col("l").alias("r"), "g")
+    right = members.select(F.col("u").alias("b"), F.col("n").alias("m"), F.col("odd").alias("y"), F.col("wide").alias("yw"), F.col("l").alias("r"), "g")
     # within the own group: sets outside its largest component ask, of two others the one with the lesser label
     open_groups = groups.where("mixed").select("g")
-    asks = members.join(open_groups, "g", "left_semi").join(most, "g").where("l <> most").select(F.col("u").alias("a"), "n", F.col("odd").alias("x"), "l", "most", F.col("g").alias("_g"))
+    asks = members.join(open_groups, "g", "left_semi").join(most, "g").where("l <> most").select(F.col("u").alias("a"), "n", F.col("odd").alias("x"), F.col("wide").alias("xw"), "l", "most", F.col("g").alias("_g"))
     inside = asks.join(right.join(open_groups, "g", "left_semi"), (F.col("_g") == F.col("g")) & ((F.col("r") == F.col("most")) | (F.col("l") < F.col("r"))) & (F.col("l") != F.col("r")) & _near(share))
     # other groups: by the matrix, the sets of the smaller group ask
     of = tokens.join(members.select("u", "n", "g"), "u")
@@ -371,8 +386,8 @@ def opened(tokens: DataFrame, members: DataFrame, share: Fraction) -> DataFrame:
     fits = (F.col("low") * share.numerator <= F.col("n") * share.denominator) & (F.col("high") * share.denominator >= F.col("n") * share.numerator)
     smaller = (F.col("g") != F.col("mine")) & (F.struct("my_size", "mine") < F.struct("size", "g"))
     asked = asking.join(rows, "h").where(smaller & fits).select("u", "g").distinct()
-    bounded = asked.join(members.select("u", "n", "bits", F.col("odd").alias("x"), "l"), "u").join(groups.select(F.col("g").alias("_g"), "union"), F.col("g") == F.col("_g"))
-    open_ = bounded.where((F.col("n") - _outside("bits", "union")) * share.denominator >= F.col("n") * share.numerator).select(F.col("u").alias("a"), "n", "x", "l", "_g")
+    bounded = asked.join(members.select("u", "n", "bits", F.col("odd").alias("x"), F.col("wide").alias("xw"), "l"), "u").join(groups.select(F.col("g").alias("_g"), "union"), F.col("g") == F.col("_g"))
+    open_ = bounded.where((F.col("n") - _outside("bits", "union")) * share.denominator >= F.col("n") * share.numerator).select(F.col("u").alias("a"), "n", "x", "xw", "l", "_g")
     across = open_.join(right, (F.col("_g") == F.col("g")) & (F.col("l") != F.col("r")) & _near(share))
     take = lambda df: df.select("a", "b", _differ("x", "y").alias("far"))
     nearest = F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))
@@ -382,7 +397,7 @@ def opened(tokens: DataFrame, members: DataFrame, share: Fraction) -> DataFrame:
 def linked(tokens: DataFrame, sets: DataFrame, share: Fraction, first: list[Callable[[DataFrame], DataFrame]], read: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """(node, label) of the sets that are similar to another, label being the least number of the component; None if
     there are none. ``first`` propose pairs for the groups; ``read`` gives whole sets."""
-    loose, short = share * LOOSE, sets.select("u", "n", "odd")
+    loose, short = share * LOOSE, sets.select("u", "n", "odd", "wide")
     found = links = whole = groups = None
 
     def more(pairs: DataFrame) -> None:
@@ -406,11 +421,11 @@ def linked(tokens: DataFrame, sets: DataFrame, share: Fraction, first: list[Call
         pairs = first[0](sets)
         for propose in first[1:]:
             pairs = pairs.unionAll(propose(sets))
-        left, right = short.toDF("a", "n", "x"), short.toDF("b", "m", "y")
+        left, right = short.toDF("a", "n", "x", "xw"), short.toDF("b", "m", "y", "yw")
         ties = checkpointed(pairs.distinct().join(left, "a").join(right, "b").where(_near(loose)).select("a", "b", _near(share).alias("strict")))
         groups = checkpointed(components(ties))
         more(ties.where("strict").select("a", "b"))
-    members = checkpointed(_labelled(_labelled(sets.select("u", "n", "bits", "odd"), groups, "g"), found, "l"))
+    members = checkpointed(_labelled(_labelled(sets.select("u", "n", "bits", "odd", "wide"), groups, "g"), found, "l"))
     pairs = opened(tokens, members, share)
     for nth in (F.col("nth") <= NEAREST, F.col("nth") > NEAREST):
         rest = pairs.where(nth)
@@ -429,12 +444,14 @@ def classes(df: DataFrame, id: str, text: str, width: int, share: float, first:
     size = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * exact.numerator / exact.denominator) + 1)).first()[0] or 0
     rank = ranks(made.where("part IS NOT NULL").select("part", "cells"))
     packed = checkpointed(prefixes(df, text, width, exact, rank, max(PARTS, int(size) // PART_TOKENS), fingerprints))
-    sets = packed.where("key IS NOT NULL").drop("p", "hs", "ss", "h")
+    sets = packed.where("key IS NOT NULL").drop("p", "hs", "ss", "ns", "h")
     # a set that several tasks have goes by its least number
     again = sets.groupBy("key").agg(F.min("u").alias("least"), F.count("*").alias("times")).where("times > 1").select(F.col("key").alias("_key"), "least")
     other = checkpointed(sets.join(again, F.col("key") == F.col("_key")).where("u <> least").select(F.col("u").alias("_u"), "least"))
-    of = met(packed).join(_small(other), F.col("u") == F.col("_u"), "left").select("h", F.coalesce("least", "u").alias("u"))
-    tokens = checkpointed(paired(of.join(sets.select("u", "n"), "u"), exact).select("h", "u"))
+    of = met(packed, exact).join(_small(other), F.col("u") == F.col("_u"), "left").select("h", F.coalesce("least", "u").alias("u"))
+    every = checkpointed(of.distinct())
+    several = every.groupBy("h").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("h")
+    tokens = checkpointed(every.join(_small(checkpointed(several)), "h", "left_semi"))
     used = checkpointed(tokens.select("u").distinct())
     if used.isEmpty():
         return rows, None, unique
