@@ -54,6 +54,8 @@ def oracle(sql: str) -> str:
         return sql
     before = ", ".join(f"{n} AS ({FIXTURES[n]})" for n in needed)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {before}, {body[15:]}"
     return f"WITH {before}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {before} {body}"
 
 
@@ -66,5 +68,5 @@ def register(name: str, build: Callable[[Inputs], DataFrame], sql: str | None =
         ORACLE_SQL[name] = oracle(sql)
 
 
-for _family in ("tables", "intervals", "sequences", "reads", "variants", "alignments", "statistics", "omics", "annotation", "kernels", "further", "trimming", "mapping"):
+for _family in ("tables", "intervals", "sequences", "reads", "variants", "alignments", "statistics", "omics", "annotation", "kernels", "further", "trimming", "mapping", "graphs"):
     importlib.import_module(f"spindrift.queries.{_family}")

@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.ordinals import materialized
 
 
 def parse(newick: str) -> list[tuple[int, int | None, str, float | None]]:
@@ -150,3 +153,117 @@ def from_distances(df: DataFrame, group: str, method: str = "nj") -> DataFrame:
         return pd.DataFrame({"tree": [str(frame[group].iat[0])], "newick": [(neighbour_joining if method == "nj" else average_linkage)(names, d)]})
 
     return df.select(group, "a", "b", "d").groupBy(group).applyInPandas(build, "tree string, newick string")
+
+
+def split_name(side: frozenset) -> str:
+    return ",".join(sorted(side))
+
+
+def from_splits(tips: list[str], found: list[tuple[frozenset, float]]) -> str:
+    """The tree of tips that has the splits (sides without the least tip, with their support), of which no two conflict;
+    supports are the names of inner nodes."""
+    order = sorted(found, key=lambda s: (-len(s[0]), split_name(s[0])))
+    nodes: list[tuple[int, int | None, str, float | None]] = [(0, None, "", None)]
+    sides = [frozenset(tips)]
+    for side, support in order:
+        parent = min((i for i, other in enumerate(sides) if side < other), key=lambda i: len(sides[i]))
+        nodes.append((len(nodes), parent, f"{support:.6g}", None))
+        sides.append(side)
+    for tip in sorted(tips):
+        parent = min((i for i, other in enumerate(sides) if tip in other), key=lambda i: len(sides[i]))
+        nodes.append((len(nodes), parent, tip, None))
+    return render(nodes)
+
+
+def compatible(a: frozenset, b: frozenset) -> bool:
+    """Whether two splits (sides without the least tip) fit into one tree."""
+    return a <= b or b <= a or not a & b
+
+
+def support(trees: DataFrame, newick: str = "newick", group: str = "tree_group") -> DataFrame:
+    """(group, split, size, n, support): how many of the trees of each group have each split, by its side without the
+    least tip. Trees are taken apart where they lie; the splits are counted as keys."""
+    kind = trees.schema[group].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(g, split_name(s), len(s)) for g, t in zip(frame[group], frame[newick], strict=True) for s in splits(t)]
+            yield pd.DataFrame(rows, columns=[group, "split", "size"])
+
+    total = trees.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("trees"))
+    counted = trees.select(group, newick).mapInPandas(run, f"`{group}` {kind}, split string, size long").groupBy(group, "split", "size").agg(F.count("*").alias("n"))
+    return counted.join(total, F.col(group).eqNullSafe(F.col("_g"))).select(group, "split", "size", "n", (F.col("n") / F.col("trees")).alias("support"))
+
+
+def consensus(trees: DataFrame, newick: str = "newick", group: str = "tree_group", cutoff: float = 0.5) -> DataFrame:
+    """(group, trees, newick): for each group of trees on the same tips, the tree of the splits that more than ``cutoff``
+    of them have, with their support as names of inner nodes. Below a half, splits that conflict with more frequent
+    ones (then the larger, then the first by name) are left out. A group's distinct splits meet in one row."""
+    kind = trees.schema[group].dataType.simpleString()
+
+    def tips_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for g, t in zip(frame[group], frame[newick], strict=True):
+                nodes = parse(t)
+                inner = {n[1] for n in nodes}
+                rows.append((g, sorted(n[2] for n in nodes if n[0] not in inner)))
+            yield pd.DataFrame(rows, columns=[group, "tips"])
+
+    tips = trees.select(group, newick).mapInPandas(tips_of, f"`{group}` {kind}, tips array<string>").groupBy(group).agg(F.min("tips").alias("tips"), F.count("*").alias("trees"))
+    kept = support(trees, newick, group).where(F.col("support") > cutoff).groupBy(F.col(group).alias("_g")).agg(F.collect_list(F.struct("support", "split")).alias("found"))
+
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for own, found in zip(frame["tips"], frame["found"], strict=True):
+                chosen: list[tuple[frozenset, float]] = []
+                rows = [] if found is None else [(frozenset(x["split"].split(",")), x["support"]) for x in found]
+                for side, share in sorted(rows, key=lambda x: (-x[1], -len(x[0]), split_name(x[0]))):
+                    if all(compatible(side, other) for other, _ in chosen):
+                        chosen.append((side, share))
+                made.append(from_splits(list(own), chosen))
+            yield frame[[group, "trees"]].assign(newick=made)
+
+    both = tips.join(kept, F.col(group).eqNullSafe(F.col("_g")), "left")
+    return both.select(group, "trees", "tips", "found").mapInPandas(build, f"`{group}` {kind}, trees long, newick string")
+
+
+def column_weights(length: int, replicates: int, seed: int) -> np.ndarray:
+    """How often each replicate draws each column; row by row from the seed, so the same in every task."""
+    return np.stack([np.random.default_rng([seed, r]).multinomial(length, np.full(length, 1 / length)) for r in range(replicates)]) if length else np.zeros((replicates, 0), np.int64)
+
+
+def bootstrap_trees(alignment: DataFrame, id: str = "id", seq: str = "seq", replicates: int = 100, method: str = "nj", seed: int = 1, model: str = "p") -> DataFrame:
+    """(tree, newick): a tree of an alignment (rows of equal length) for each replicate, a draw of as many columns.
+
+    The draws are weights of the columns, a row a replicate, and each pair of sequences gives its distances in all
+    replicates at once: the weighted share of columns that differ, of those without a gap (-, .) in either, or its
+    Jukes-Cantor correction (``jc``; 3 where it has no value). No shared column is distance 1. Each replicate then
+    is one small matrix and one tree. Letters' case doesn't count; a shorter sequence ends in gaps."""
+    if method not in ("nj", "upgma") or model not in ("p", "jc"):
+        raise ValueError((method, model))
+    rows = materialized(alignment.select(F.col(id).cast("string").alias("id"), F.upper(F.col(seq)).alias("seq")).where("seq IS NOT NULL"))
+    length = rows.agg(F.max(F.length("seq"))).first()[0] or 0
+    pairs = rows.toDF("a", "x").join(rows.toDF("b", "y"), F.col("a") < F.col("b"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = None
+        for frame in frames:
+            weights = column_weights(length, replicates, seed).astype(float) if weights is None else weights
+            for a, b, x, y in zip(frame["a"], frame["b"], frame["x"], frame["y"], strict=True):
+                p, q = (np.frombuffer(s.ljust(length, "-").replace(".", "-").encode("latin-1", "replace"), np.uint8) for s in (x, y))
+                both = (p != 45) & (q != 45)
+                shared, differ = weights @ both, weights @ (both & (p != q))
+                d = np.divide(differ, shared, out=np.ones(replicates), where=shared > 0)
+                if model == "jc":
+                    d = np.where(d < 0.75, -0.75 * np.log(np.maximum(1 - 4 * d / 3, 1e-300)), 3.0)
+                yield pd.DataFrame({"replicate": np.arange(replicates), "a": a, "b": b, "d": np.abs(d)})
+
+    return from_distances(pairs.mapInPandas(run, "replicate long, a string, b string, d double"), "replicate", method)
+
+
+def bootstrap(alignment: DataFrame, id: str = "id", seq: str = "seq", replicates: int = 100, method: str = "nj", seed: int = 1, model: str = "p") -> DataFrame:
+    """(split, size, n, support): the share of ``bootstrap_trees`` that have each split; the same at any partitioning."""
+    trees = bootstrap_trees(alignment, id, seq, replicates, method, seed, model).withColumn("tree_group", F.lit(1))
+    return support(trees).drop("tree_group")
