@@ -14,7 +14,7 @@ from ..operators import graphs as g
 from ..operators import omics as o
 from ..operators import statistics as st
 from .omics import _HAV
-from .sequences import kmers, n_of, protein, rc
+from .sequences import _ORF, kmers, n_of, protein, rc
 from .statistics import _L, _MW, A, B, L, S
 from .tables import rounded
 
@@ -39,15 +39,23 @@ add("mash_screen", lambda t: rounded(seek.mash_distances(t.records, t.records, 1
 add("contamination_filter", lambda t: rounded(seek.screened(t.records, t.targets.where("ln % 3 = 0"), 12, 0.5), "share", n=6),
     f"WITH own AS (SELECT id, kmer, count(*) OVER (PARTITION BY id) AS n FROM (SELECT DISTINCT id, least(kmer, {rc('kmer')}) AS kmer FROM {kmers('records', 12)})), host AS (SELECT 't' || substr(id, 2) AS id, kmer FROM own WHERE CAST(substr(id, 2) AS BIGINT) % 3 = 0), x AS (SELECT a.id, b.id AS target, count(*) / any_value(a.n) AS share FROM own a JOIN host b USING (kmer) GROUP BY 1, 2), best AS (SELECT id, arg_max(target, struct_pack(s := share, t := target)) AS target, max(share) AS share FROM x GROUP BY 1 HAVING max(share) >= 0.5) SELECT r.id, CASE WHEN target IS NULL THEN 'kept' ELSE 'removed' END AS status, target, round(share, 6) AS share FROM records r LEFT JOIN best USING (id)")
 
+#: Intervals of which many have no name, or one that others have.
+FIXTURES["peaks"] = "SELECT chrom, start, stop, CASE WHEN start % 50 = 0 THEN NULL WHEN start % 70 = 0 THEN 'again' ELSE name END AS name FROM bed_a"
 _TSS = "(SELECT seqid AS chrom, CASE WHEN strand = '-' THEN stop - 1 ELSE start - 1 END AS tss, min(id) AS gene FROM genes GROUP BY 1, 2)"
-_NEAREST = f"""WITH s AS {_TSS}, l AS (SELECT p.name, p.start, p.stop, s.tss, s.gene FROM bed_a p ASOF JOIN s ON p.chrom = s.chrom AND p.start >= s.tss + 1),
-r AS (SELECT p.name, p.start, p.stop, s.tss, s.gene FROM bed_a p ASOF JOIN s ON p.chrom = s.chrom AND p.stop <= s.tss), i AS (SELECT p.name, min(struct_pack(t := s.tss, g := s.gene)) AS x FROM bed_a p JOIN s ON p.chrom = s.chrom AND s.tss >= p.start AND s.tss < p.stop GROUP BY 1),
-every AS (SELECT name, 0 AS d, x.t AS tss, x.g AS gene FROM i UNION ALL SELECT name, start - tss, tss, gene FROM l UNION ALL SELECT name, tss - stop + 1, tss, gene FROM r),
-best AS (SELECT name, arg_min(gene, struct_pack(d := d, t := tss, g := gene)) AS gene, min(d) AS distance FROM every GROUP BY 1),
-inside AS (SELECT DISTINCT b.name FROM bed_a b JOIN genes g ON g.seqid = b.chrom AND g.start - 1 < b.stop AND b.start < g.stop)
-SELECT p.name, CASE WHEN distance <= 10 THEN 'promoter' WHEN inside.name IS NOT NULL THEN 'intragenic' ELSE 'distal' END AS class, CAST(distance AS BIGINT) AS distance, gene FROM bed_a p LEFT JOIN best ON best.name = p.name LEFT JOIN inside ON inside.name = p.name"""
-add("peak_gene_annotation", lambda t: an.nearest_genes(t.bed_a, t.genes, 10), _NEAREST)
-add("gff3_nearest_gene", lambda t: an.nearest_genes(t.bed_a, t.genes).select("name", "distance", "gene"), "SELECT name, distance, gene FROM (" + _NEAREST + ")")
+_NEAREST = f"""WITH p AS (SELECT row_number() OVER () AS r, * FROM peaks), s AS {_TSS}, l AS (SELECT p.r, p.start, p.stop, s.tss, s.gene FROM p ASOF JOIN s ON p.chrom = s.chrom AND p.start >= s.tss + 1),
+r AS (SELECT p.r, p.start, p.stop, s.tss, s.gene FROM p ASOF JOIN s ON p.chrom = s.chrom AND p.stop <= s.tss), i AS (SELECT p.r, min(struct_pack(t := s.tss, g := s.gene)) AS x FROM p JOIN s ON p.chrom = s.chrom AND s.tss >= p.start AND s.tss < p.stop GROUP BY 1),
+every AS (SELECT r, 0 AS d, x.t AS tss, x.g AS gene FROM i UNION ALL SELECT r, start - tss, tss, gene FROM l UNION ALL SELECT r, tss - stop + 1, tss, gene FROM r),
+best AS (SELECT r, arg_min(gene, struct_pack(d := d, t := tss, g := gene)) AS gene, min(d) AS distance FROM every GROUP BY 1),
+inside AS (SELECT DISTINCT p.r FROM p JOIN genes g ON g.seqid = p.chrom AND g.start - 1 < p.stop AND p.start < g.stop)
+SELECT p.chrom, p.start, p.stop, p.name, CASE WHEN distance <= 10 THEN 'promoter' WHEN inside.r IS NOT NULL THEN 'intragenic' ELSE 'distal' END AS class, CAST(distance AS BIGINT) AS distance, gene FROM p LEFT JOIN best ON best.r = p.r LEFT JOIN inside ON inside.r = p.r"""
+add("peak_gene_annotation", lambda t: an.nearest_genes(t.peaks, t.genes, 10), _NEAREST)
+_GENES = """WITH p AS (SELECT row_number() OVER () AS r, * FROM peaks), g AS (SELECT seqid AS chrom, start - 1 AS s, stop AS e, id FROM genes),
+o AS (SELECT r, 0 AS d, s, e, id FROM p JOIN g ON p.chrom = g.chrom AND s < p.stop AND p.start < e),
+lo AS (SELECT chrom, e, min(struct_pack(s := s, e := e, id := id)) AS x FROM g GROUP BY 1, 2), hi AS (SELECT chrom, s, min(struct_pack(s := s, e := e, id := id)) AS x FROM g GROUP BY 1, 2),
+l AS (SELECT r, p.start - lo.e + 1 AS d, x.s AS s, x.e AS e, x.id AS id FROM p ASOF JOIN lo ON p.chrom = lo.chrom AND p.start >= lo.e), h AS (SELECT r, hi.s - p.stop + 1 AS d, x.s AS s, x.e AS e, x.id AS id FROM p ASOF JOIN hi ON p.chrom = hi.chrom AND p.stop <= hi.s),
+every AS (SELECT * FROM o UNION ALL SELECT * FROM l UNION ALL SELECT * FROM h), best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, s, e, id) AS k FROM every)
+SELECT p.chrom, p.start, p.stop, p.name, best.id AS gene, best.s AS gene_start, best.e AS gene_stop, CAST(d AS BIGINT) AS distance, d = 0 AS overlaps FROM p JOIN best ON best.r = p.r AND k = 1 WHERE d <= 30"""
+add("gff3_nearest_gene", lambda t: an.genes_nearby(t.peaks, t.genes, 30), _GENES)
 _B12 = "(SELECT seqid AS chrom, min(start) - 1 AS start, max(stop) AS stop, parent AS name, strand, count(*) AS blocks, string_agg(CAST(stop - start + 1 AS VARCHAR), ',' ORDER BY start, stop) AS sizes, string_agg(CAST(start AS VARCHAR), ',' ORDER BY start, stop) AS ends FROM exons WHERE parent IS NOT NULL GROUP BY seqid, parent, strand)"
 add("convert_gff_to_bed", lambda t: an.bed12(t.exons), f"SELECT chrom, start, stop, name, strand, blocks, sizes, array_to_string(list_transform(string_split(ends, ','), lambda x: CAST(CAST(x AS BIGINT) - 1 - start AS VARCHAR)), ',') AS starts FROM {_B12}")
 add("bedtools_bed12_blocks", lambda t: an.bed12_blocks(an.bed12(t.exons)), "SELECT seqid AS chrom, start - 1 AS start, stop, parent AS name, strand, row_number() OVER (PARTITION BY seqid, parent, strand ORDER BY start, stop) AS block FROM exons WHERE parent IS NOT NULL")
@@ -72,5 +80,7 @@ add("meta_rarefaction", lambda t: rounded(o.rarefied(t.orders.groupBy("o_orderpr
     f"WITH c AS (SELECT o_orderpriority, o_custkey, count(*) AS c FROM orders GROUP BY 1, 2), n AS (SELECT *, sum(c) OVER (PARTITION BY o_orderpriority) AS n, least(50, sum(c) OVER (PARTITION BY o_orderpriority)) AS d FROM c) SELECT o_orderpriority, CAST(max(n) AS BIGINT) AS n, count(*) AS observed, round(sum(1 - CASE WHEN n - c < d THEN 0 ELSE exp({_CH('(n - c)', 'd')} - {_CH('n', 'd')}) END), 3) AS expected FROM n GROUP BY 1")
 add("stats_bootstrap_ci", lambda t: rounded(st.bootstrap_means(t.customer, "c_custkey", "c_acctbal", 500), "mean", "low", "high", n=3))
 add("stats_power_analysis", lambda t: st.power_analysis(t.spark), "SELECT CAST(0.5 AS DOUBLE) AS effect, CAST(0.05 AS DOUBLE) AS alpha, CAST(0.8 AS DOUBLE) AS power, CAST(ceil(2 * pow((1.959963984540054 + 0.8416212335729143) / 0.5, 2)) AS BIGINT) AS n")
-add("emboss_geece", lambda t: rounded(t.records.select("id", (s.percent(F.col("seq"), "GC") / 100).alias("gc")), "gc"), f"SELECT id, round(({n_of('G')} + {n_of('C')}) / length(seq), 4) AS gc FROM records")
+_LETTERS = "(SELECT id, CAST(sum(length(dna)) FILTER (WHERE strand = '+') AS BIGINT) AS f, CAST(sum(length(dna)) FILTER (WHERE strand = '-') AS BIGINT) AS b FROM (" + _ORF.replace(">= 30", ">= 33") + ") GROUP BY 1)"
+add("emboss_geece", lambda t: rounded(an.coding_density(t.records, "id", "seq"), "forward", "reverse", "combined", "gt", "gc", n=6),
+    f"SELECT r.id, length(seq) AS length, round(coalesce(f, 0) / length(seq), 6) AS forward, round(coalesce(b, 0) / length(seq), 6) AS reverse, round(least(coalesce(f, 0) + coalesce(b, 0), length(seq)) / length(seq), 6) AS combined, round({n_of('GT')} / length(seq), 6) AS gt, round({n_of('GC')} / length(seq), 6) AS gc FROM records r LEFT JOIN {_LETTERS} o ON o.id = r.id")
 add("sc_matrix_to_long", lambda t: L(t).where("value <> 0").select(F.col("row").alias("gene"), F.col("column").alias("cell"), F.col("value").alias("count")), f"SELECT \"row\" AS gene, \"column\" AS cell, value AS count FROM {_L} WHERE value <> 0")

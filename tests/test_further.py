@@ -84,3 +84,20 @@ def test_bootstrap_interval_covers_the_mean_at_any_partitioning(spark):
     assert one.n == 400 and np.allclose([one.low, one.high], [two.low, two.high])
     se = 2 / 20
     assert abs(one.low - (one["mean"] - 1.96 * se)) < 0.06 and abs(one.high - (one["mean"] + 1.96 * se)) < 0.06
+
+
+def test_peaks_without_names_and_with_one_name_stay_apart(spark):
+    genes = spark.createDataFrame([("c", "gene", 101, 200, "+", "g1"), ("c", "gene", 8001, 8100, "-", "g2")], "seqid string, type string, start long, stop long, strand string, id string")
+    rows = [("c", 150, 160, None), ("c", 150, 160, None), ("c", 7000, 7010, "x"), ("c", 180, 190, "x"), ("z", 5, 9, None)]
+    peaks = spark.createDataFrame(rows, "chrom string, start long, stop long, name string")
+    got = sorted((tuple(r) for r in an.nearest_genes(peaks, genes, 20).collect()), key=str)
+    assert got == [("c", 150, 160, None, "intragenic", 50, "g1")] * 2 + [("c", 180, 190, "x", "intragenic", 80, "g1"), ("c", 7000, 7010, "x", "distal", 1090, "g2"), ("z", 5, 9, None, "distal", None, None)]
+    near = sorted((tuple(r) for r in an.genes_nearby(peaks, genes).collect()), key=str)
+    assert near == [("c", 150, 160, None, "g1", 100, 200, 0, True)] * 2 + [("c", 180, 190, "x", "g1", 100, 200, 0, True), ("c", 7000, 7010, "x", "g2", 8000, 8100, 991, False)]
+    assert an.genes_nearby(peaks, genes, 500).count() == 3
+
+
+def test_coding_density_by_strand(spark):
+    rows = [("a", "ATG" + "GCC" * 12 + "TAA"), ("a", "TTA" + "GGC" * 12 + "CAT"), ("e", ""), ("n", None)]
+    got = sorted(tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in an.coding_density(spark.createDataFrame(rows, "id string, seq string"), "id", "seq").collect())
+    assert [r[:5] for r in got] == [("a", 42, 0.0, 0.9286, 0.9286), ("a", 42, 0.9286, 0.0, 0.9286), ("e", 0, 0.0, 0.0, 0.0), ("n", 0, 0.0, 0.0, 0.0)]
