@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.quantiles import quantile_row
 from ..plans.ranges import overlapping
 
 #: The flag bits.
@@ -109,7 +110,8 @@ def assigned(df: DataFrame, features: DataFrame) -> DataFrame:
 
 def fragment_summary(df: DataFrame) -> DataFrame:
     t = df.where("tlen > 0")
-    return t.agg(F.count("*").alias("n"), F.avg("tlen").alias("mean"), F.stddev_samp("tlen").alias("sd"), F.percentile("tlen", F.lit(0.5)).alias("median"), F.min("tlen").alias("low"), F.max("tlen").alias("high"))
+    facts = t.agg(F.count("*").alias("n"), F.avg("tlen").alias("mean"), F.stddev_samp("tlen").alias("sd"), F.min("tlen").alias("low"), F.max("tlen").alias("high"))
+    return facts.join(F.broadcast(quantile_row(t, [], "tlen", {"median": 0.5})), how="left").select("n", "mean", "sd", "median", "low", "high")
 
 
 def problems(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordinals import materialized
+from ..plans.quantiles import quantile_row
 
 
 def standardized(df: DataFrame, vector: str = "features") -> DataFrame:
@@ -35,8 +36,12 @@ def pca(df: DataFrame, id: str, vector: str, k: int = 2) -> DataFrame:
 def anomalies(df: DataFrame, id: str, columns: list[str], threshold: float = 3.0) -> DataFrame:
     """(id, score, anomaly): the greatest robust z of the columns."""
     v = {c: F.col(c).cast("double") for c in columns}
-    both = df.crossJoin(F.broadcast(df.agg(*[F.percentile(v[c], F.lit(0.5)).alias(f"_m_{c}") for c in columns])))
-    both = both.crossJoin(F.broadcast(both.agg(*[F.percentile(F.abs(v[c] - F.col(f"_m_{c}")), F.lit(0.5)).alias(f"_d_{c}") for c in columns])))
+    both = df
+    for c in columns:
+        both = both.join(F.broadcast(quantile_row(df, [], c, {f"_m_{c}": 0.5})), how="left")
+    apart = both.select(*[F.abs(v[c] - F.col(f"_m_{c}")).alias(c) for c in columns])
+    for c in columns:
+        both = both.join(F.broadcast(quantile_row(apart, [], c, {f"_d_{c}": 0.5})), how="left")
     z = [0.6745 * F.abs(v[c] - F.col(f"_m_{c}")) / F.nullif(F.col(f"_d_{c}"), F.lit(0.0)) for c in columns]
     score = F.greatest(*z) if len(z) > 1 else z[0]
     return both.select(id, score.alias("score"), (score > threshold).alias("anomaly"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.aggregates import statistic
+from ..plans.quantiles import quantile_row, quantiles
 from ..plans.ordinals import ordinal, previous, running
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -286,26 +287,32 @@ def grouped(df: DataFrame, by: str, values: list[str], function: str = "mean") -
     return df.groupBy(by).agg(*[statistic(function, F.col(c)).alias(f"{function}_{c}") for c in values])
 
 
-def group_summary(df: DataFrame, by: str, values: list[str], member: str, width: int = 120) -> DataFrame:
-    """Count, joined members (cut to a width for show) and means by group. Only as many members as can show in the
-    width are gathered: the smallest in order, chosen before they meet."""
-    shown = df.select(by, F.col(member).cast("string").alias("_m")).where("_m is not null")
-    nth = F.row_number().over(Window.partitionBy(by).orderBy("_m"))
-    few = shown.withColumn("_n", nth).where(F.col("_n") <= width).groupBy(by).agg(F.substring(F.array_join(F.sort_array(F.collect_list("_m")), ","), 1, width).alias("members"))
-    counted = df.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in values])
-    return counted.join(few, by, "left")
+def group_summary(df: DataFrame, by: str, values: list[str], member: str) -> DataFrame:
+    """Count, joined members (all of them, in order) and means by group. A group's members are one value."""
+    members = F.array_join(F.sort_array(F.collect_list(F.col(member).cast("string"))), ",")
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.nullif(members, F.lit("")).alias("members"), *[F.avg(c).alias(f"mean_{c}") for c in values])
+
+
+#: Statistics that are quantiles; iqr is a difference of two.
+_QUANTILES = {"median": 0.5, "q1": 0.25, "q3": 0.75, "p5": 0.05, "p95": 0.95}
 
 
 def describe(df: DataFrame, columns: list[str], functions: list[str]) -> DataFrame:
-    """(column, statistics...): one row a column."""
+    """(column, statistics...): one row a column. Quantiles are exact, by ``quantiles``; columns of any length."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    return long.groupBy("column").agg(*[statistic(f, F.col("value")).alias(f) for f in functions])
+    points = {f: p for f, p in _QUANTILES.items() if f in functions or (f in ("q1", "q3") and "iqr" in functions)}
+    own = long.groupBy("column").agg(F.count("*").alias("_rows"), *[statistic(f, F.col("value")).alias(f) for f in functions if f not in (*_QUANTILES, "iqr")])
+    if not points:
+        return own.drop("_rows")
+    found = quantile_row(long, ["column"], "value", points).withColumnRenamed("column", "_column")
+    both = own.join(found, F.col("column") == F.col("_column"), "left")
+    return both.select("column", *[(F.col("q3") - F.col("q1")).alias("iqr") if f == "iqr" else F.col(f) for f in functions])
 
 
 def percentiles(df: DataFrame, column: str, points: list[float]) -> DataFrame:
-    """(p, value): interpolated percentiles."""
-    found = df.agg(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(p / 100) for p in points])).alias("_v"))
-    return found.select(F.posexplode("_v").alias("_i", "value")).select(F.element_at(F.array(*[F.lit(float(p)) for p in points]), F.col("_i") + 1).alias("p"), "value")
+    """(p, value): interpolated percentiles, exact for columns of any length."""
+    named = F.create_map(*[F.lit(x) for p in points for x in (float(p / 100), float(p))])
+    return quantiles(df, [], column, [p / 100 for p in points]).select(F.element_at(named, F.col("p")).alias("p"), "value")
 
 
 def cross_tab(df: DataFrame, row: str, column: str, values: list, value: str | None = None) -> DataFrame:
@@ -328,11 +335,12 @@ def normalized(df: DataFrame, column: str, mode: str, out: str = "normalized") -
         return df.withColumn(out, F.log2(v + 1))
     if mode == "rank":
         return ordinal(df, [column], out)
-    facts = df.agg(F.avg(v).alias("_mean"), F.stddev_samp(v).alias("_sd"), F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.sum(v).alias("_sum"), *([F.percentile(v, F.lit(0.5)).alias("_median")] if mode == "robust" else []))
-    both = df.crossJoin(F.broadcast(facts))
     if mode == "robust":
-        spread = both.agg(F.percentile(F.abs(v - F.col("_median")), F.lit(0.5)).alias("_mad"))
-        both = both.crossJoin(F.broadcast(spread))
+        both = df.join(F.broadcast(quantile_row(df, [], column, {"_median": 0.5})), how="left")
+        spread = quantile_row(both.select(F.abs(v - F.col("_median")).alias("_apart")), [], "_apart", {"_mad": 0.5})
+        both = both.join(F.broadcast(spread), how="left")
+    else:
+        both = df.crossJoin(F.broadcast(df.agg(F.avg(v).alias("_mean"), F.stddev_samp(v).alias("_sd"), F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.sum(v).alias("_sum"))))
     made = {
         "z-score": lambda: (v - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0)), "min-max": lambda: (v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)),
         "sum": lambda: v / F.nullif(F.col("_sum"), F.lit(0.0)), "percent": lambda: 100 * v / F.nullif(F.col("_sum"), F.lit(0.0)),
@@ -360,9 +368,8 @@ def binned(df: DataFrame, column: str, width: float, value: str, function: str =
 def outliers(df: DataFrame, column: str, method: str = "iqr", cutoff: float = 1.5) -> DataFrame:
     """Rows beyond the fences: iqr, z-score or modified-z."""
     if method == "iqr":
-        q = F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))
-        both = df.crossJoin(F.broadcast(df.agg(q.alias("_q"))))
-        lo, hi = F.col("_q")[0], F.col("_q")[1]
+        both = df.join(F.broadcast(quantile_row(df, [], column, {"_lo": 0.25, "_hi": 0.75})), how="left")
+        lo, hi = F.col("_lo"), F.col("_hi")
         far = (F.col(column) < lo - cutoff * (hi - lo)) | (F.col(column) > hi + cutoff * (hi - lo))
         return both.where(far).select(*df.columns)
     scored = normalized(df, column, {"z-score": "z-score", "modified-z": "robust"}[method], "_z")

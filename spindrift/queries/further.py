@@ -31,7 +31,7 @@ def propagated(rounds: int) -> str:
     return "WITH " + ", ".join(parts) + f" SELECT node, label AS community FROM l{rounds}"
 
 
-add("network_communities", lambda t: g.communities(t.edges, "a", "b", 6), propagated(6))
+add("network_communities", lambda t: g.communities(t.edges, "a", "b", 20), propagated(20))
 add("scanpy_cluster_knn_graph", lambda t: g.knn_clusters(t.counts.select("gene", F.array(*S).alias("v")), "gene", "v", 5))
 _SKETCH = f"(SELECT id, list_slice(list_sort(list(DISTINCT md5(least(kmer, {rc('kmer')})))), 1, 50) AS sketch FROM {kmers('records', 12)} GROUP BY id)"
 add("mash_screen", lambda t: rounded(seek.mash_distances(t.records, t.records, 12, 50), "jaccard", "distance", n=6),
