@@ -44,3 +44,25 @@ def test_threads_keep_repeated_and_null_rows(spark):
     made = chat.threaded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     texts = {r.root: chat.read_turns(r.formatted) for r in chat.format_conversations(made).collect()}
     assert texts == {"1#1": [("", ""), ("user", "a"), ("user", "a")], "null#1": [("user", "z"), ("assistant", "y")]}
+
+
+def test_scores_carried_through_the_doubling_rank_like_unfolded_paths(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [("0", None, "user", "t0", 0.0)]
+    for i in range(1, 120):
+        rows.append((str(i), str(rng.randrange(max(0, i - 9), i)) if i % 17 else "gone", "user", f"t{i}", None if i % 11 == 0 else rng.randrange(8) / 8))
+    rows += [("c1", "c2", "user", "x", 1.0), ("c2", "c1", "user", "x", 1.0), ("c3", "c1", "user", "x", 1.0)]
+    messages = spark.createDataFrame(rows, "id string, parent string, role string, text string, score double").selectExpr("*", "1 AS leaf", "2 AS root", "3 AS up", "4 AS total")
+    above, said = {r[0]: r[1] for r in rows}, {r[0]: r for r in rows}
+    trees = {}
+    for leaf in above.keys() - set(above.values()) - {"c3"}:
+        path = [leaf]
+        while above[path[-1]] in above:
+            path.append(above[path[-1]])
+        trees.setdefault(path[-1], []).append((-sum(said[i][4] or 0 for i in path) / len(path), leaf, path))
+    for best in (1, 2, None):
+        got = sorted((r.root, r.branch_rank, r.leaf, [t for _, t in chat.read_turns(r.formatted)]) for r in chat.format_conversations(messages, best).collect())
+        want = sorted((root, k, leaf, [said[i][3] for i in reversed(path)]) for root, own in trees.items() for k, (_, leaf, path) in enumerate(sorted(own)[:best], 1))
+        assert got == want
