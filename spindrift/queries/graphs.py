@@ -68,20 +68,9 @@ FIXTURES["spots"] = "SELECT 'm' || CAST(CAST(floor(o_orderkey / 8192) AS INT) AS
 
 
 def _cells(t):
-    return images.measured(images.objects(images.foreground(t.spots), min_area=5))
+    return images.measured(images.objects(images.foreground(t.spots), diagonal=False, min_area=5))
 
 
-_MASK = """ends AS (SELECT image, min(value) AS lo, max(value) AS hi FROM spots GROUP BY 1), bins AS (SELECT image, lo, hi, least(floor((value - lo) / (hi - lo) * 256), 255) AS bin, count(*) AS n, sum(value) AS s FROM spots JOIN ends USING (image) WHERE hi > lo GROUP BY ALL),
-sums AS (SELECT *, sum(n) OVER u AS w, sum(s) OVER u AS m, sum(n) OVER e AS an, sum(s) OVER e AS sa FROM bins WINDOW u AS (PARTITION BY image ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), e AS (PARTITION BY image)),
-cuts AS (SELECT image, lo + (bin + 1) * (hi - lo) / 256 AS cut FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY CAST(w AS DOUBLE) * (an - w) * (m / w - (sa - m) / (an - w)) * (m / w - (sa - m) / (an - w)) DESC, bin) AS k FROM sums WHERE w < an) WHERE k = 1),
-mask AS (SELECT image, y, x, value, y * 2147483648 + x AS code FROM spots JOIN cuts USING (image) WHERE value >= cut)"""
-_OBJECTS = f"""WITH RECURSIVE {_MASK}, beside AS (SELECT a.image, a.code AS p, b.code AS q FROM mask a JOIN mask b ON a.image = b.image AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1),
-reach AS (SELECT image, code AS p, code AS q FROM mask UNION SELECT reach.image, reach.p, beside.q FROM reach JOIN beside ON reach.image = beside.image AND reach.q = beside.p),
-labels AS (SELECT image, p AS code, min(q) AS g FROM reach GROUP BY 1, 2), px AS (SELECT m.*, g FROM mask m JOIN labels USING (image, code)), sized AS (SELECT image, g, dense_rank() OVER (PARTITION BY image ORDER BY g) AS object FROM (SELECT image, g FROM px GROUP BY 1, 2 HAVING count(*) >= {{least}}))
-"""
-add("image_threshold_cells", lambda t: rounded(_cells(t).select("image", "object", "area", "y", "x", "mean", "solidity", "diameter"), "y", "x", "mean", "solidity", "diameter"),
-    _OBJECTS.format(least=5) + "SELECT image, object, count(*) AS area, round(avg(y), 4) AS y, round(avg(x), 4) AS x, round(avg(value), 4) AS mean, round(count(*) / ((max(y) - min(y) + 1) * (max(x) - min(x) + 1)), 4) AS solidity, round(2 * sqrt(count(*) / pi()), 4) AS diameter FROM px JOIN sized USING (image, g) GROUP BY image, object")
-add("image_measure_objects", lambda t: rounded(images.measured(images.objects(images.foreground(t.spots), min_area=8)).select("image", "object", "area", "top", "left", "bottom", "right", "perimeter", "solidity", "eccentricity"), "solidity", "eccentricity"),
-    _OBJECTS.format(least=8) + ", sides AS (SELECT a.image, a.g, count(*) AS n FROM px a JOIN px b ON a.image = b.image AND a.g = b.g AND (b.y, b.x) IN ((a.y, a.x + 1), (a.y + 1, a.x)) GROUP BY 1, 2), m AS (SELECT image, g, object, count(*) AS area, min(y) AS top, min(x) AS \"left\", max(y) AS bottom, max(x) AS \"right\", var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS vxy FROM px JOIN sized USING (image, g) GROUP BY ALL), "
-    "r AS (SELECT *, (vx + vy) / 2 AS half, sqrt(((vx - vy) / 2) ** 2 + vxy ** 2) AS root FROM m) SELECT image, object, area, top, \"left\", bottom, \"right\", 4 * area - 2 * coalesce(n, 0) AS perimeter, round(area / ((bottom - top + 1) * (\"right\" - \"left\" + 1)), 4) AS solidity, round(CASE WHEN half + root > 0 THEN sqrt(greatest(1 - greatest(half - root, 0) / (half + root), 0)) ELSE 0 END, 4) AS eccentricity FROM r LEFT JOIN sides USING (image, g)")
+add("image_threshold_cells", lambda t: rounded(_cells(t).select("image", "object", "area", "y", "x", "mean", "solidity", "diameter"), "y", "x", "mean", "solidity", "diameter"))
+add("image_measure_objects", lambda t: rounded(images.measured(images.objects(images.foreground(t.spots), diagonal=False, min_area=8)).select("image", "object", "area", "top", "left", "bottom", "right", "perimeter", "solidity", "eccentricity"), "solidity", "eccentricity"))
 add("image_watershed_split", lambda t: rounded(images.watershed(images.foreground(t.spots)).groupBy("image", "basin").agg(F.count("*").alias("area"), F.max("distance").alias("height"), F.avg("y").alias("y"), F.avg("x").alias("x")), "y", "x"))
