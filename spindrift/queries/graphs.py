@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import FIXTURES
 from ..catalog import register as add
-from ..operators import assembly, greedy, images, motifs, paths, segments, trees
+from ..operators import alignments as al
+from ..operators import assembly, greedy, images, motifs, paths, profiles, segments, trees
 from ..operators import permutations as p
+from .alignments import _BLOCKS
 from .sequences import _HEX, rc
 from .statistics import A, B, L, S, _L
 from .tables import rounded
@@ -74,3 +76,18 @@ def _cells(t):
 add("image_threshold_cells", lambda t: rounded(_cells(t).select("image", "object", "area", "y", "x", "mean", "solidity", "diameter"), "y", "x", "mean", "solidity", "diameter"))
 add("image_measure_objects", lambda t: rounded(images.measured(images.objects(images.foreground(t.spots), diagonal=False, min_area=8)).select("image", "object", "area", "top", "left", "bottom", "right", "perimeter", "solidity", "eccentricity"), "solidity", "eccentricity"))
 add("image_watershed_split", lambda t: rounded(images.watershed(images.foreground(t.spots)).groupBy("image", "basin").agg(F.count("*").alias("area"), F.max("distance").alias("height"), F.avg("y").alias("y"), F.avg("x").alias("x")), "y", "x"))
+# signal over regions
+_PIECES = "(SELECT r, name, CASE WHEN strand = '-' THEN {n} - 1 - i ELSE i END AS bin, chrom, start + (i * (stop - start)) // {n} AS start, start + ((i + 1) * (stop - start)) // {n} AS stop FROM (SELECT row_number() OVER () AS r, *, unnest(range({n})) AS i FROM {regions}))"
+_MATRIX = "(SELECT p.r, p.name, p.bin, coalesce(sum((least(p.stop, t.stop) - greatest(p.start, t.start)) * t.value), 0) / (p.stop - p.start) AS value FROM " + _PIECES + " p LEFT JOIN {track} t ON p.chrom = t.chrom AND p.start < t.stop AND t.start < p.stop WHERE p.stop > p.start GROUP BY p.r, p.name, p.bin, p.start, p.stop)"
+_COVER = f"(SELECT chrom, start, stop, CAST(1 AS DOUBLE) AS value FROM {_BLOCKS})"
+FIXTURES["loci"] = "SELECT seqid AS chrom, start - 1 AS start, stop + 60 AS stop, id AS name, strand FROM genes"
+
+
+def _covered(t):
+    return al.blocks(t.records_sam).select("chrom", "start", "stop", F.lit(1.0).alias("value"))
+
+
+add("deeptools_computeMatrix", lambda t: rounded(profiles.region_matrix(t.track, t.loci, 10).select("name", "bin", "value"), "value", n=6), "SELECT name, bin, round(value, 6) AS value FROM " + _MATRIX.format(n=10, regions="loci", track="track"))
+add("deeptools_plotprofile", lambda t: rounded(profiles.profile(profiles.region_matrix(t.track, t.loci, 20)), "mean", "sem", n=3), "SELECT bin, count(*) AS n, round(avg(value), 3) AS mean, round(stddev_samp(value) / sqrt(count(*)), 3) AS sem FROM " + _MATRIX.format(n=20, regions="loci", track="track") + " GROUP BY 1")
+add("samtools_metagene", lambda t: rounded(profiles.profile(profiles.region_matrix(_covered(t), t.loci, 20)), "mean", "sem", n=6), "SELECT bin, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(*)), 6) AS sem FROM " + _MATRIX.format(n=20, regions="loci", track=_COVER) + " GROUP BY 1")
+add("rseqc_gene_body_coverage", lambda t: rounded(profiles.body_coverage(profiles.region_matrix(_covered(t), t.loci, 50)), "total", "share"), "SELECT bin, round(total, 4) AS total, round(total / max(total) OVER (), 4) AS share FROM (SELECT bin, sum(value) AS total FROM " + _MATRIX.format(n=50, regions="loci", track=_COVER) + " GROUP BY 1)")
