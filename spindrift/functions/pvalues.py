@@ -108,12 +108,13 @@ def adjusted(df: DataFrame, p: str, method: str = "bh", out: str = "q") -> DataF
     if method == "bonferroni":
         return df.crossJoin(F.broadcast(facts)).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * F.col("_m")))).drop("_m")
     each = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_k"))
+    if method == "by":  # the sum of 1 / i once, not at every row
+        facts = facts.withColumn("_h", F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest("_m", F.lit(1))), F.lit(0.0), lambda s, i: s + 1.0 / i))
     upto = running(each, ["_p"], "_k", "_rank").crossJoin(F.broadcast(facts))
-    harmonic = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("_m")), F.lit(0.0), lambda s, i: s + 1.0 / i)
     if method == "holm":
         made = running(upto.withColumn("_v", F.col("_p") * (F.col("_m") - F.col("_rank") + F.col("_k"))), ["_p"], "_v", "_q", "max")
     else:
-        scale = harmonic if method == "by" else F.lit(1.0)
+        scale = F.col("_h") if method == "by" else F.lit(1.0)
         made = running(upto.withColumn("_v", F.col("_p") * F.col("_m") / F.col("_rank") * scale).withColumn("_back", -F.col("_p")), ["_back"], "_v", "_q", "min")
     values: Column = F.least(F.lit(1.0), F.col("_q"))
     return df.join(made.select("_p", values.alias(out)), F.col(p) == F.col("_p"), "left").drop("_p")

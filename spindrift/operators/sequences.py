@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sequences as s
-from ..plans.ordinals import ordinal, running
+from ..plans.ordinals import materialized, ordinal, running
 
 
 
@@ -89,11 +89,12 @@ def consensus(df: DataFrame, seq: str = "seq") -> DataFrame:
 def barcoded(df: DataFrame, barcodes: DataFrame, seq: str = "seq", mismatches: int = 0) -> DataFrame:
     """Reads with the nearest barcode (name, barcode) at their start, if within the mismatches; ties to the name.
 
-    The barcodes are a short list of fixed size.
+    The barcodes are a short list of fixed size. Repeated reads, and reads that share an id, give a row each.
     """
     head = F.substring(F.col(seq), F.lit(1), F.length("barcode"))
-    tried = df.withColumn("_id", F.struct("id", seq)).crossJoin(F.broadcast(barcodes)).withColumn("d", s.hamming(F.upper(head), F.upper("barcode")))
-    return tried.where(F.col("d") <= mismatches).groupBy("_id").agg(F.min(F.struct("d", "name")).alias("best")).select("_id.id", F.col("best.name").alias("barcode"), F.col("best.d").cast("long").alias("mismatches"))
+    rows = materialized(df.select(F.monotonically_increasing_id().alias("_row"), "id", seq))
+    tried = rows.crossJoin(F.broadcast(barcodes)).withColumn("d", s.hamming(F.upper(head), F.upper("barcode")))
+    return tried.where(F.col("d") <= mismatches).groupBy("_row", "id").agg(F.min(F.struct("d", "name")).alias("best")).select("id", F.col("best.name").alias("barcode"), F.col("best.d").cast("long").alias("mismatches"))
 
 
 def cumulative_length(df: DataFrame, order: str, seq: str = "seq") -> DataFrame:
@@ -201,10 +202,12 @@ def numbered(df: DataFrame, order: str, prefix: str = "seq", start: int = 1) ->
 
 
 def normalised(df: DataFrame, k: int, depth: float) -> DataFrame:
-    """Reads whose median k-mer count is at most the target depth."""
-    own = df.select("id", F.explode(s.kmers(F.upper(F.col("seq")), k, True)).alias("kmer"))
+    """(id, depth) of the reads whose median k-mer count is at most the target depth; a read without a k-mer has 0.
+    Reads that share an id stay apart."""
+    rows = materialized(df.select(F.monotonically_increasing_id().alias("_row"), "id", "seq"))
+    own = rows.select("_row", F.explode(s.kmers(F.upper(F.col("seq")), k, True)).alias("kmer"))
     counts = own.groupBy("kmer").agg(F.count("*").alias("n")).withColumnRenamed("kmer", "_kmer")
-    median = own.join(counts, F.col("kmer") == F.col("_kmer")).groupBy("id").agg(F.percentile("n", F.lit(0.5)).alias("depth"))
-    return median.where(F.col("depth") <= depth)
+    median = own.join(counts, F.col("kmer") == F.col("_kmer")).groupBy(F.col("_row").alias("_r")).agg(F.percentile("n", F.lit(0.5)).alias("_depth"))
+    return rows.join(median, F.col("_row") == F.col("_r"), "left").select("id", F.coalesce("_depth", F.lit(0.0)).alias("depth")).where(F.col("depth") <= depth)
 
 

@@ -73,8 +73,9 @@ def gap_trimmed(aligned: DataFrame, threshold: float = 0.5) -> DataFrame:
     total = rows.agg(F.count("*").alias("n"))
     at = rows.select(F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("at", "c"))
     full = at.groupBy("at").agg(F.count_if(~F.col("c").isin("-", ".")).alias("bases")).join(F.broadcast(total))
-    good = full.where(F.col("n") - F.col("bases") <= threshold * F.col("n")).agg(F.sort_array(F.collect_list("at")).alias("places"))
-    kept = F.array_join(F.transform("places", lambda p: F.substring("seq", p + 1, F.lit(1))), "")
+    good = full.select("at", (F.col("n") - F.col("bases") <= threshold * F.col("n")).alias("good")).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "good"))), lambda x: x["good"]).alias("places"))
+    letters = F.filter(F.split("seq", ""), lambda c: c != "")
+    kept = F.array_join(F.filter(letters, lambda c, i: F.get("places", i)), "")
     return rows.join(F.broadcast(good)).select("id", kept.alias("seq"))
 
 

@@ -101,3 +101,15 @@ def test_coding_density_by_strand(spark):
     rows = [("a", "ATG" + "GCC" * 12 + "TAA"), ("a", "TTA" + "GGC" * 12 + "CAT"), ("e", ""), ("n", None)]
     got = sorted(tuple(round(x, 4) if isinstance(x, float) else x for x in r) for r in an.coding_density(spark.createDataFrame(rows, "id string, seq string"), "id", "seq").collect())
     assert [r[:5] for r in got] == [("a", 42, 0.0, 0.9286, 0.9286), ("a", 42, 0.9286, 0.0, 0.9286), ("e", 0, 0.0, 0.0, 0.0), ("n", 0, 0.0, 0.0, 0.0)]
+
+
+def test_repeated_reads_stay_apart(spark):
+    from spindrift.operators import sequences as sq
+
+    reads = spark.createDataFrame([("a", "ACGTTTTT"), ("a", "ACGTTTTT"), ("a", "GGGTTTTT"), ("b", "AC"), ("c", None)], "id string, seq string")
+    codes = spark.createDataFrame([("one", "ACG"), ("two", "GGG")], "name string, barcode string")
+    got = sorted(tuple(r) for r in sq.barcoded(reads, codes, "seq", 1).collect())
+    assert got == [("a", "one", 0), ("a", "one", 0), ("a", "two", 0), ("b", "one", 1)]
+    depth = sorted(tuple(r) for r in sq.normalised(reads, 5, 2.5).collect())
+    assert [d[0] for d in depth] == ["a", "a", "a", "b", "c"] and depth[3][1] == depth[4][1] == 0.0
+    assert all(d[1] >= 2 for d in depth[:3])
