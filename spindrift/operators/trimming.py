@@ -88,3 +88,41 @@ def on_off(long: DataFrame, a: list[str], b: list[str], cutoff: float = 1.0) ->
     off_x, off_y = len(a) - x, len(b) - y
     odds = F.try_divide((x * off_y).cast("double"), (off_x * y).cast("double"))
     return made.withColumns({"odds": odds, "p": fisher_p(x, off_x, y, off_y)})
+
+
+def adapter_trimmed(reads: DataFrame, adapters: list[str], quality: int = 20, least: int = 25) -> DataFrame:
+    """(id, seq, qual, length, removed, adapters, mean_quality, kept) of reads (id, seq, qual): cut before the first place of
+    each adapter in turn, then of the bases below ``quality`` at their end.
+
+    adapters counts those found, mean_quality is that of what is left (0 of nothing), and kept says whether it has
+    ``least`` bases. Case doesn't count; a null quality cuts nothing, and a null sequence is empty. Each read gives a row."""
+    low = "".join("\\" + chr(c) if not chr(c).isalnum() else chr(c) for c in range(33, 33 + quality))
+    out = reads.select("id", F.upper(F.coalesce("seq", F.lit(""))).alias("seq"), "qual").withColumns({"length": F.length("seq"), "adapters": F.lit(0)})
+    for a in adapters:
+        at = F.locate(a.upper(), "seq")
+        out = out.withColumns({"seq": F.when(at > 0, F.substring("seq", F.lit(1), at - 1)).otherwise(F.col("seq")), "adapters": F.col("adapters") + (at > 0).cast("int")})
+    own = F.substring("qual", F.lit(1), F.length("seq"))
+    cut = F.coalesce(F.length(F.regexp_extract(own, f"[{low}]*$", 0)), F.lit(0)) if low else F.lit(0)
+    out = out.withColumn("_left", F.length("seq") - cut)
+    out = out.withColumns({"seq": F.substring("seq", F.lit(1), F.col("_left")), "qual": F.substring("qual", F.lit(1), F.col("_left"))})
+    mean = F.when(F.length("qual") > 0, s.mean_quality(F.col("qual"))).otherwise(F.lit(0.0))
+    return out.select("id", "seq", "qual", "length", (F.col("length") - F.col("_left")).alias("removed"), "adapters", mean.alias("mean_quality"), (F.col("_left") >= least).alias("kept"))
+
+
+def primers_trimmed(reads: DataFrame, forward: str = "", reverse: str = "", remove: bool = True) -> DataFrame:
+    """(id, status, start, stop, seq) of reads (id, seq): what lies from the first place of the forward primer to the last
+    one of the reverse complement of the reverse primer, without the two if ``remove``; half-open, from 0.
+
+    A read without a primer that is asked for is primer_not_found, with -1, -1 and no sequence; others are trimmed, or
+    kept without a forward primer. A part that would end before it begins is empty. Null sequences are empty."""
+    back = str(reverse).upper()[::-1].translate(str.maketrans("ACGTURYKMBDHV", "TGCAAYRMKVHDB"))
+    seq = F.upper(F.coalesce("seq", F.lit("")))
+    i = F.locate(forward.upper(), seq) - 1 if forward else F.lit(0)
+    behind = F.locate(back[::-1], F.reverse(seq)) if reverse else F.lit(1)
+    j = F.when(behind > 0, F.length(seq) - behind + 1 - len(back)).otherwise(-1) if reverse else F.length(seq)
+    start = i + len(forward) if remove else i
+    stop = j if remove else j + len(back)
+    lost = (i < 0) | (j < 0)
+    stop = F.greatest(start, F.least(stop, F.length(seq)))
+    part = F.substring(seq, (start + 1).cast("int"), (stop - start).cast("int"))
+    return reads.select("id", F.when(lost, "primer_not_found").when(F.lit(bool(forward)), "trimmed").otherwise("kept").alias("status"), F.when(lost, -1).otherwise(start).alias("start"), F.when(lost, -1).otherwise(stop).alias("stop"), F.when(~lost, part).alias("seq"))

@@ -47,3 +47,24 @@ def test_presence_in_two_groups(spark):
     rows = [("g", c, v) for c, v in zip("abcdef", [5.0, 5.0, 5.0, 0.0, 0.0, None], strict=True)] + [("h", c, 5.0) for c in "abcdef"]
     got = {r.row: (r.on_a, r.on_b, r.odds, round(r.p, 6)) for r in o.on_off(spark.createDataFrame(rows, "row string, column string, value double"), list("abc"), list("def")).collect()}
     assert got == {"g": (3, 0, None, 0.1), "h": (3, 3, None, 1.0)}
+
+
+def test_adapters_and_low_ends(spark):
+    rows = [(1, "ttACGTTgg", "IIIIIIIII"), (2, "TTTTTTTT", "IIIII!!!"), (3, "ACGTT", "IIIII"), (4, None, None), (5, "TTGGCATTACGTT", None), (6, "TTTT", "!!!!")]
+    df = spark.createDataFrame(rows, "id long, seq string, qual string")
+    got = {r.id: (r.seq, r.qual, r.length, r.removed, r.adapters, r.mean_quality, r.kept) for r in o.adapter_trimmed(df, ["ACGTT", "ggca"], 20, 2).collect()}
+    assert got == {
+        1: ("TT", "II", 9, 7, 1, 40.0, True), 2: ("TTTTT", "IIIII", 8, 3, 0, 40.0, True), 3: ("", "", 5, 5, 1, 0.0, False), 4: ("", None, 0, 0, 0, 0.0, False), 5: ("TT", None, 13, 11, 2, 0.0, True), 6: ("", "", 4, 4, 0, 0.0, False),
+    }
+    assert o.adapter_trimmed(df.limit(0), []).count() == 0
+
+
+def test_primers(spark):
+    # the reverse primer TAAC is read as GTTA
+    rows = [(1, "xxACGmmmmGTTAyy"), (2, "ACGmmmm"), (3, "mmGTTA"), (4, "GTTAmmACG"), (5, None), (6, "acgGTTAgtta")]
+    df = spark.createDataFrame(rows, "id long, seq string")
+    got = {r.id: (r.status, r.start, r.stop, r.seq) for r in o.primers_trimmed(df, "ACG", "TAAC").collect()}
+    lost = ("primer_not_found", -1, -1, None)
+    assert got == {1: ("trimmed", 5, 9, "MMMM"), 2: lost, 3: lost, 4: ("trimmed", 9, 9, ""), 5: lost, 6: ("trimmed", 3, 7, "GTTA")}
+    whole = {r.id: r.seq for r in o.primers_trimmed(df, "ACG", "TAAC", remove=False).collect()}
+    assert whole[1] == "ACGMMMMGTTA" and {r.status for r in o.primers_trimmed(df).collect()} == {"kept"}
