@@ -43,7 +43,7 @@ def _adapters(adapters: list[str], quality: int, least: int) -> str:
     last = chr(32 + quality).replace("'", "''")
     cut = f"SELECT *, length(seq) - length(regexp_extract(substr(qual, 1, length(seq)), '[!-{last}]*$')) AS n FROM ({sql})"
     whole = f"SELECT id, substr(seq, 1, n) AS seq, substr(qual, 1, n) AS qual, length, length - n AS removed, adapters, n FROM ({cut})"
-    return f"SELECT id, seq, qual, length, removed, adapters, round(coalesce(list_sum({_P}) / nullif(len({_P}), 0), 0), 4) AS mean_quality, n >= {least} AS kept FROM ({whole})"
+    return f"SELECT id, seq, qual, length, removed, adapters, round(CASE WHEN qual <> '' THEN list_sum({_P}) / len({_P}) ELSE 0 END, 4) AS mean_quality, n >= {least} AS kept FROM ({whole})"
 
 
 add("nanopore_trim_adapters", lambda t: rounded(o.adapter_trimmed(t.reads, ["ACGTT"], 7, 50).select("id", "length", "removed", "adapters", "mean_quality", "kept"), "mean_quality"),
