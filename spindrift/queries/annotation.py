@@ -47,7 +47,7 @@ for _name in ("gff3_tss_bed", "bedtools_genes_from_gff"):
 add("gff3_biotype_table", lambda t: rounded(t.genes.groupBy("biotype").agg(F.count_distinct("id").alias("genes"), F.avg(F.col("stop") - F.col("start") + 1).alias("length")), "length"), "SELECT biotype, count(DISTINCT id) AS genes, round(avg(stop - start + 1), 4) AS length FROM genes GROUP BY 1")
 add("gff3_compare", lambda t: iv.jaccard(o.to_bed(t.genes), o.to_bed(t.exons)).select("bases_a", "bases_b", "intersection"), f"WITH x AS {merged('(SELECT seqid AS chrom, start - 1 AS start, stop, id AS name, 0 AS score FROM genes)')}, y AS {merged('(SELECT seqid AS chrom, start - 1 AS start, stop, id AS name, 0 AS score FROM exons)')} SELECT CAST((SELECT sum(stop - start) FROM x) AS BIGINT) AS bases_a, CAST((SELECT sum(stop - start) FROM y) AS BIGINT) AS bases_b, CAST((SELECT sum(least(a.stop, b.stop) - greatest(a.start, b.start)) FROM x a JOIN y b ON a.chrom = b.chrom AND a.start < b.stop AND b.start < a.stop) AS BIGINT) AS intersection")
 add("gff3_add_locus_tags", lambda t: tab.ordinal(t.genes.select("seqid", "start", "id"), ["seqid", "start", "id"], "n").select("id", F.concat(F.lit("L"), F.lpad(F.col("n").cast("string"), 8, "0")).alias("tag")), "SELECT id, 'L' || lpad(CAST(row_number() OVER (ORDER BY seqid, start, id) AS VARCHAR), 8, '0') AS tag FROM genes")
-add("bedgraph_per_gene_signal", lambda t: rounded(iv.overlapping(o.to_bed(t.genes), t.track).groupBy(F.col("a_name").alias("gene")).agg(F.avg("b_value").alias("mean"), F.max("b_value").alias("high")), "mean", n=3), "SELECT g.id AS gene, round(avg(t.value), 3) AS mean, max(t.value) AS high FROM genes g JOIN track t ON g.seqid = t.chrom AND g.start - 1 < t.stop AND t.start < g.stop GROUP BY 1")
+add("bedgraph_per_gene_signal", lambda t: rounded(iv.overlapping(o.to_bed(t.genes), t.track).groupBy(F.col("a_name").alias("gene")).agg(F.avg("b_value").alias("mean"), F.max("b_value").alias("high")), "mean", n=6), "SELECT g.id AS gene, round(avg(t.value), 6) AS mean, max(t.value) AS high FROM genes g JOIN track t ON g.seqid = t.chrom AND g.start - 1 < t.stop AND t.start < g.stop GROUP BY 1")
 add("peak_grouper", lambda t: iv.merge(t.bed_a, 20).select(*iv.KEY, "n"), f"SELECT chrom, start, stop, n FROM {merged('bed_a', 20)}")
 add("macs2_callpeak_lite", lambda t: iv.merge(iv.depth_segments(al.blocks(t.records_sam)).where("depth >= 5").select("chrom", "start", "stop", F.lit("p").alias("name"), F.col("depth").alias("score")), 30).select(*iv.KEY, "score"))
 add("chipseq_qc_metrics", lambda t: rounded(al.duplicate_rate(t.records_sam).select("mapped", "rate"), "rate", n=6), "SELECT count(*) AS mapped, round(1 - count(DISTINCT (rname, pos, flag & 16 <> 0)) / count(*), 6) AS rate FROM records_sam WHERE flag & 4 = 0")

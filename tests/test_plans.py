@@ -56,7 +56,7 @@ def test_islands_by_brute_force(spark):
 @pytest.mark.parametrize("slack", [0, 7])
 def test_bin_join_by_brute_force(spark, slack):
     a, b = random_intervals(150, 2), random_intervals(150, 3)
-    got = overlapping(spark.createDataFrame(a), spark.createDataFrame(b), slack=slack, size=512).select("a_name", "b_name").collect()
+    got = overlapping(spark.createDataFrame(a), spark.createDataFrame(b), slack=slack).select("a_name", "b_name").collect()
     want = [(x.name, y.name) for x in a.itertuples() for y in b.itertuples() if x.chrom == y.chrom and x.start - slack < y.stop and y.start < x.stop + slack]
     assert sorted(map(tuple, got)) == sorted(want)
 
@@ -112,3 +112,16 @@ def test_adjusted_p_values(spark, method):
             low = min(low, known[k - 1][0] * m / k * scale)
             want[known[k - 1][1]] = low
     assert got[6] is None and all(got[i] == pytest.approx(w) for i, w in want.items())
+
+
+def test_one_interval_as_long_as_a_chromosome(spark):
+    rng = random.Random(8)
+    draw = lambda n: [(rng.choice("cd"), s, s + rng.choice([0, 1, 5, 64, 65, 700]), f"n{i}") for i, s in enumerate(rng.randrange(20_000) for _ in range(n))]
+    a, b = draw(80) + [("c", 0, 3_000_000, "whole")], draw(120) + [("d", 0, 1 << 40, "endless"), ("c", 5000, 5000, "none")]
+    schema = "chrom string, start long, stop long, name string"
+    left, right = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    for slack in (0, 30):
+        want = sorted((x[3], y[3]) for x in a for y in b if x[0] == y[0] and x[1] - slack < y[2] and y[1] < x[2] + slack)
+        assert sorted((r.a_name, r.b_name) for r in overlapping(left, right, slack).collect()) == want
+    assert {r.name for r in overlapping(left, right, how="left_anti").collect()} == {x[3] for x in a} - {x for x, _ in ((x[3], y) for x in a for y in b if x[0] == y[0] and x[1] < y[2] and y[1] < x[2])}
+    assert overlapping(left.limit(0), right).count() == 0
