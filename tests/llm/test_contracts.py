@@ -95,3 +95,28 @@ def test_pipeline_stages_take_nulls_repeated_ids_and_empty_tables(spark, tmp_pat
             stage(spark, now, SF).write.parquet(f"{tmp_path}/{name}{i}")
             now = spark.read.parquet(f"{tmp_path}/{name}{i}")
         assert (now.count() == 0) == (name == "none") and "ids" in now.columns
+
+
+def test_token_ids_are_those_of_the_library(spark, documents):
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    coder = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    got = QUERIES["op1_byte_bpe"](spark, SF).toPandas().set_index("doc_id")
+    for i, text in documents.text.items():
+        ids = coder.encode_ordinary(text or "")
+        assert got.n_tokens[i] == len(ids)
+        assert got.ids_sha256[i] == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
+        assert got.decoded_sha256[i] == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_held_out_toxic_texts_are_told_apart(spark):
+    sf = SF.replace("0.001", "0.01")
+    labels = pd.read_parquet(f"{sf}/labels.parquet").groupby("doc_id").toxic.max()
+    got = QUERIES["op7_toxicity"](spark, sf).toPandas().set_index("doc_id")
+    held = got[got.held_out].join(labels, how="inner").dropna()
+    toxic, clean = held[held.toxic == 1], held[held.toxic == 0]
+    # this table has a few dozen toxic rows to learn from; README has the figures of larger ones
+    above = (toxic.score.to_numpy()[:, None] > clean.score.to_numpy()).mean()
+    assert len(toxic) > 5 and above >= 0.8 and toxic.predicted.mean() >= 0.6 and clean.predicted.mean() <= 0.05
