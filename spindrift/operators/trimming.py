@@ -2,33 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequences as s
 from ..functions.pvalues import fisher_p
 
-
-def _best_prefix(q: Column, threshold: float) -> Column:
-    """How many leading bases to cut: up to where the running sum of (mean - threshold - quality) is largest, the
-    first such place; 0 if it never gets above 0. Sums are of whole numbers times the length, so they are exact."""
-    n, total = F.size(q), F.aggregate(q, F.lit(0.0), lambda a, x: a + x)
-    # all terms times n: no rounding of the mean decides; limit and n are carried, so that each is made once a read
-    limit = total - F.lit(float(threshold)) * n
-    start = F.struct(limit.alias("limit"), n.alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("most"), F.lit(0).alias("at"), F.lit(0).alias("i"))
-
-    def step(a: Column, x: Column) -> Column:
-        now = a["sum"] + a["limit"] - x * a["n"]
-        return F.struct(
-            a["limit"].alias("limit"),
-            a["n"].alias("n"),
-            now.alias("sum"),
-            F.greatest(a["most"], now).alias("most"),
-            F.when(now > a["most"], a["i"] + 1).otherwise(a["at"]).alias("at"),
-            (a["i"] + 1).alias("i"),
-        )
-
-    return F.aggregate(q, start, step, lambda a: a["at"])
+#: Cells (reads times length) whose qualities a task holds at once.
+CELLS = 1 << 22
+
+
+def _best_prefixes(quals: list[np.ndarray], threshold: float) -> np.ndarray:
+    """How many leading bases to cut of each read: up to where the running sum of (mean - threshold - quality) is
+    largest, the first such place; 0 if it never gets above 0. Sums are of whole numbers times the length, so they are
+    exact; reads of a batch go place by place at once."""
+    cut = np.zeros(len(quals), np.int64)
+    order = sorted(range(len(quals)), key=lambda i: len(quals[i]))
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * len(quals[order[end]]) <= CELLS:
+            end += 1
+        rows = order[at:end]
+        size = np.array([len(quals[i]) for i in rows])
+        x = np.zeros((len(rows), size[-1]))
+        for r, i in enumerate(rows):
+            x[r, : size[r]] = quals[i]
+        limit = x.sum(1) - float(threshold) * size  # all terms times the length: no rounding of the mean decides
+        now, most, best = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+        for j in range(x.shape[1]):
+            now = now + limit - x[:, j] * size
+            better = (now > most) & (j < size)
+            best[better], most[better] = j + 1, now[better]
+        cut[rows] = best
+        at = end
+    return cut
 
 
 def mott_trimmed(reads: DataFrame, threshold: float = 5.0, least: int = 20, end: str = "both") -> DataFrame:
@@ -40,13 +52,24 @@ def mott_trimmed(reads: DataFrame, threshold: float = 5.0, least: int = 20, end:
     if end not in ("five_prime", "three_prime", "both"):
         raise ValueError(f"no such end: {end}")
     out = reads.where(F.col("seq").isNotNull() & F.col("qual").isNotNull()).withColumn("seq", F.upper("seq"))
-    if end != "three_prime":
-        out = out.withColumn("_cut", _best_prefix(s.phred(F.col("qual")), threshold))
-        out = out.withColumns({c: F.substring(c, F.col("_cut") + 1, F.length(c)) for c in ("seq", "qual")}).drop("_cut")
-    if end != "five_prime":
-        out = out.withColumn("_cut", _best_prefix(F.reverse(s.phred(F.col("qual"))), threshold))
-        out = out.withColumns({c: F.substring(c, F.lit(1), F.length(c) - F.col("_cut")) for c in ("seq", "qual")}).drop("_cut")
-    return out.where(F.length("seq") >= max(least, 1))
+    schema = out.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seq, qual = batch.column("seq").to_pylist(), batch.column("qual").to_pylist()
+            numbers = lambda back: [np.frombuffer(q.encode("utf-32-le"), "<u4")[::-1 if back else 1].astype(float) - 33 for q in qual]
+            if end != "three_prime":
+                cut = _best_prefixes(numbers(False), threshold)
+                seq, qual = [x[c:] for x, c in zip(seq, cut, strict=True)], [x[c:] for x, c in zip(qual, cut, strict=True)]
+            if end != "five_prime":
+                cut = _best_prefixes(numbers(True), threshold)
+                seq, qual = [x[: max(0, len(x) - c)] for x, c in zip(seq, cut, strict=True)], [x[: max(0, len(x) - c)] for x, c in zip(qual, cut, strict=True)]
+            for name, made in (("seq", seq), ("qual", qual)):
+                i = batch.schema.get_field_index(name)
+                batch = batch.set_column(i, batch.schema.field(i), pa.array(made, batch.schema.field(i).type))
+            yield batch.filter(pa.array([len(x) >= max(least, 1) for x in seq], pa.bool_()))
+
+    return out.mapInArrow(run, schema)
 
 
 def adapters_located(reads: DataFrame, five: str = "", three: str = "", least: int = 50, seed: int = 16) -> DataFrame:

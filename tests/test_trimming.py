@@ -68,3 +68,10 @@ def test_primers(spark):
     assert got == {1: ("trimmed", 5, 9, "MMMM"), 2: lost, 3: lost, 4: ("trimmed", 9, 9, ""), 5: lost, 6: ("trimmed", 3, 7, "GTTA")}
     whole = {r.id: r.seq for r in o.primers_trimmed(df, "ACG", "TAAC", remove=False).collect()}
     assert whole[1] == "ACGMMMMGTTA" and {r.status for r in o.primers_trimmed(df).collect()} == {"kept"}
+
+
+def test_worst_ends_take_one_pass_over_the_qualities(spark):
+    plan = o.mott_trimmed(spark.createDataFrame([(1, "ACGT", "IIII")], READ), 5.0, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan  # running sums as nested expressions were made anew for each use of a cut
+    long = [(1, "A" * 100_000, "#" * 300 + "I" * 99_400 + "#" * 300), (2, "C" * 30, "I" * 30)]
+    assert {r.id: len(r.seq) for r in o.mott_trimmed(spark.createDataFrame(long, READ), 5.0, 1).collect()} == {1: 99_400, 2: 30}
