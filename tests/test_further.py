@@ -113,3 +113,13 @@ def test_repeated_reads_stay_apart(spark):
     depth = sorted(tuple(r) for r in sq.normalised(reads, 5, 2.5).collect())
     assert [d[0] for d in depth] == ["a", "a", "a", "b", "c"] and depth[3][1] == depth[4][1] == 0.0
     assert all(d[1] >= 2 for d in depth[:3])
+
+
+def test_translation_takes_long_sequences_in_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from spindrift.functions import sequences as s
+
+    c = F.col("seq")
+    rows = spark.createDataFrame([("ATGGCN" * 20_000 + "TA",), (None,), ("AU",), ("augTAA\nGC",)], "seq string").select(s.translated(c).alias("p"), s.translated(c, 1).alias("q")).collect()
+    assert [r.p for r in rows] == ["MX" * 20_000, "", "", "X*X"] and rows[0].q[:4] == "WXWX"
