@@ -101,3 +101,30 @@ def test_density_clusters_by_brute_force(spark):
         cluster, is_core = got[i]
         assert is_core == (i in core)
         assert cluster == label[i] if i in core else (cluster in {label[j] for j in near[i] if j in core} or cluster is None and not core & set(near[i]))
+
+
+def test_targets_found_by_pairs_are_those_of_all_kmers(spark):
+    import random
+
+    from spindrift.operators import alignment as al
+
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    targets = [(f"t{i}", draw(rng.randint(30, 90))) for i in range(60)] + [("genome", draw(3000)), ("short", "ACG"), ("none", None)]
+    targets += [("copy", targets[0][1]), ("mixed", targets[1][1][:40] + targets[2][1][:40])]
+    reads = [(f"r{i}", targets[i][1][: rng.randint(9, 60)] + draw(rng.randint(0, 40))) for i in range(60)]
+    reads += [("inside", targets[60][1][500:560]), ("tiny", targets[5][1][:8]), ("void", ""), ("null", None), ("rep", "A" * 50)]
+    back = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    own = lambda x: {min(m, back(m)) for m in (x[i : i + 8] for i in range(len(x or "") - 7))}
+    left, right = (spark.createDataFrame(x, "id string, seq string") for x in (reads, targets))
+    for share in (0.3, 0.5, 0.9):
+        want = {}
+        for name, seq in reads:
+            mine = own(seq)
+            best = max(((len(mine & own(y)) / len(mine), t) for t, y in targets), default=None) if mine else None
+            if best and best[0] >= share:
+                want[name] = (best[1], best[0])
+        got = {r.read: (r.target, r.share) for r in al.assigned_by_kmers(left, right, 8, share).collect()}
+        assert got == want and len(want) >= 5
+    keys = al._pair_keys(right.withColumnRenamed("id", "name"), 8, None, [3, 4])
+    assert keys.where("name = 'genome'").count() == 0 and keys.count() < 60 * 85 * 8
