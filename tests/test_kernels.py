@@ -128,3 +128,11 @@ def test_targets_found_by_pairs_are_those_of_all_kmers(spark):
         assert got == want and len(want) >= 5
     keys = al._pair_keys(right.withColumnRenamed("id", "name"), 8, None, [3, 4])
     assert keys.where("name = 'genome'").count() == 0 and keys.count() < 60 * 85 * 8
+
+
+def test_sketches_are_not_broadcast(spark):
+    from spindrift.operators import alignment as al
+
+    df = spark.createDataFrame([("a", "ACGTTGCATTACG"), ("b", "ACGTTGCATTACC")], "id string, seq string")
+    found = al.mash_distances(df, df, 8, 50)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 4
