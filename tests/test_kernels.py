@@ -136,3 +136,11 @@ def test_sketches_are_not_broadcast(spark):
     df = spark.createDataFrame([("a", "ACGTTGCATTACG"), ("b", "ACGTTGCATTACC")], "id string, seq string")
     found = al.mash_distances(df, df, 8, 50)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 4
+
+
+def test_sketch_pairs_of_copies_and_repeated_ids(spark):
+    from spindrift.operators import sequences as seq
+
+    df = spark.createDataFrame([("c", ["1", "2"]), ("a", ["1", "2"]), ("b", ["2", "3"]), ("b", ["2", "3"]), ("d", []), ("e", ["9"])], "id string, hashes array<string>")
+    got = sorted((r.a, r.b, r.shared, round(r.jaccard, 4)) for r in seq.sketch_pairs(df).collect())
+    assert got == [("a", "b", 1, 0.3333), ("a", "b", 1, 0.3333), ("a", "c", 2, 1.0), ("b", "c", 1, 0.3333), ("b", "c", 1, 0.3333)]
