@@ -17,6 +17,8 @@ from .mapping import codes
 PRIOR = 0.1
 #: Models that the first round tries.
 MODELS = 512
+#: Windows times models that are weighed at once.
+CELLS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -53,22 +55,30 @@ def expected(seqs: list[str], models: np.ndarray, shares: np.ndarray) -> tuple[n
     A sequence has one site, equally likely at each window, with the share's probability, and none otherwise."""
     k, width = models.shape[:2]
     counts, sites, likelihood, n = np.zeros((k, width, 4)), np.zeros(k), np.zeros(k), 0
-    logs = np.log(np.maximum(models, 1e-300) / 0.25)
-    for seq in seqs:
+    logs = np.log(np.maximum(models, 1e-300) / 0.25).reshape(k, width * 4)
+    held: list[np.ndarray] = []
+    size = 0
+    for i, seq in enumerate(seqs):
         w = _windows(seq, width)
-        if not len(w):
+        if len(w):
+            n += 1
+            held.append(w)
+            size += len(w)
+        if not held or (size * k < CELLS and i < len(seqs) - 1):
             continue
-        n += 1
-        score = logs[:, np.arange(width), w].sum(2)  # models by windows
-        top = np.maximum(score.max(1, keepdims=True), 0)
-        each = shares[:, None] / len(w) * np.exp(score - top)
-        none = (1 - shares)[:, None] * np.exp(-top)
-        total = each.sum(1, keepdims=True) + none
-        z = each / total
-        likelihood += (np.log(total) + top)[:, 0]
+        many = np.array([len(w) for w in held])
+        begins = np.cumsum(many) - many
+        letters = np.zeros((size, width * 4))
+        letters[np.arange(size)[:, None], np.concatenate(held) + 4 * np.arange(width)] = 1
+        held, size = [], 0
+        score = logs @ letters.T  # models by the windows of several sequences
+        top = np.maximum(np.maximum.reduceat(score, begins, axis=1), 0)
+        each = np.exp(score - np.repeat(top, many, axis=1)) * (shares[:, None] / np.repeat(many, many))
+        total = np.add.reduceat(each, begins, axis=1) + (1 - shares)[:, None] * np.exp(-top)
+        z = each / np.repeat(total, many, axis=1)
+        likelihood += (np.log(total) + top).sum(1)
         sites += z.sum(1)
-        for letter in range(4):
-            counts[:, :, letter] += z @ (w == letter)
+        counts += (z @ letters).reshape(k, width, 4)
     return counts, sites, likelihood, n
 
 
@@ -105,7 +115,8 @@ def discover(df: DataFrame, id: str, seq: str, width: int = 8, sites: str = "zoo
     windows; null and shorter sequences have none. None without a window."""
     if sites not in ("zoops", "oops"):
         raise ValueError(sites)
-    rows = materialized(df.select(F.col(id).cast("string").alias("id"), F.upper(F.col(seq)).alias("seq")).where(F.length("seq") >= width))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes are much work
+    rows = materialized(df.select(F.col(id).cast("string").alias("id"), F.upper(F.col(seq)).alias("seq")).where(F.length("seq") >= width).repartition(parts))
     mix = F.xxhash64(F.lit(seed), "id", "seq")
     first = rows.select("seq", mix.alias("h")).orderBy("h", "seq").limit(starts).collect()
     begun = []
@@ -121,10 +132,11 @@ def discover(df: DataFrame, id: str, seq: str, width: int = 8, sites: str = "zoo
     shares = np.full(len(models), 1 - 1e-6 if fixed else 0.5)
     history: list[np.ndarray] = []
     for i in range(min(6, iterations)):
-        if i in (1, 2):  # the most likely tenth after a round, then of those the best eight
-            kept = np.argsort(-_round(seqs, models, shares, fixed)[2], kind="stable")[: max(8, len(models) // 10) if i == 1 else 8]
-            models, shares, history = models[kept], shares[kept], [h[kept] for h in history]
+        number = len(models)
         models, shares, objective = _round(seqs, models, shares, fixed)
+        if i in (1, 2):  # the most likely tenth after a round, then of those the best eight
+            kept = np.argsort(-objective, kind="stable")[: max(8, number // 10) if i == 1 else 8]
+            models, shares, objective, history = models[kept], shares[kept], objective[kept], [h[kept] for h in history]
         history.append(objective)
     best = int(np.argmax(history[-1])) if history else 0
     model, share, past = models[best : best + 1], shares[best : best + 1], [float(h[best]) for h in history]
