@@ -10,9 +10,11 @@ from ..plans.ordinals import materialized
 
 
 def kmer_counts(reads: DataFrame, k: int, min_coverage: int = 1) -> DataFrame:
-    """(kmer, n): canonical k-mers of reads (seq), of A, C, G and T only, that occur ``min_coverage`` times or more."""
-    each = reads.select(F.explode(s.kmers(F.upper("seq"), k, True)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
-    counts = each.groupBy("kmer").agg(F.count("*").alias("n"))
+    """(kmer, n): canonical k-mers of reads (seq), of A, C, G and T only, that occur ``min_coverage`` times or more. Equal
+    reads are cut once, and count as often as they come."""
+    texts = reads.groupBy(F.upper("seq").alias("_seq")).agg(F.count("*").alias("_times"))
+    each = texts.select("_times", F.explode(s.kmers(F.col("_seq"), k, True)).alias("kmer")).where(F.col("kmer").rlike("^[ACGT]+$"))
+    counts = each.groupBy("kmer").agg(F.sum("_times").alias("n"))
     return counts.where(F.col("n") >= min_coverage) if min_coverage > 1 else counts
 
 
