@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, slices
+from .common import checkpointed, slices, tidied
 from .simhash import SEED, components, majority
 
 #: Cells of the counting sketch, and those in one row of it.
@@ -437,7 +437,11 @@ def linked(tokens: DataFrame, sets: DataFrame, share: Fraction, first: list[Call
 def classes(df: DataFrame, id: str, text: str, width: int, share: float, first: list[Callable[[DataFrame], DataFrame]] | None = None, fingerprints: bool = False) -> tuple[DataFrame, DataFrame | None, bool]:
     """The rows' sets (id, key, n), written out; the components of similar keys (node, label), None if there are none;
     and whether ids are unique and none null."""
-    exact = Fraction(str(share))
+    with tidied(df.sparkSession):
+        return _classes(df, id, text, width, Fraction(str(share)), first, fingerprints)
+
+
+def _classes(df: DataFrame, id: str, text: str, width: int, exact: Fraction, first: list[Callable[[DataFrame], DataFrame]] | None, fingerprints: bool) -> tuple[DataFrame, DataFrame | None, bool]:
     made = checkpointed(marked(df, id, text, width))
     rows = made.where("key IS NOT NULL").select("id", "key", "n")
     unique = rows.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).isEmpty()

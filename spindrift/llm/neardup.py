@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, unused
+from .common import checkpointed, tidied, unused
 from .groupjoin import SENT, classes, set_key, sets_of, to_leaders
 from .simhash import links as fingerprint_links
 
@@ -40,10 +40,13 @@ def deduplicated(df: DataFrame, id: str = "doc_id", text: str = "text", width: i
     least = marked.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
     if found is not None:
         least = least.join(found, F.col("key") == F.col("node"), "left").groupBy(F.coalesce(F.col("label").cast("string"), F.hex("key")).alias("label")).agg(F.min("first").alias("first"))
-    kept = checkpointed(least.select(F.col("first.id").alias(kept_id), F.col("first.key").alias(kept_key)))
+    with tidied(df.sparkSession):
+        kept = checkpointed(least.select(F.col("first.id").alias(kept_id), F.col("first.key").alias(kept_key)))
     if unique:
-        copies = checkpointed(marked.join(kept, F.col("id") == F.col(kept_id), "left_anti").select(F.col("id").alias(copy)))
-        if copies.count() <= SENT:  # then the texts stay where they are
+        with tidied(df.sparkSession):
+            copies = checkpointed(marked.join(kept, F.col("id") == F.col(kept_id), "left_anti").select(F.col("id").alias(copy)))
+            few = copies.count() <= SENT
+        if few:  # then the texts stay where they are
             return df.join(F.broadcast(copies), F.col(id) == F.col(copy), "left_anti")
         return df.join(kept, F.col(id) == F.col(kept_id), "left_semi")
     # ids that repeat or are null don't tell rows apart: their keys and columns do

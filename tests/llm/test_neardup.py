@@ -88,3 +88,15 @@ def test_parities_differ_in_no_more_places_than_the_sets():
         b = np.concatenate([a[:both], rng.integers(0, 1 << 63, m - both).astype(np.uint64)])
         differ = len(set(a.tolist()) ^ set(b.tolist()))
         assert int(np.bitwise_count(cell_bits(a)[1] ^ cell_bits(b)[1]).sum()) <= differ
+
+
+def test_shuffle_files_go_with_their_jobs(spark):
+    files = lambda: sum("shuffle_" in str(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    texts = planted(3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    kept = neardup.deduplicated(df)
+    assert files() <= before + 20  # of hundreds
+    assert spark.conf.get(key) == "false"
+    for _ in range(2):
+        assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts)
